@@ -6,7 +6,9 @@ chunks around it and no others.  Chunk digests are joined across the splits,
 and the lengths of the shared chunks add up to each record's overlap fraction.
 Only the rarest chunks of a record are joined, as many as it takes that the
 rest is shorter than the least overlap: a pair with that overlap shares one of
-them.  Pairs are then checked by the exact similarity of their trigrams.
+them.  Pairs whose shared length can't reach the least overlap any more, or
+whose numbers of trigrams are too far apart, end there; the others are checked
+by the exact similarity of their trigrams.
 
 Equal ids are joined.  Near-equal vectors share a band of random sign bits with
 probability above 0.9999 and are checked by their exact cosine.
@@ -36,9 +38,9 @@ class OverlapConfig:
     similarity: float = 0.7
     #: Characters that the rolling hash covers; one place in ``divisor`` is a cut.
     roll: int = 3
-    divisor: int = 6
-    #: Least share of a record's text in shared chunks that makes a candidate.
-    least_overlap: float = 0.12
+    divisor: int = 4
+    #: Least share of the longer record's text in shared chunks that makes a candidate.
+    least_overlap: float = 0.3
     bits: int = 20
     bands: int = 44
     seed: int = 42
@@ -83,9 +85,10 @@ def _chunks(cfg: OverlapConfig):
             new = np.ones(len(owner), bool)
             new[1:] = (owner[1:] != owner[:-1]) | (digest[1:] != digest[:-1])
             at = np.flatnonzero(new)
+            grams = trigrams(texts)[2]
             yield pa.record_batch(
-                [take(b.column(0), owner[at]), take(b.column(2), owner[at]), take(b.column(3), owner[at]), pa.array(digest[at].view(np.int64)), pa.array(np.add.reduceat(length, at))],
-                ["text_id", "train", "held", "digest", "length"],
+                [take(b.column(0), owner[at]), take(b.column(2), owner[at]), take(b.column(3), owner[at]), pa.array(digest[at].view(np.int64)), pa.array(np.add.reduceat(length, at)), pa.array(grams[owner[at]])],
+                ["class", "train", "held", "digest", "length", "grams"],
             )
 
     return run
@@ -204,10 +207,21 @@ def _expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter("tx <> ty").select(F.when(F.col("tx"), F.col("x")).otherwise(F.col("y")).alias("train_id"), F.when(F.col("tx"), F.col("y")).otherwise(F.col("x")).alias("held_id"))
 
 
-def _across(rows: DataFrame, key: str, one: str, two: str) -> DataFrame:
+def _likely(rare: DataFrame, cfg: OverlapConfig) -> DataFrame:
+    """Pairs of classes that may reach the least overlap, by the summed lengths of the rare chunks they share and what is left of each."""
+    side = lambda s: rare.filter(s).select("digest", *(F.col(c).alias(f"{c}_{s}") for c in ("class", "length", "total", "rest", "grams")))
+    pair = side("train").hint("merge").join(side("held"), "digest").filter("class_train <> class_held")
+    low, high = (lambda c: F.least(f"{c}_train", f"{c}_held")), (lambda c: F.greatest(f"{c}_train", f"{c}_held"))
+    pair = pair.filter(low("grams") >= cfg.similarity * high("grams"))
+    shared = pair.groupBy("class_train", "class_held").agg(F.sum(low("length")).alias("shared"), F.first(low("rest")).alias("rest"), F.first(high("total")).alias("total"))
+    likely = shared.filter(F.col("shared") + F.col("rest") >= cfg.least_overlap * F.col("total"))
+    return likely.select(low("class").alias("a"), high("class").alias("b")).distinct()
+
+
+def _across(rows: DataFrame, key: str) -> DataFrame:
     """Pairs of different classes that share a key, of which one has train rows and the other held-out ones, smaller class first."""
-    left = rows.filter("train").select(F.col(one).alias("t"), key)
-    right = rows.filter("held").select(F.col(two).alias("h"), key)
+    left = rows.filter("train").select(F.col("class").alias("t"), key)
+    right = rows.filter("held").select(F.col("class").alias("h"), key)
     return left.hint("merge").join(right, key).filter("t <> h").select(F.least("t", "h").alias("a"), F.greatest("t", "h").alias("b")).distinct()
 
 
@@ -238,18 +252,19 @@ def split_overlaps(df: DataFrame, record: Column, same_id: Column, split: Column
     by_id = ids.filter("train").select(F.col("id").alias("train_id"), "same").join(ids.filter("held").select(F.col("id").alias("held_id"), "same"), "same").select("train_id", "held_id")
     # (b) texts
     classes, members = _classes(plain.filter("words is not null"), "words", [], scratch)
-    chunks = scratch.cut(classes.select("class", "words", "train", "held").mapInArrow(_chunks(cfg), "class long, train boolean, held boolean, digest long, length long"))
+    chunks = scratch.cut(classes.select("class", "words", "train", "held").mapInArrow(_chunks(cfg), "class long, train boolean, held boolean, digest long, length long, grams long"))
     # a digest that only one side has joins with nothing, but counts towards a record's length
     seen = chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("class").orderBy("n", "digest")
     whole = Window.partitionBy("class")
     rare = (
         chunks.join(seen, "digest")
-        .withColumn("before", F.sum("length").over(order) - F.col("length"))
+        .withColumn("sum", F.sum("length").over(order))
         .withColumn("total", F.sum("length").over(whole))
-        .filter(F.col("before") <= (1 - cfg.least_overlap) * F.col("total"))
+        .filter(F.col("sum") - F.col("length") <= (1 - cfg.least_overlap) * F.col("total"))
+        .withColumn("rest", F.col("total") - F.max("sum").over(whole))
     )
-    candidates = _across(rare, "digest", "class", "class")
+    candidates = _likely(rare, cfg)
     names = classes.select("class", "words")
     pairs = (
         candidates.join(names.select(F.col("class").alias("a"), F.col("words").alias("wa")), "a")
@@ -264,7 +279,7 @@ def split_overlaps(df: DataFrame, record: Column, same_id: Column, split: Column
     vclasses, vmembers = _classes(keyed, "key", ["v"], scratch)
     bands = vclasses.select("class", "train", "held", "v").mapInArrow(_vector_bands(cfg), "class long, train boolean, held boolean, keys array<long>").select("class", "train", "held", F.explode("keys").alias("band"))
     near = (
-        _across(bands, "band", "class", "class")
+        _across(bands, "band")
         .join(vclasses.select(F.col("class").alias("a"), F.col("v").alias("va")), "a")
         .join(vclasses.select(F.col("class").alias("b"), F.col("v").alias("vb")), "b")
         .select("a", "b", "va", "vb")
