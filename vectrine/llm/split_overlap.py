@@ -102,11 +102,29 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(texts), np.int64)
     code = data[:-2] << 16 | data[1:-1] << 8 | data[2:]
     inside = (owner[:-2] == owner[2:]) & (data[2:] != 10)
-    both = np.unique(owner[:-2][inside] << 24 | code[inside])
+    both = np.sort(owner[:-2][inside] << 24 | code[inside])
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
     o = both >> 24
     return o, both & 0xFFFFFF, np.bincount(o, minlength=len(texts))
 
 
+def shared_length(left: list[str], right: list[str], cfg: OverlapConfig) -> np.ndarray:
+    """Characters in the chunks that the texts of each pair share."""
+    n = len(left)
+    o, d, length = chunk_spans(left + right, cfg)
+    if len(o) == 0:
+        return np.zeros(n)
+    pair, side = o % n, o >= n
+    order = np.lexsort((d, pair))
+    p, k, side, length = pair[order], d[order], side[order], length[order]
+    group = np.concatenate([[0], np.cumsum((p[1:] != p[:-1]) | (k[1:] != k[:-1]))])
+    m = group[-1] + 1
+    each = np.minimum(np.bincount(group, weights=length * ~side, minlength=m), np.bincount(group, weights=length * side, minlength=m))
+    of = np.zeros(m, np.int64)
+    of[group] = p
+    return np.bincount(of, weights=each, minlength=n)
+
+
 def _check_texts(cfg: OverlapConfig):
     def run(batches):
         for b in batches:
@@ -119,21 +137,10 @@ def _check_texts(cfg: OverlapConfig):
             shared = np.bincount(both[1:][both[1:] == both[:-1]] >> 24, minlength=n)
             union = size[:n] + size[n:] - shared
             jac = shared / np.maximum(union, 1)
-            # the overlap fraction of the smaller record: lengths of shared chunks over its length
-            o, d, length = chunk_spans(left + right, cfg)
-            key = np.stack([o % n, d.view(np.int64)], 1)
-            order = np.lexsort((o, key[:, 1], key[:, 0]))
-            k, side, ln = key[order], o[order] >= n, length[order]
-            group = np.concatenate([[0], np.cumsum((k[1:] != k[:-1]).any(1))]) if len(k) else np.empty(0, np.int64)
-            m = group[-1] + 1 if len(group) else 0
-            la = np.bincount(group, weights=ln * ~side, minlength=m)
-            lb = np.bincount(group, weights=ln * side, minlength=m)
-            pair = np.zeros(m, np.int64)
-            pair[group] = k[:, 0] if len(k) else 0
-            common = np.bincount(pair, weights=np.minimum(la, lb), minlength=n)
-            least = np.minimum([max(1, len(t)) for t in left], [max(1, len(t)) for t in right])
             good = np.flatnonzero((shared >= cfg.similarity * union - 1e-9) & (union > 0))
-            yield pa.record_batch([take(b.column(0), good), take(b.column(1), good), pa.array(jac[good]), pa.array((common / least)[good])], ["a", "b", "similarity", "overlap"])
+            common = shared_length([left[i] for i in good], [right[i] for i in good], cfg)
+            least = np.array([min(len(left[i]), len(right[i])) for i in good])
+            yield pa.record_batch([take(b.column(0), good), take(b.column(1), good), pa.array(jac[good]), pa.array(common / np.maximum(least, 1))], ["a", "b", "similarity", "overlap"])
 
     return run
 
