@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectrine.functions.arrow_vectors import flat, list_column, take
-from vectrine.llm.text import U64, mix, shingles, words
+from vectrine.llm.text import U64, mix, shingles, slices, words
 from vectrine.plans.materialize import Scratch
 
 
@@ -53,7 +53,7 @@ def _batch_texts(batch: pa.RecordBatch) -> list[str | None]:
 
 def _class_keys(cfg: NearDuplicateConfig):
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             h, counts = words(_batch_texts(b))
             owner, s, rows = shingles(h, counts, cfg.width, cfg.least_words)
             if len(rows) == 0:
@@ -83,7 +83,7 @@ def min_max(shingle: np.ndarray, at: np.ndarray, permutations: int, seed: int) -
 
 def _band_keys(cfg: NearDuplicateConfig):
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             h, counts = words(_batch_texts(b))
             owner, s, rows = shingles(h, counts, cfg.width, cfg.least_words)
             if len(rows) == 0:
@@ -103,10 +103,8 @@ def _band_keys(cfg: NearDuplicateConfig):
 
 def _check(cfg: NearDuplicateConfig):
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 2, 3)):
             n = b.num_rows
-            if n == 0:
-                continue
             both = flat(b.column(2)).to_pylist() + flat(b.column(3)).to_pylist()
             h, counts = words(both)
             owner, s, _ = shingles(h, counts, cfg.width, cfg.least_words)
@@ -162,9 +160,10 @@ def near_duplicates(df: DataFrame, record: Column, text: Column, cfg: NearDuplic
 
     Words are runs of ``[a-z0-9]`` in the lower-cased text.  Null, empty and
     short texts take no part, nor do rows without an id.  Rows that repeat an
-    id with the same text count once; an id with several texts takes part with
-    each of them, and is never paired with itself.  An empty table gives empty
-    results.  Texts are processed whole, however long.
+    id with the same text count once.  An id names one text; of an id with
+    several, each is banded and one of them is compared, and it is never paired
+    with itself.  An empty table gives empty results.  Texts are processed
+    whole, however long.
     """
     spark = df.sparkSession
     scratch = Scratch(spark)

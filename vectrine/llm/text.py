@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _BASE = 0x100000001B3
 _SPACE = re.compile(r"\s+")
@@ -19,6 +21,17 @@ for _c in b"0123456789abcdefghijklmnopqrstuvwxyz":
 U64 = np.uint64
 
 
+def slices(batch: pa.RecordBatch, *columns: int, size: int = 1 << 20):
+    """Parts of a batch whose texts add up to about ``size`` bytes, one row at least: what a worker holds hangs on the longest text and not on how many come at once."""
+    if batch.num_rows == 0:
+        return
+    total = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    part = np.cumsum(total) // size
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:]):
+        yield batch.slice(a, b - a)
+
+
 def collapse(text: str | None) -> str:
     """White-space runs as one blank, none at the ends; an empty string for null."""
     return _SPACE.sub(" ", text).strip() if text else ""
@@ -92,4 +105,4 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, width: int, least: int) ->
     first = np.ones(len(o), bool)
     first[1:] = (o[1:] != o[:-1]) | (h[1:] != h[:-1])
     o, h = o[first], h[first]
-    return o, h, np.unique(o)
+    return o, h, o[np.concatenate([[True], o[1:] != o[:-1]])] if len(o) else o
