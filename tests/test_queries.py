@@ -4,6 +4,7 @@ import math
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -22,7 +23,7 @@ def db(sf):
 
 def rows(df):
     def cell(x):
-        if x is None or x != x or str(x) == "<NA>":
+        if x is None or pd.isna(x):
             return ""
         if isinstance(x, (bool, str)):
             return str(x)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from vectrine.functions.arrow_vectors import take, usable
 from vectrine.functions.vectors import dot, l2, mean_vector, norm, normalize, theta
+from vectrine.operators.knn import against_centers
 from vectrine.plans.materialize import Scratch
 
 
@@ -48,14 +49,13 @@ def docs_only_r_max(profiles: DataFrame) -> DataFrame:
 
 def top_c_support(docs: DataFrame, centers: DataFrame, c: int) -> DataFrame:
     """(doc_idx, cluster_id, rank): each document under its c nearest centers."""
-    w = Window.partitionBy("doc_idx").orderBy("theta", "cluster_id")
-    near = docs.crossJoin(centers.select("cluster_id", "center")).select("doc_idx", "cluster_id", theta(F.col("v"), F.col("center")).alias("theta"))
-    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= c)
+    near = against_centers(docs, F.col("doc_idx"), F.col("v"), centers, c)
+    return near.select(F.col("id").alias("doc_idx"), "cluster_id", "rank")
 
 
 def costs(docs: DataFrame, centers: DataFrame) -> DataFrame:
     """(doc_idx, cluster_id, cost): Euclidean distance of each document to each center, rounded to 9 places."""
-    return docs.crossJoin(centers.select("cluster_id", "center")).select("doc_idx", "cluster_id", F.round(l2(F.col("v"), F.col("center")), 9).alias("cost"))
+    return against_centers(docs, F.col("doc_idx"), F.col("v"), centers, None, "l2").select(F.col("id").alias("doc_idx"), "cluster_id", F.col("value").alias("cost"))
 
 
 def balanced_assignment(cost: DataFrame, capacity: int) -> DataFrame:

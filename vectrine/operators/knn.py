@@ -111,6 +111,87 @@ def exact_knn(docs: DataFrame, doc: Column, vector: Column, queries: DataFrame,
     return out.dropDuplicates([*keys, "doc_idx"]).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(*keys, "rank", "doc_idx", "theta")
 
 
+#: Centers that a pass holds.
+CENTER_BLOCK = 65536
+
+
+def _against(ids: np.ndarray, unit: np.ndarray, raw: np.ndarray, dim: int | None, keep: int | None, metric: str):
+    def run(batches):
+        for b in batches:
+            rows, m, norms = usable(b.column(1), dim)
+            names = take(b.column(0), rows)
+            # differences are formed for distances, as a product of norms would lose the small ones
+            step = max(1, (1 << 22) // max(1, raw.size)) if metric == "l2" else 4096
+            for lo in range(0, len(m), step):
+                part = m[lo : lo + step].astype(np.float64)
+                if metric == "l2":
+                    value = np.round(np.sqrt(((part[:, None] - raw[None]) ** 2).sum(2)), 9)
+                else:
+                    value = rounded_angles((part / norms[lo : lo + step, None]) @ unit.T)
+                k = len(ids) if keep is None else min(keep, len(ids))
+                order = np.argsort(value, axis=1, kind="stable")[:, :k]  # centers stand by id, so ties do too
+                n = len(part)
+                yield pa.record_batch(
+                    [names.take(pa.array(np.repeat(np.arange(lo, lo + n), k))), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(value, order, 1).ravel()), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), n))],
+                    ["id", "cluster_id", "value", "rank"],
+                )
+
+    return run
+
+
+def against_centers(rows: DataFrame, record: Column, vector: Column, centers: DataFrame, keep: int | None = None, metric: str = "theta") -> DataFrame:
+    """(id, cluster_id, value, rank): each row's ``keep`` nearest centers (all, if None), by angle or Euclidean distance, ties by cluster id.
+
+    centers(cluster_id, center) go to the rows in blocks of a fixed size, so
+    neither side is shuffled; with one block the ranks are final.
+    """
+    spark = rows.sparkSession
+    t = centers.select(F.col("cluster_id").cast("long").alias("cluster_id"), F.col("center").cast("array<double>").alias("center")).orderBy("cluster_id")
+    r = rows.select(record.cast("long").alias("id"), vector.alias("v")).filter("id is not null and v is not null")
+    schema = "id long, cluster_id long, value double, rank int"
+    n, parts = centers.count(), []
+    blocks = max(1, -(-n // CENTER_BLOCK))
+    for i in range(blocks):
+        part = t if blocks == 1 else t.filter(F.pmod(F.xxhash64("cluster_id"), F.lit(blocks)) == i)
+        a = part.toArrow()
+        at, m, norms = usable(a.column("center"), None)
+        if len(at):
+            raw = np.array(a.column("center").to_pylist(), float)[at]
+            parts.append(r.mapInArrow(_against(a.column("cluster_id").to_numpy()[at], raw / np.linalg.norm(raw, axis=1, keepdims=True), raw, m.shape[1], keep, metric), schema))
+    if not parts:
+        return spark.createDataFrame([], schema)
+    if len(parts) == 1:
+        return parts[0]
+    w = Window.partitionBy("id").orderBy("value", "cluster_id")
+    out = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w))
+    return out if keep is None else out.filter(F.col("rank") <= keep)
+
+
+def _pairs(shared, dim: int | None):
+    def run(batches):
+        blk = shared.value
+        for b in batches:
+            rows, m, norms = usable(b.column(1), dim)
+            names = take(b.column(0), rows).to_numpy()
+            for lo in range(0, len(m), 256):
+                u = m[lo : lo + 256].astype(np.float64) / norms[lo : lo + 256, None]
+                c = u @ blk.unit.T
+                n = len(u)
+                yield pa.record_batch([pa.array(np.tile(blk.ids, n)), pa.array(np.repeat(names[lo : lo + n], len(blk.ids))), pa.array(c.ravel())], ["query_id", "doc_idx", "cosine"])
+
+    return run
+
+
+def score_matrix(docs: DataFrame, doc: Column, vector: Column, queries: DataFrame, query: Column, query_vector: Column, dim: int | None = None) -> DataFrame:
+    """(query_id, doc_idx, cosine) of every query with every document, in blocks."""
+    spark = docs.sparkSession
+    rows = docs.select(doc.cast("long").alias("id"), vector.alias("v")).filter("id is not null and v is not null")
+    asked = queries.select(query.cast("long").alias("id"), query_vector.alias("v")).filter("id is not null and v is not null")
+    schema = "query_id long, doc_idx long, cosine double"
+    parts = [rows.mapInArrow(_pairs(spark.sparkContext.broadcast(b), dim), schema) for b in query_blocks(asked, dim)]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+
+
 def rank_pairs(pairs: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), score: str = "theta", tie: str = "doc_idx") -> DataFrame:
     """Rank scored pairs within ``by`` and keep the k best."""
     w = Window.partitionBy(*by).orderBy(score, tie)

@@ -1,23 +1,23 @@
 """Routing queries to clusters and the privacy gate.
 
-Centers are a small table (one row a cluster), so a query meets all of them;
-joins with it are left to the optimiser, which broadcasts it by its size.
+Centers are a small table (one row a cluster); they go to the queries in blocks,
+and the angles are computed a block at a time.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectrine.functions.vectors import theta
+from vectrine.operators.knn import against_centers
 
 
 def center_angles(queries: DataFrame, centers: DataFrame) -> DataFrame:
     """(query_id, cluster_id, theta, rank): every center by angle, ties by the smaller cluster id."""
-    w = Window.partitionBy("query_id").orderBy("theta", "cluster_id")
-    return queries.crossJoin(centers.select("cluster_id", "center")).select("query_id", "cluster_id", theta(F.col("qv"), F.col("center")).alias("theta")).withColumn("rank", F.row_number().over(w))
+    near = against_centers(queries, F.col("query_id"), F.col("qv"), centers)
+    return near.select(F.col("id").alias("query_id"), "cluster_id", F.col("value").alias("theta"), "rank")
 
 
 def route_top_c(ranked: DataFrame, c: int) -> DataFrame:

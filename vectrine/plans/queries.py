@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vectrine.functions.vectors import cosine, fixed_point, l2, norm, normalize, quantize_byte, theta
+from vectrine.functions.vectors import dot, fixed_point, l2, norm, normalize, quantize_byte, theta
 from vectrine.operators import clustering as cl
 from vectrine.operators import crypto, knn, metrics, preparation, privacy, routing, sampling
 from vectrine.operators import text as tx
@@ -93,12 +93,18 @@ def knn_top10(spark, sf):
     return truth(spark, sf, 10)
 
 
-@query(_BASE + f"SELECT query_id, doc_idx, round({_COS.format(a='qv', b='v')}, 9) AS cosine, round(list_distance(qv, v), 6) AS l2, round(list_dot_product(qv, v), 9) AS dot FROM q, d")
+@query(_BASE + f"SELECT query_id, doc_idx, round({_COS.format(a='qv', b='v')}, 9) AS cosine FROM q, d")
 def pair_scores(spark, sf):
-    from vectrine.functions.vectors import dot
+    m = knn.score_matrix(docs(spark, sf), F.col("doc_idx"), F.col("v"), asked(spark, sf), F.col("query_id"), F.col("qv"), DIM)
+    return m.select("query_id", "doc_idx", F.round("cosine", 9).alias("cosine"))
 
-    p = asked(spark, sf).crossJoin(docs(spark, sf))  # a stated query set against all rows
-    return p.select("query_id", "doc_idx", F.round(cosine(F.col("qv"), F.col("v")), 9).alias("cosine"), F.round(l2(F.col("qv"), F.col("v")), 6).alias("l2"), F.round(dot(F.col("qv"), F.col("v")), 9).alias("dot"))
+
+@query(_BASE + "SELECT t.query_id, t.doc_idx, round(list_dot_product(qv, v), 9) AS dot, round(list_distance(qv, v), 6) AS l2, theta FROM t JOIN q USING (query_id) JOIN d USING (doc_idx) WHERE rank BETWEEN 2 AND 40")
+def pair_measures(spark, sf):
+    near = truth(spark, sf, 40).filter("rank >= 2").select("query_id", "doc_idx")
+    p = near.join(asked(spark, sf), "query_id").join(docs(spark, sf), "doc_idx")
+    q, v = F.col("qv"), F.col("v")
+    return p.select("query_id", "doc_idx", F.round(dot(q, v), 9).alias("dot"), F.round(l2(q, v), 6).alias("l2"), theta(q, v).alias("theta"))
 
 
 @query("SELECT vec_id, round(sqrt(list_dot_product(v, v)), 9) AS norm, round(list_sum(v) / greatest(sqrt(list_dot_product(v, v)), 1e-12), 6) AS unit_sum FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)")
@@ -121,7 +127,7 @@ def relaxed_positives(spark, sf):
 @query(_BASE + "SELECT query_id, cluster_id, rank, doc_idx, theta FROM (SELECT p.query_id, d.cluster_id, p.doc_idx, p.theta, row_number() OVER (PARTITION BY p.query_id, d.cluster_id ORDER BY p.theta, p.doc_idx) AS rank FROM p JOIN d USING (doc_idx)) WHERE rank <= 3")
 def knn_per_cluster(spark, sf):
     e = read(spark, sf, "embeddings")
-    q = asked(spark, sf).crossJoin(parts(spark, sf).select("cluster_id").distinct())  # a row a cluster
+    q = asked(spark, sf).join(ranked_centers(spark, sf).select("query_id", "cluster_id"), "query_id")  # a row a cluster
     return knn.exact_knn(e, F.col("vec_id"), F.col("embedding"), q, F.col("query_id"), F.col("qv"), 3, DIM, F.col("label"), F.col("cluster_id"))
 
 
@@ -826,15 +832,15 @@ def majority_language(spark, sf):
 # --- encrypted comparison ----------------------------------------------------
 
 
-def _integer_pairs(spark, sf, k=None):
-    q, d = asked(spark, sf), docs(spark, sf)
-    p = q.crossJoin(d) if k is None else truth(spark, sf, k).select("query_id", "doc_idx").join(q, "query_id").join(d, "doc_idx")
+def _integer_pairs(spark, sf, k):
+    """Integer vectors of each query and its k candidates."""
+    p = truth(spark, sf, k).select("query_id", "doc_idx").join(asked(spark, sf), "query_id").join(docs(spark, sf), "doc_idx")
     return p.select("query_id", "doc_idx", fixed_point(F.col("qv"), 5000).alias("q"), fixed_point(F.col("v"), 5000).alias("d"))
 
 
-@query(_BASE + ", z AS (SELECT query_id, doc_idx, list_sum(list_transform(range(1, 65), lambda i: round_even(qv[i] * 5000, 0)::BIGINT * round_even(v[i] * 5000, 0)::BIGINT))::BIGINT AS score FROM q, d) SELECT query_id, doc_idx, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_idx) AS rank FROM z QUALIFY rank <= 5")
+@query(_BASE + ", z AS (SELECT t.query_id, t.doc_idx, list_sum(list_transform(range(1, 65), lambda i: round_even(qv[i] * 5000, 0)::BIGINT * round_even(v[i] * 5000, 0)::BIGINT))::BIGINT AS score FROM t JOIN q USING (query_id) JOIN d USING (doc_idx) WHERE rank <= 50) SELECT query_id, doc_idx, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_idx) AS rank FROM z QUALIFY rank <= 5")
 def integer_ranking(spark, sf):
-    return crypto.plain_integer_ranking(_integer_pairs(spark, sf), EVAL_K)
+    return crypto.plain_integer_ranking(_integer_pairs(spark, sf, 50), EVAL_K)
 
 
 @query()
