@@ -3,10 +3,11 @@
 Method: mini-batch k-means over the vectors, square-root (or equal) quotas per
 cluster, and sampling within the quotas; slots that a small cluster can't use
 go to the others.  Two refinements serve strays and near-copies: the rows of a
-cluster that are far from its center are a stratum of their own, with its own
-quota, and within a stratum the rows that share a sign code (equal vectors and
-most near-copies do) take turns, so no code gets a second row before each has
-had one.
+cluster that are far from its center are a stratum of their own, each of them
+a group of one, and within a stratum the rows that share a sign code (equal vectors and
+many near-copies do) take turns, so no code gets a second row before each has
+had one.  The size of a stratum is its number of codes, so a clump of copies is
+no large group; only when every code is served, the other rows get slots.
 """
 
 from __future__ import annotations
@@ -33,16 +34,24 @@ class SubsetConfig:
     quota: str = "sqrt"  # or "equal"
     #: Rows whose cosine with their center is below this are strays.
     stray: float = 0.45
-    code_bits: int = 24
+    code_bits: int = 16
     salts: int = 16
     seed: int = 42
 
 
-def quotas(sizes: np.ndarray, target: int, kind: str) -> np.ndarray:
-    """Slots of each stratum: in proportion to the square root of its size (or equal), never above its size; what a stratum can't use is dealt again."""
+def quotas(sizes: np.ndarray, target: int, kind: str, singles: np.ndarray | None = None) -> np.ndarray:
+    """Slots of each stratum: in proportion to the square root of its size (or equal), never above its size; what a stratum can't use is dealt again.
+
+    With square roots, a stratum marked in ``singles`` holds groups of one and
+    counts with its whole size.
+    """
     sizes = np.asarray(sizes, np.int64)
     target = int(min(target, sizes.sum()))
+    if target <= 0:
+        return np.zeros(len(sizes), np.int64)
     want = np.sqrt(sizes) if kind == "sqrt" else np.ones(len(sizes))
+    if kind == "sqrt" and singles is not None:
+        want = np.where(singles, sizes, want)
     out = np.zeros(len(sizes), np.int64)
     while (left := target - out.sum()) > 0:
         room = out < sizes
@@ -93,10 +102,13 @@ def varied_subset(df: DataFrame, record: Column, vector: Column, share: float |
         return spark.createDataFrame([], "id long, cluster int, stray boolean")
     centers = mini_batch_kmeans(sample, cfg.clusters, cfg.seed)
     placed = scratch.cut(rows.mapInArrow(_assign(cfg, centers), "id long, stratum int, code long").groupBy("id").agg(F.min_by("stratum", F.struct("stratum", "code")).alias("stratum"), F.min_by("code", F.struct("stratum", "code")).alias("code")))
-    sizes = placed.groupBy("stratum").count().orderBy("stratum").toArrow()  # at most two rows a cluster
-    n = sizes.column("count").to_numpy()
+    codes = placed.groupBy("stratum", "code").agg(F.count(F.lit(1)).alias("n"))
+    sizes = codes.groupBy("stratum").agg(F.count(F.lit(1)).alias("codes"), F.sum("n").alias("n")).orderBy("stratum").toArrow()  # at most two rows a cluster
+    n, variety = sizes.column("n").to_numpy(), sizes.column("codes").to_numpy()
     target = count if count is not None else int(np.floor(share * n.sum() + 0.5))
-    quota = dict(zip(sizes.column("stratum").to_pylist(), map(int, quotas(n, target, cfg.quota))))
+    slots = quotas(variety, target, cfg.quota, sizes.column("stratum").to_numpy() % 2 == 1)
+    slots = slots + quotas(n - variety, target - slots.sum(), cfg.quota)
+    quota = dict(zip(sizes.column("stratum").to_pylist(), map(int, slots)))
     table = F.broadcast(spark.createDataFrame(list(quota.items()), "stratum int, quota int"))
     salted = placed.withColumns({"salt": F.pmod(F.xxhash64("id"), F.lit(cfg.salts)).cast("int"), "h": F.xxhash64("id", F.lit(cfg.seed))})
     # a clump of copies may hold a third of all rows: its turns are counted within salts, then among the few that can still matter
