@@ -12,7 +12,7 @@ def flat(col) -> pa.Array:
 
 
 def usable(col, dim: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers, float32 matrix and float64 norms of the usable vectors.
+    """Row numbers, matrix (float64 for doubles, else float32) and float64 norms of the usable vectors.
 
     A vector is usable if it isn't null, has ``dim`` elements (any length if
     ``dim`` is None and all agree), none of them null or not finite, and isn't
@@ -35,7 +35,7 @@ def usable(col, dim: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         m = values[off[0] : off[-1]].reshape(n, dim)
     else:
         m = values[off[rows][:, None] + np.arange(dim)]
-    m = np.ascontiguousarray(m, dtype=np.float32)
+    m = np.ascontiguousarray(m, dtype=np.float64 if m.dtype == np.float64 else np.float32)
     wide = m.astype(np.float64)
     with np.errstate(invalid="ignore", over="ignore"):
         norms = np.sqrt((wide * wide).sum(1))

@@ -71,7 +71,7 @@ def duration_seconds(text: Column) -> Column:
     v = F.regexp_extract(text, r"^\s*([0-9.]+)\s*(µs|us|ms|s)\s*$", 1)
     u = F.regexp_extract(text, r"^\s*([0-9.]+)\s*(µs|us|ms|s)\s*$", 2)
     scale = F.when(u == "s", 1.0).when(u == "ms", 1e-3).when(u.isin("us", "µs"), 1e-6)
-    return F.nullif(v, F.lit("")).cast("double") * scale
+    return v.try_cast("double") * scale
 
 
 def bytes_or_mib(b: Column, m: Column) -> Column:

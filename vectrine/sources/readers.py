@@ -117,7 +117,7 @@ def read_matrices(spark: SparkSession, path: str) -> DataFrame:
 
 def read_offsets(spark: SparkSession, path: str, prefix_end: int = 0, expected: int | None = None) -> DataFrame:
     """(offset): distinct offsets of a text file and all below ``prefix_end``; another number than ``expected`` is an error."""
-    core = spark.read.text(path).select(F.trim("value").cast("long").alias("offset")).filter("offset is not null")
+    core = spark.read.text(path).select(F.trim("value").try_cast("long").alias("offset")).filter("offset is not null")
     out = core.unionByName(spark.range(prefix_end).withColumnRenamed("id", "offset")).distinct()
     if expected is not None and (n := out.count()) != expected:
         raise ValueError(f"{n} offsets, and {expected} were expected")
@@ -137,7 +137,7 @@ def read_rankings(spark: SparkSession, path: str, kind: str, ids: DataFrame | No
         by_index = items == "doc_indices"
     elif kind == "tsv":
         f = F.split("value", "\t")
-        r = lines(spark, path).select(f[0].alias("query_id"), f[1].alias("doc_id"), F.get(f, F.lit(2)).cast("int").alias("given"), "line_no").filter("query_id <> 'query_id'")
+        r = lines(spark, path).select(f[0].alias("query_id"), F.get(f, F.lit(1)).alias("doc_id"), F.get(f, F.lit(2)).try_cast("int").alias("given"), "line_no").filter("query_id <> 'query_id' and doc_id is not null")
         w = Window.partitionBy("query_id").orderBy(F.coalesce("given", "line_no"))
         r, by_index = r.withColumn("rank", F.row_number().over(w)), False
     elif kind == "npy":
@@ -153,7 +153,7 @@ def read_rankings(spark: SparkSession, path: str, kind: str, ids: DataFrame | No
 def last_metric(log: DataFrame, **patterns: str) -> DataFrame:
     """(file, a column a pattern): the last match of each pattern's first group in each log; log(file, line_no, value)."""
     last = lambda p: F.max_by(F.regexp_extract("value", p, 1), F.when(F.col("value").rlike(p), F.col("line_no")))
-    return log.groupBy("file").agg(*(F.nullif(last(p), F.lit("")).cast("double").alias(n) for n, p in patterns.items()))
+    return log.groupBy("file").agg(*(last(p).try_cast("double").alias(n) for n, p in patterns.items()))
 
 
 # The lines of the comparator's log.
@@ -165,7 +165,7 @@ def neighbour_ids(log: DataFrame, k: int) -> DataFrame:
     """(file, ids): the first k ids of the last neighbour line."""
     hit = log.filter(F.col("value").rlike(NEIGHBOUR_LINE))
     ids = F.filter(F.split(F.regexp_extract("value", NEIGHBOUR_LINE, 1), r"[,\s]+"), lambda x: x != "")
-    return hit.groupBy("file").agg(F.max_by(ids, "line_no").alias("ids")).select("file", F.slice(F.transform("ids", lambda x: x.cast("long")), 1, k).alias("ids"))
+    return hit.groupBy("file").agg(F.max_by(ids, "line_no").alias("ids")).select("file", F.slice(F.transform("ids", lambda x: x.try_cast("long")), 1, k).alias("ids"))
 
 
 def sections(log: DataFrame, header: str) -> DataFrame:
