@@ -63,23 +63,38 @@ def _scan(shared, k: int, dim: int | None, grouped: bool):
         blk = shared.value
         q = i = np.empty(0, np.int64)
         t = np.empty(0)
+
+        def meet(asked: np.ndarray, ids: np.ndarray, unit: np.ndarray) -> None:
+            """Hold some queries of the block against some documents, and keep the best."""
+            nonlocal q, i, t
+            for lo in range(0, len(asked), 1024):
+                part = asked[lo : lo + 1024]
+                c = blk.unit[part] @ unit.T
+                kk = min(k, c.shape[1])
+                low = np.partition(c, c.shape[1] - kk, axis=1)[:, c.shape[1] - kk]
+                at = np.flatnonzero(c >= (low - 1e-8)[:, None])
+                qi, di = at // c.shape[1], at % c.shape[1]
+                q, i, t = np.concatenate([q, part[qi]]), np.concatenate([i, ids[di]]), np.concatenate([t, rounded_angles(c[qi, di])])
+            if len(q) > 4 * k * len(blk.ids):
+                q, i, t = _keep(q, i, t, k)
+
+        everyone = np.arange(len(blk.ids))
+        by_group = {g: np.flatnonzero(blk.group == g) for g in np.unique(blk.group)} if grouped else {}
         for b in batches:
             rows, m, norms = usable(b.column(1), dim)
             if len(rows) == 0:
                 continue
             ids = take(b.column(0), rows).to_numpy()
             unit = m.astype(np.float64) / norms[:, None]
-            side = take(b.column(2), rows).to_numpy() if grouped else None
-            for lo in range(0, len(blk.ids), 1024):
-                qs = slice(lo, lo + 1024)
-                c = blk.unit[qs] @ unit.T
-                if grouped:
-                    c = np.where(blk.group[qs][:, None] == side[None], c, -2)
-                kk = min(k, c.shape[1])
-                low = np.partition(c, c.shape[1] - kk, axis=1)[:, c.shape[1] - kk]
-                at = np.flatnonzero(c >= np.maximum(low - 1e-8, -1.5)[:, None])
-                qi, di = at // c.shape[1], at % c.shape[1]
-                q, i, t = _keep(np.concatenate([q, qi + lo]), np.concatenate([i, ids[di]]), np.concatenate([t, rounded_angles(c[qi, di])]), k)
+            if not grouped:
+                meet(everyone, ids, unit)
+                continue
+            side = take(b.column(2), rows).to_numpy()
+            for g in np.unique(side):
+                if g in by_group:
+                    own = side == g
+                    meet(by_group[g], ids[own], unit[own])
+        q, i, t = _keep(q, i, t, k)
         if len(q):
             cols = {"query_id": pa.array(blk.ids[q]), "doc_idx": pa.array(i), "theta": pa.array(t)}
             if grouped:
@@ -211,10 +226,12 @@ def rerank_exact(candidates: DataFrame, docs: DataFrame, queries: DataFrame, k:
 def filtered_knn(docs: DataFrame, queries: DataFrame, support: DataFrame, k: int) -> DataFrame:
     """(query_id, cluster_id, rank, doc_idx, theta): the k nearest documents within each supported cluster of a query.
 
-    docs(doc_idx, v), queries(query_id, cluster_id, qv), support(cluster_id, doc_idx).
+    docs(doc_idx, v), queries(query_id, cluster_id, qv), support(cluster_id,
+    doc_idx).  A document is moved once a cluster that supports it, and not
+    once a query.
     """
-    near = queries.join(support, "cluster_id").join(docs, "doc_idx").select("query_id", "cluster_id", "doc_idx", theta(F.col("qv"), F.col("v")).alias("theta"))
-    return rank_pairs(near, k, ("query_id", "cluster_id"))
+    rows = support.select("doc_idx", "cluster_id").join(docs, "doc_idx")
+    return exact_knn(rows, F.col("doc_idx"), F.col("v"), queries, F.col("query_id"), F.col("qv"), k, None, F.col("cluster_id"), F.col("cluster_id")).select("query_id", "cluster_id", "rank", "doc_idx", "theta")
 
 
 def relaxed_positives(scored: DataFrame, k: int, slack: float = 1e-8) -> DataFrame:
