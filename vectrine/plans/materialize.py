@@ -17,6 +17,27 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_ROOTS: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this process; results that weren't read yet are lost with them."""
+    while _ROOTS:
+        _delete(spark, _ROOTS.pop())
+
+
+@atexit.register
+def _at_exit() -> None:
+    try:
+        if (spark := SparkSession.getActiveSession()) is not None:
+            clear(spark)
+    except Exception:  # noqa: BLE001, S110 - the session may be gone already
+        pass
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -39,6 +60,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{work_dir(spark)}/vectrine-{uuid.uuid4().hex}"
+        _ROOTS.append(self.root)
         self.paths: dict[int, str] = {}
         self.n = 0
 
@@ -55,6 +77,4 @@ class Scratch:
         """Delete a table of :meth:`cut` that no later stage reads."""
         path = self.paths.pop(id(df), None)
         if path:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(self.spark, path)

@@ -289,7 +289,7 @@ def chunk_signatures(spark, sf):
 
 @query(f"""
 WITH a AS ({_CHUNKS}), w AS (SELECT DISTINCT doc_idx FROM workset_docs), i AS (SELECT cluster_id, cluster_r_k AS r_k, cluster_r_fixed AS r_fixed, cluster_r_max AS r_max FROM cluster_info)
-SELECT 'unassigned' AS rule, NULL::BIGINT AS cluster_id, doc_idx::VARCHAR AS detail FROM w WHERE doc_idx NOT IN (SELECT doc_idx FROM a)
+SELECT 'unassigned' AS rule, (-1)::BIGINT AS cluster_id, doc_idx::VARCHAR AS detail FROM w WHERE doc_idx NOT IN (SELECT doc_idx FROM a)
 UNION ALL SELECT 'assigned_twice', min(cluster_id), doc_idx::VARCHAR FROM a GROUP BY doc_idx HAVING count(*) > 1
 UNION ALL SELECT 'unknown_doc', cluster_id, doc_idx::VARCHAR FROM a WHERE doc_idx NOT IN (SELECT doc_idx FROM w)
 UNION ALL SELECT 'empty_cluster', cluster_id, '0' FROM i WHERE cluster_id NOT IN (SELECT cluster_id FROM a)
@@ -299,7 +299,8 @@ def partition_violations(spark, sf):
     info = read(spark, sf, "cluster_info")
     a = info.select("cluster_id", F.explode("chunk").alias("doc_idx"))
     radii = info.select("cluster_id", F.col("cluster_r_k").alias("r_k"), F.col("cluster_r_fixed").alias("r_fixed"), F.col("cluster_r_max").alias("r_max"))
-    return cl.contract_violations(read(spark, sf, "workset_docs").select("doc_idx").distinct(), a, radii)
+    found = cl.contract_violations(read(spark, sf, "workset_docs").select("doc_idx").distinct(), a, radii)
+    return found.withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1).cast("long")))
 
 
 def _described(spark, sf) -> DataFrame:
