@@ -36,6 +36,16 @@ def test_found_documents_against_brute_force(spark, rng):
         assert r.share == pytest.approx(brute_share(dict((a, b) for a, b, _ in rows)[r.id]))
 
 
+def test_copies_hide_no_repetitive_document(spark, rng):
+    """Half of the language's rows are copies of a repetitive text; a tokenless one repeats too."""
+    rows = [(i, t, "en") for i, t, _ in corpus(rng) if i < 500]
+    rows += [(1000 + i, rows[8][1], "en") for i in range(200)] + [(2000, "\x01" * 200, "en")]
+    d = spark.createDataFrame(rows, "doc long, text string, lang string")
+    got = repetition(d, F.col("doc"), F.col("text"), F.col("lang"), RepetitionConfig(bucket_rows=500)).toPandas()
+    assert set(got[got.share >= 0.25].id) == {i for i, t, _ in rows if brute_share(t) >= 0.25}
+    assert set(got[got.verdict == "low"].id) >= {1000 + i for i in range(200)}
+
+
 def test_shares_by_their_definition():
     for t in ("ab " * 50, "word " * 200, "x" * 500, "Abc dEf\n" * 40, "é日" * 80, "short", ""):
         assert repeated_share(t) == (None if brute_share(t) is None else pytest.approx(brute_share(t)))

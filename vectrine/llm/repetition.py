@@ -237,32 +237,35 @@ def repeated_share(text: str | None, window: int = 30, least: int = 100) -> floa
 def _shares(cfg: RepetitionConfig):
     def run(batches):
         for b in batches:
-            share = [repeated_share(t, cfg.window, cfg.least_chars) for t in flat(b.column(1)).to_pylist()]
-            yield pa.record_batch([b.column(0), b.column(2), b.column(3), pa.array(share, pa.float64())], ["id", "perplexity", "verdict", "share"])
+            texts = flat(b.column(1)).to_pylist()
+            said = np.flatnonzero([bool(collapse(t)) for t in texts])
+            share = [repeated_share(texts[i], cfg.window, cfg.least_chars) for i in said]
+            yield pa.record_batch([take(b.column(0), said), pa.array(share, pa.float64())], ["rep", "share"])
 
     return run
 
 
 def repetition(df: DataFrame, record: Column, text: Column, lang: Column, cfg: RepetitionConfig = RepetitionConfig()) -> DataFrame:
-    """(id, perplexity, verdict, share): one row a document with a token.
+    """(id, perplexity, verdict, share): one row a document with a text.
 
     ``verdict`` is 'low', 'high' or 'kept' by the band of the document's
-    language (spelling aside; null is a language of its own); ``share`` is the
-    repeated share of the rejected documents, null for kept ones and for short
-    texts.  Null, empty and blank texts, and rows without an id, are left out.
-    Ids should be unique: the texts of a repeated id share one perplexity.
-    An empty table gives an empty result.  Texts are read whole.
+    language (spelling aside; null is a language of its own), null for a text
+    without a token; ``share`` is the repeated share of every document, null
+    for short texts only.  Null, empty and blank texts, and rows without an id,
+    are left out.  Ids should be unique.  An empty table gives an empty result.
+    Texts are read whole.
     """
     scratch = Scratch(df.sparkSession)
-    rows = df.select(record.alias("id"), text.alias("t"), F.coalesce(F.lower(F.trim(lang)), F.lit("")).alias("lang")).filter("t is not null and id is not null")
-    p = scratch.cut(perplexities(rows, F.col("id"), F.col("t"), cfg).withColumnRenamed("row", "id").join(rows.select("id", "lang"), "id"))
-    median = p.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("perplexity", 0.5, 10000).alias("m"))
-    over_all = p.agg(F.percentile_approx("perplexity", 0.5, 10000)).first()[0]
-    middle = F.when(F.col("n") >= cfg.least_documents, F.col("m")).otherwise(F.lit(over_all).cast("double"))
-    verdict = F.when(F.col("perplexity") < cfg.lower * middle, "low").when(F.col("perplexity") > cfg.upper * middle, "high").otherwise("kept")
-    judged = scratch.cut(p.join(median, "lang").select("id", "perplexity", verdict.alias("verdict")).dropDuplicates(["id"]))
-    rejected = judged.filter("verdict <> 'kept'")
+    rows = df.select(record.alias("id"), text.alias("t"), F.coalesce(F.lower(F.trim(lang)), F.lit("")).alias("lang")).filter("t is not null and id is not null").withColumn("key", F.sha2("t", 256))
+    # copies are one text, named by their smallest id
+    texts = scratch.cut(rows.groupBy("key").agg(F.min("id").alias("rep"), F.first("t").alias("t")))
     kind = rows.schema["id"].dataType.simpleString()
-    measured = rows.select("id", "t").join(rejected, "id").select("id", "t", "perplexity", "verdict").mapInArrow(_shares(cfg), f"id {kind}, perplexity double, verdict string, share double")
-    kept = judged.filter("verdict = 'kept'").withColumn("share", F.lit(None).cast("double"))
-    return measured.unionByName(kept)
+    shares = texts.select("rep", "t").mapInArrow(_shares(cfg), f"rep {kind}, share double")
+    scores = perplexities(texts, F.col("rep"), F.col("t"), cfg).withColumnRenamed("row", "rep")
+    measured = texts.select("key", "rep").join(shares, "rep").join(scores, "rep", "left")
+    p = scratch.cut(rows.select("id", "lang", "key").join(measured, "key").drop("key"))
+    median = p.dropDuplicates(["lang", "rep"]).groupBy("lang").agg(F.count("perplexity").alias("n"), F.percentile_approx("perplexity", 0.5, 10000).alias("m"))
+    over_all = p.dropDuplicates(["rep"]).agg(F.percentile_approx("perplexity", 0.5, 10000)).first()[0]
+    middle = F.when(F.col("n") >= cfg.least_documents, F.col("m")).otherwise(F.lit(over_all).cast("double"))
+    verdict = F.when(F.col("perplexity") < cfg.lower * middle, "low").when(F.col("perplexity") > cfg.upper * middle, "high").when(F.col("perplexity").isNotNull(), "kept")
+    return p.join(median, "lang").select("id", "perplexity", verdict.alias("verdict"), "share")
