@@ -46,6 +46,14 @@ def test_copies_hide_no_repetitive_document(spark, rng):
     assert set(got[got.verdict == "low"].id) >= {1000 + i for i in range(200)}
 
 
+def test_kept_documents_have_a_share(spark, rng):
+    rows = corpus(rng)
+    d = spark.createDataFrame(rows, "doc long, text string, lang string")
+    got = repetition(d, F.col("doc"), F.col("text"), F.col("lang"), RepetitionConfig(bucket_rows=500)).toPandas().set_index("id")
+    assert (got.verdict == "kept").any()
+    assert got.share.to_dict() == pytest.approx({i: brute_share(t) for i, t, _ in rows})
+
+
 def test_shares_by_their_definition():
     for t in ("ab " * 50, "word " * 200, "x" * 500, "Abc dEf\n" * 40, "é日" * 80, "short", ""):
         assert repeated_share(t) == (None if brute_share(t) is None else pytest.approx(brute_share(t)))
