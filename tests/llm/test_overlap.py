@@ -3,7 +3,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from vectrine.llm.split_overlap import OverlapConfig, chunk_spans, split_overlaps
+from vectrine.llm.split_overlap import OverlapConfig, chunk_spans, similar_classes, split_overlaps
 
 SCHEMA = "i long, q string, s string, split string, text string, v array<float>, train string, digest int"
 
@@ -63,3 +63,28 @@ def test_chunks_make_up_the_text_and_survive_edits():
     o, d, n = chunk_spans([a, "", b], cfg)
     assert n[o == 0].sum() == len(a) and n[o == 2].sum() == len(b) and not (o == 1).any()
     assert len(set(d[o == 0]) & set(d[o == 2])) >= 0.6 * (o == 0).sum()
+
+
+def test_edits_in_every_chunk_hide_no_pair(spark, rng):
+    """Copies with a few characters changed all over: little of them lies in shared chunks."""
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    rows = []
+    for base in range(150):
+        t = "".join(rng.choice(letters + [" "], 60))
+        for split in ("train", "evaluation"):
+            u = list(t)
+            for place in rng.choice(60, 2, replace=False):
+                u[place] = str(rng.choice(letters))
+            rows.append((len(rows), f"q{len(rows)}", None, split, "".join(u), None))
+    want = brute(rows)
+    assert len(want) > 20
+    assert run(spark, rows) == want
+
+
+def test_similar_texts_of_several_blocks(spark):
+    words = [f"clean the copper kettle number {i} before winter" for i in range(40)]
+    classes = spark.createDataFrame([(i, w, i % 2 == 0, i % 3 == 0) for i, w in enumerate(words)], "class long, words string, train boolean, held boolean")
+    got = similar_classes(classes, OverlapConfig(block_texts=8, block_chars=200)).distinct().collect()
+    gram = [{w[j : j + 3] for j in range(len(w) - 2)} for w in words]
+    want = {(min(a, b), max(a, b)) for a in range(0, 40, 2) for b in range(0, 40, 3) if a != b and len(gram[a] & gram[b]) >= 0.7 * len(gram[a] | gram[b])}
+    assert {(r.a, r.b) for r in got} == want

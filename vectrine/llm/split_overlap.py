@@ -10,6 +10,11 @@ them.  Pairs whose shared length can't reach the least overlap any more, or
 whose numbers of trigrams are too far apart, end there; the others are checked
 by the exact similarity of their trigrams.
 
+A similarity of trigrams doesn't imply that overlap, so every pair of texts is
+also held against each other by a prefix filter that loses none: the held-out
+texts go to the train texts in blocks, and a pair is checked if so many of the
+rarest trigrams of both agree that the rest can still make it similar.
+
 Equal ids are joined.  Near-equal vectors share a band of random sign bits with
 probability above 0.9999 and are checked by their exact cosine.
 
@@ -27,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectrine.functions.arrow_vectors import flat, list_column, take, usable
-from vectrine.llm.text import U64, mix, span_hashes
+from vectrine.llm.text import U64, mix, slices, span_hashes
 from vectrine.plans.materialize import Scratch
 
 
@@ -41,6 +46,9 @@ class OverlapConfig:
     divisor: int = 4
     #: Least share of the longer record's text in shared chunks that makes a candidate.
     least_overlap: float = 0.3
+    #: Held-out texts, and their characters, that are broadcast at a time, about.
+    block_texts: int = 65536
+    block_chars: int = 1 << 23
     bits: int = 20
     bands: int = 44
     seed: int = 42
@@ -216,15 +224,112 @@ def _expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 def _likely(rare: DataFrame, cfg: OverlapConfig) -> DataFrame:
     """Pairs of classes that may reach the least overlap, by the summed lengths of the rare chunks they share and what is left of each."""
-    side = lambda s: rare.filter(s).select("digest", *(F.col(c).alias(f"{c}_{s}") for c in ("class", "length", "total", "rest", "grams")))
+    side = lambda s: rare.filter(s).select("digest", *(F.col(c).alias(f"{c}_{s}") for c in ("class", "length", "total", "rest", "last", "grams")))
     pair = side("train").hint("merge").join(side("held"), "digest").filter("class_train <> class_held")
     low, high = (lambda c: F.least(f"{c}_train", f"{c}_held")), (lambda c: F.greatest(f"{c}_train", f"{c}_held"))
     pair = pair.filter(low("grams") >= cfg.similarity * high("grams"))
-    shared = pair.groupBy("class_train", "class_held").agg(F.sum(low("length")).alias("shared"), F.first(low("rest")).alias("rest"), F.first(high("total")).alias("total"))
+    # a shared chunk that isn't in both prefixes lies in the rest of the one that ends first
+    rest = F.when(F.col("last_train") <= F.col("last_held"), F.col("rest_train")).otherwise(F.col("rest_held"))
+    shared = pair.groupBy("class_train", "class_held").agg(F.sum(low("length")).alias("shared"), F.first(rest).alias("rest"), F.first(high("total")).alias("total"))
     likely = shared.filter(F.col("shared") + F.col("rest") >= cfg.least_overlap * F.col("total"))
     return likely.select(low("class").alias("a"), high("class").alias("b")).distinct()
 
 
+@dataclass
+class _TextBlock:
+    """Held-out texts by their trigrams, rarest of the block first: places of ``codes`` in ``tokens``, one text after the other; ``posts`` has the texts with a trigram in their prefix, one trigram after the other."""
+
+    ids: np.ndarray
+    size: np.ndarray
+    rest: np.ndarray
+    codes: np.ndarray
+    place: np.ndarray
+    tokens: np.ndarray
+    begin: np.ndarray
+    posts: np.ndarray
+    posts_at: np.ndarray
+
+
+def _prefix(size: np.ndarray, similarity: float) -> np.ndarray:
+    """Length of the prefix of which similar sets share a trigram."""
+    return np.minimum(size, size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1)
+
+
+def text_block(ids: np.ndarray, texts: list[str], cfg: OverlapConfig) -> _TextBlock | None:
+    owner, code, size = trigrams(texts)
+    if len(owner) == 0:
+        return None
+    codes, inverse, count = np.unique(code, return_inverse=True, return_counts=True)
+    place = np.empty(len(codes), np.int64)
+    place[np.argsort(count, kind="stable")] = np.arange(len(codes))
+    token = place[inverse]
+    order = np.lexsort((token, owner))
+    owner, token = owner[order], token[order]
+    begin = np.concatenate([[0], np.cumsum(size)])
+    prefix = _prefix(size, cfg.similarity)
+    near = np.arange(len(owner)) - begin[owner] < prefix[owner]
+    o, t = owner[near], token[near]
+    order = np.argsort(t, kind="stable")
+    return _TextBlock(ids, size, size - prefix, codes, place, token, begin, o[order], np.searchsorted(t[order], np.arange(len(codes) + 1)))
+
+
+def similar_texts(blk: _TextBlock, ids: np.ndarray, texts: list[str], cfg: OverlapConfig) -> tuple[list[int], list[int], list[float]]:
+    """All (id, id of the block, similarity) of different ids that are similar by their trigrams."""
+    owner, code, size = trigrams(texts)
+    at = np.minimum(np.searchsorted(blk.codes, code), len(blk.codes) - 1)
+    token = np.where(blk.codes[at] == code, blk.place[at], -1)  # what the block lacks is rarest
+    order = np.lexsort((token, owner))
+    token = token[order]
+    begin, prefix = np.concatenate([[0], np.cumsum(size)]), _prefix(size, cfg.similarity)
+    mine = np.zeros(len(blk.codes), bool)
+    left, right, found = [], [], []
+    for i in np.flatnonzero(size):
+        own = token[begin[i] : begin[i + 1]]
+        own, rare, n = own[own >= 0], own[: prefix[i]], size[i]
+        hits = np.zeros(len(blk.ids), np.int64)
+        for t in rare[rare >= 0]:
+            hits[blk.posts[blk.posts_at[t] : blk.posts_at[t + 1]]] += 1  # a text stands once a trigram
+        c = np.flatnonzero(hits)
+        least = cfg.similarity / (1 + cfg.similarity) * (n + blk.size[c]) - 1e-6
+        close = np.minimum(n, blk.size[c]) >= cfg.similarity * np.maximum(n, blk.size[c]) - 1e-9
+        c = c[close & (hits[c] + np.maximum(n - prefix[i], blk.rest[c]) >= least) & (blk.ids[c] != ids[i])]
+        if len(c) == 0:
+            continue
+        mine[own] = True
+        shared = np.array([np.count_nonzero(mine[blk.tokens[blk.begin[j] : blk.begin[j + 1]]]) for j in c])
+        mine[own] = False
+        union = n + blk.size[c] - shared
+        good = shared >= cfg.similarity * union - 1e-9
+        left += [int(ids[i])] * int(good.sum())
+        right += blk.ids[c[good]].tolist()
+        found += (shared[good] / union[good]).tolist()
+    return left, right, found
+
+
+def _scan_texts(shared, cfg: OverlapConfig):
+    def run(batches):
+        for b in (part for whole in batches for part in slices(whole, 1)):
+            a, c, _ = similar_texts(shared.value, flat(b.column(0)).to_numpy(), flat(b.column(1)).to_pylist(), cfg)
+            yield pa.record_batch([pa.array(np.minimum(a, c).astype(np.int64)), pa.array(np.maximum(a, c).astype(np.int64))], ["a", "b"])
+
+    return run
+
+
+def similar_classes(classes: DataFrame, cfg: OverlapConfig) -> DataFrame:
+    """(a, b): all pairs of a class with train rows and another with held-out ones, smaller first, whose texts are similar."""
+    spark = classes.sparkSession
+    train, held = classes.filter("train").select("class", "words"), classes.filter("held").select("class", "words")
+    n, chars = held.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("words")), F.lit(0))).first()
+    blocks = max(1, -(-n // (cfg.block_texts * 3 // 4)), -(-chars // (cfg.block_chars * 3 // 4)))
+    out = spark.createDataFrame([], "a long, b long")
+    for i in range(blocks):
+        t = held.filter(F.pmod(F.xxhash64("class"), F.lit(blocks)) == i).toArrow()
+        blk = text_block(t.column("class").to_numpy(), t.column("words").to_pylist(), cfg)
+        if blk:
+            out = out.unionByName(train.mapInArrow(_scan_texts(spark.sparkContext.broadcast(blk), cfg), "a long, b long"))
+    return out
+
+
 def _across(rows: DataFrame, key: str) -> DataFrame:
     """Pairs of different classes that share a key, of which one has train rows and the other held-out ones, smaller class first."""
     left = rows.filter("train").select(F.col("class").alias("t"), key)
@@ -270,6 +375,7 @@ def split_overlaps(df: DataFrame, record: Column, same_id: Column, split: Column
         .withColumn("total", F.sum("length").over(whole))
         .filter(F.col("sum") - F.col("length") <= (1 - cfg.least_overlap) * F.col("total"))
         .withColumn("rest", F.col("total") - F.max("sum").over(whole))
+        .withColumn("last", F.max(F.struct("n", "digest")).over(whole))
     )
     candidates = _likely(rare, cfg)
     names = classes.select("class", "words")
@@ -280,7 +386,8 @@ def split_overlaps(df: DataFrame, record: Column, same_id: Column, split: Column
         .mapInArrow(_check_texts(cfg), "a long, b long, similarity double, overlap double")
     )
     equal = classes.filter((F.length("words") >= 3) & F.col("train") & F.col("held")).select(F.col("class").alias("a"), F.col("class").alias("b"))
-    by_text = _expand(pairs.select("a", "b").unionByName(equal), members)
+    similar = pairs.select("a", "b").unionByName(similar_classes(classes, cfg)).distinct()
+    by_text = _expand(similar.unionByName(equal), members)
     # (c) vectors
     keyed = scratch.cut(rows.select("id", "v", "train", "held").mapInArrow(_vector_keys(cfg), "id long, train boolean, held boolean, key long, v binary").dropDuplicates(["id"]))
     vclasses, vmembers = _classes(keyed, "key", ["v"], scratch)
