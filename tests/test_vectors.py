@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vectrine.functions import vectors as ve
 from vectrine.operators import crypto, knn, metrics, preparation, privacy, routing
+from vectrine.plans import queries
 
 RNG = np.random.default_rng(5)
 
@@ -116,6 +117,22 @@ def test_candidates_of_a_perturbed_query(spark):
     assert (n(0.0), n(0.2), n(5.0), n(5.0, cap=7)) == (3, 5, 10, 7)
 
 
+@pytest.fixture
+def tied(tmp_path, spark):
+    """Tables of 400 vectors, a third of which equal the query's."""
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((400, 64))
+    v[1:134] = v[0]
+    rows = [(i, x.tolist(), i % 3) for i, x in enumerate(v)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    return str(tmp_path)
+
+
+def test_more_ties_at_the_kth_place_than_places(spark, tied):
+    got = queries.QUERIES["relaxed_positives"](spark, tied).collect()
+    assert len({r.doc_idx for r in got if r.query_id == 0}) == len([r for r in got if r.query_id == 0]) == 134
+
+
 def test_quality_metrics(spark):
     ranked = spark.createDataFrame([(1, 1, 10), (1, 2, 11), (1, 3, 12), (2, 1, 10), (3, 1, 99)], "query_id long, rank int, doc_idx long")
     qrels = spark.createDataFrame([(1, 12), (1, 50), (1, 12), (3, 98)], "query_id long, doc_idx long")

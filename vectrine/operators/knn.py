@@ -126,6 +126,39 @@ def exact_knn(docs: DataFrame, doc: Column, vector: Column, queries: DataFrame,
     return out.dropDuplicates([*keys, "doc_idx"]).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(*keys, "rank", "doc_idx", "theta")
 
 
+def _scan_within(shared, dim: int | None):
+    def run(batches):
+        blk = shared.value
+        low = np.cos(np.clip(blk.group, 0, np.pi)) - 1e-8
+        for b in batches:
+            rows, m, norms = usable(b.column(1), dim)
+            if len(rows) == 0:
+                continue
+            ids = take(b.column(0), rows).to_numpy()
+            unit = m.astype(np.float64) / norms[:, None]
+            for lo in range(0, len(low), 1024):
+                q, d = np.nonzero((c := blk.unit[lo : lo + 1024] @ unit.T) >= low[lo : lo + 1024, None])
+                t = rounded_angles(c[q, d])
+                near = t <= blk.group[lo + q]
+                q, d, t = lo + q[near], d[near], t[near]
+                if len(q):
+                    yield pa.record_batch([pa.array(blk.ids[q]), pa.array(ids[d]), pa.array(t)], ["query_id", "doc_idx", "theta"])
+
+    return run
+
+
+def docs_within(docs: DataFrame, doc: Column, vector: Column, queries: DataFrame, query: Column, query_vector: Column, limit: Column, dim: int | None = None) -> DataFrame:
+    """(query_id, rank, doc_idx, theta): all documents within each query's angle ``limit``, however many; ranks by :func:`exact_knn`'s order."""
+    spark = docs.sparkSession
+    rows = docs.select(doc.cast("long").alias("id"), vector.alias("v")).filter("id is not null and v is not null")
+    asked = queries.select(query.cast("long").alias("id"), query_vector.alias("v"), limit.cast("double").alias("group")).filter("id is not null and v is not null and group is not null")
+    schema = "query_id long, doc_idx long, theta double"
+    parts = [rows.mapInArrow(_scan_within(spark.sparkContext.broadcast(b), dim), schema) for b in query_blocks(asked, dim, True)]
+    out = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    w = Window.partitionBy("query_id").orderBy("theta", "doc_idx")
+    return out.groupBy("query_id", "doc_idx").agg(F.min("theta").alias("theta")).withColumn("rank", F.row_number().over(w)).select("query_id", "rank", "doc_idx", "theta")
+
+
 #: Centers that a pass holds.
 CENTER_BLOCK = 65536
 
