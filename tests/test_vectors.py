@@ -133,6 +133,11 @@ def test_more_ties_at_the_kth_place_than_places(spark, tied):
     assert len({r.doc_idx for r in got if r.query_id == 0}) == len([r for r in got if r.query_id == 0]) == 134
 
 
+def test_more_candidates_than_a_hundred(spark, tied):
+    got = [r.doc_idx for r in queries.QUERIES["distance_candidates"](spark, tied).collect() if r.query_id == 0]
+    assert len(got) == len(set(got)) and set(got) >= set(range(134))
+
+
 def test_quality_metrics(spark):
     ranked = spark.createDataFrame([(1, 1, 10), (1, 2, 11), (1, 3, 12), (2, 1, 10), (3, 1, 99)], "query_id long, rank int, doc_idx long")
     qrels = spark.createDataFrame([(1, 12), (1, 50), (1, 12), (3, 98)], "query_id long, doc_idx long")

@@ -414,7 +414,9 @@ def perturbed_queries(spark, sf):
 @query()
 def distance_candidates(spark, sf):
     q = privacy.perturb_distance(asked(spark, sf), 6400.0, DIM)
-    scored = knn.exact_knn(docs(spark, sf), F.col("doc_idx"), F.col("v"), q, F.col("query_id"), F.col("perturbed"), 100, DIM)
+    near = knn.exact_knn(docs(spark, sf), F.col("doc_idx"), F.col("v"), q, F.col("query_id"), F.col("perturbed"), EVAL_K, DIM)
+    kth = near.filter(F.col("rank") == EVAL_K).select("query_id", F.col("theta").alias("kth"))
+    scored = knn.docs_within(docs(spark, sf), F.col("doc_idx"), F.col("v"), q.join(kth, "query_id"), F.col("query_id"), F.col("perturbed"), F.col("kth") + F.col("delta_alpha") + 2e-9, DIM)
     return privacy.distance_candidates(scored, q.select("query_id", "delta_alpha"), EVAL_K).select("query_id", "rank", "doc_idx")
 
 
