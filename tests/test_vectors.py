@@ -138,6 +138,14 @@ def test_more_candidates_than_a_hundred(spark, tied):
     assert len(got) == len(set(got)) and set(got) >= set(range(134))
 
 
+def test_transfer_of_whole_texts(spark, tied):
+    """Document 3 has no row, 4 a null text."""
+    texts = [(i, None if i == 4 else "é" * 500) for i in range(400) if i != 3]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tied}/documents.parquet")
+    got = {r.query_id: r for r in queries.QUERIES["oblivious_transfer"](spark, tied).collect()}
+    assert got[0].received == 5 and 8 * 1000 < got[0].bytes_sent < 8 * 1000 + 10 * 70
+
+
 def test_quality_metrics(spark):
     ranked = spark.createDataFrame([(1, 1, 10), (1, 2, 11), (1, 3, 12), (2, 1, 10), (3, 1, 99)], "query_id long, rank int, doc_idx long")
     qrels = spark.createDataFrame([(1, 12), (1, 50), (1, 12), (3, 98)], "query_id long, doc_idx long")

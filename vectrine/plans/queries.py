@@ -857,8 +857,8 @@ def encrypted_ranking(spark, sf):
 
 @query()
 def oblivious_transfer(spark, sf):
-    texts = read(spark, sf, "documents").select(F.col("doc_id").alias("doc_idx"), F.substring(F.coalesce("text", F.lit("")), 1, 40).alias("text"))
-    t = truth(spark, sf, 10).join(texts, "doc_idx")
+    texts = read(spark, sf, "documents").select(F.col("doc_id").alias("doc_idx"), "text")
+    t = truth(spark, sf, 10).join(texts, "doc_idx", "left").withColumn("text", F.coalesce("text", F.lit("")))
     p = t.select("query_id", (F.col("rank") - 1).alias("position"), crypto.payload_json(F.col("doc_idx"), F.col("text")).alias("payload"), (F.col("rank") <= 5).alias("wanted"))
     return crypto.oblivious_transfer(p, 128, 7)
 
