@@ -146,6 +146,12 @@ def test_transfer_of_whole_texts(spark, tied):
     assert got[0].received == 5 and 8 * 1000 < got[0].bytes_sent < 8 * 1000 + 10 * 70
 
 
+def test_encrypted_and_plain_integers_rank_alike(spark, tied):
+    """The vectors differ in length, so that the integers move documents into the top five."""
+    key = lambda name: {(r.query_id, r["rank"], r.doc_idx) for r in queries.QUERIES[name](spark, tied).collect()}
+    assert key("encrypted_ranking") == key("integer_ranking")
+
+
 def test_quality_metrics(spark):
     ranked = spark.createDataFrame([(1, 1, 10), (1, 2, 11), (1, 3, 12), (2, 1, 10), (3, 1, 99)], "query_id long, rank int, doc_idx long")
     qrels = spark.createDataFrame([(1, 12), (1, 50), (1, 12), (3, 98)], "query_id long, doc_idx long")

@@ -851,7 +851,7 @@ def integer_ranking(spark, sf):
 @query()
 def encrypted_ranking(spark, sf):
     keys = crypto.key_pair(256, 7)
-    c = crypto.encrypted_scores(_integer_pairs(spark, sf, EVAL_K), keys.public, 5000**2, 7)
+    c = crypto.encrypted_scores(_integer_pairs(spark, sf, FIXED_K), keys.public, 5000**2, 7)
     return knn.rank_pairs(crypto.decrypt_scores(c, keys, 5000**2), EVAL_K, score="distance").select("query_id", "rank", "doc_idx", F.round("distance", 6).alias("distance"))
 
 
