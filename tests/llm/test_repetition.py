@@ -1,8 +1,12 @@
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vectrine.llm.repetition import RepetitionConfig, perplexities, repeated_share, repetition, tokens
+from vectrine.llm.ngram_model import perplexities, tokens
+from vectrine.llm.repetition import RepetitionConfig, repeated_share, repetition
 
 
 def brute_share(t):
@@ -60,12 +64,59 @@ def test_shares_by_their_definition():
     assert repeated_share(None) is None
 
 
-def test_probabilities_add_up_over_a_context(spark):
-    """In a corpus whose contexts all have two continuations, the perplexity is near two."""
-    rng = np.random.default_rng(1)
-    d = spark.createDataFrame([(i, " ".join(rng.choice(["a", "b"], 200))) for i in range(60)], "i long, t string")
-    p = perplexities(d, F.col("i"), F.col("t")).toPandas()
-    assert len(p) == 60 and 1.7 < p.perplexity.median() < 2.4
+class BruteModel:
+    """Modified Kneser-Ney of orders 5 to 1, by its definition, with strings and dictionaries."""
+
+    def __init__(self, texts):
+        self.counts = [Counter() for _ in range(5)]  # orders 1 to 5
+        for t in texts:
+            w = ["^"] * 4 + t.split()
+            for i in range(4, len(w)):
+                self.counts[4][tuple(w[i - 4 : i + 1])] += 1
+        for k in (3, 2, 1, 0):
+            for g in self.counts[k + 1]:
+                self.counts[k][g[1:]] += 1
+        self.d = []
+        for c in self.counts:
+            n = [max(1, sum(v == r for v in c.values())) for r in (1, 2, 3, 4)]
+            y = n[0] / (n[0] + 2 * n[1])
+            self.d.append([0, *(min(max(r - (r + 1) * y * n[r] / n[r - 1], 0.1), r - 0.05) for r in (1, 2, 3))])
+        self.after = [{} for _ in range(5)]
+        for k, c in enumerate(self.counts):
+            for g, v in c.items():
+                self.after[k].setdefault(g[:-1], []).append(v)
+
+    def chance(self, g):
+        k = len(g) - 1
+        if k < 0:
+            return 1 / len(self.counts[0])
+        here, d, v = self.after[k][g[:-1]], self.d[k], self.counts[k][g]
+        return (v - d[min(v, 3)]) / sum(here) + sum(d[min(x, 3)] for x in here) / sum(here) * self.chance(g[1:])
+
+    def perplexity(self, t):
+        w = ["^"] * 4 + t.split()
+        return math.exp(-sum(math.log(self.chance(tuple(w[i - 4 : i + 1]))) for i in range(4, len(w))) / (len(w) - 4))
+
+
+@pytest.mark.parametrize("bucket_rows", [40, 1 << 18])
+def test_perplexities_against_brute_force(spark, rng, bucket_rows):
+    """Small buckets split the frequent words; both languages have a model of their own."""
+    vocab = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(60)]
+    chance = 1 / np.arange(1, 61)
+    rows = [(i, " ".join(rng.choice(vocab, rng.integers(1, 60), p=chance / chance.sum())), i % 2) for i in range(80)]
+    d = spark.createDataFrame(rows + [(90, "", 0), (91, None, 1)], "i long, t string, m int")
+    got = perplexities(d, F.col("i"), F.col("t"), F.col("m"), 2, bucket_rows).toPandas().set_index("row").perplexity.to_dict()
+    models = [BruteModel([t for _, t, m in rows if m == k]) for k in (0, 1)]
+    assert got == pytest.approx({i: models[m].perplexity(t) for i, t, m in rows})
+    for g in list(models[0].after[2])[:50]:  # the chances after a context add up to one
+        assert sum(models[0].chance((*g, w)) for (w,) in models[0].counts[0] ) == pytest.approx(1)
+
+
+def test_bands_reject_few(spark, rng):
+    rows = corpus(rng)
+    d = spark.createDataFrame(rows, "doc long, text string, lang string")
+    got = repetition(d, F.col("doc"), F.col("text"), F.col("lang"), RepetitionConfig(least_documents=20)).toPandas()
+    assert 0 < (got.verdict != "kept").mean() < 0.3
 
 
 def test_empty_corpus_and_tokens(spark):

@@ -139,10 +139,15 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p10_scores(spark: SparkSession, sf: str) -> DataFrame:
     d = _read(spark, sf, "documents")
-    return repetition(d, F.col("doc_id"), F.col("text"), F.col("lang")).withColumnRenamed("id", "doc_id")
+    return repetition(d, F.col("doc_id"), F.col("text"), F.col("lang")).select(F.col("id").alias("doc_id"), F.round("share", 9).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_contributors, p2_subset, p3_found, p3_groups, p4_found, p4_links, p5_found, p6_found, p6_report, p7_found, p7_pieces, p8_ids, p9_containers, p10_found, p10_scores)}
+def p10_bands(spark: SparkSession, sf: str) -> DataFrame:
+    d = _read(spark, sf, "documents")
+    return repetition(d, F.col("doc_id"), F.col("text"), F.col("lang")).select(F.col("id").alias("doc_id"), "perplexity", "verdict")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_contributors, p2_subset, p3_found, p3_groups, p4_found, p4_links, p5_found, p6_found, p6_report, p7_found, p7_pieces, p8_ids, p9_containers, p10_found, p10_scores, p10_bands)}
 
 _WHITE = r"[\s\p{Z}\x{0b}\x{85}\x{1c}-\x{1f}]"
 _TRIM = lambda c: f"regexp_replace({c}, '^{_WHITE}+|{_WHITE}+$', '', 'g')"
@@ -179,6 +184,11 @@ f AS (
 ), o AS (SELECT train_id, held_id, bool_or(by_id) AS by_id, bool_or(by_text) AS by_text, bool_or(by_vector) AS by_vector FROM f GROUP BY ALL)
 """
 _MEASURED = lambda c: _TRIM(f"regexp_replace({c}, '{_WHITE}+', ' ', 'g')")
+_SHARES = f"""
+WITH t AS (SELECT doc_id, lower({_MEASURED('text')}) AS t FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, length(t) - 29 AS n, unnest(list_transform(range(1, length(t) - 28), lambda i: substr(t, i, 30))) AS w FROM t WHERE length(t) >= 100),
+s AS (SELECT doc_id, 1 - count(DISTINCT w) / n AS share FROM w GROUP BY doc_id, n)
+"""
 
 SQL = {
     "p1_found": _CAPPED + "SELECT unit_id FROM r WHERE rank > 10 AND contributor IS NOT NULL",
@@ -196,8 +206,6 @@ QUALIFY row_number() OVER (PARTITION BY query_idx ORDER BY round(list_cosine_sim
     "p7_found": f"""
 SELECT DISTINCT doc_id FROM raw_corpus
 WHERE length({_MEASURED(f"CASE WHEN text IS NULL OR regexp_replace(text, '{_WHITE}+', '', 'g') = '' THEN contents ELSE text END")}) > 2000""",
-    "p10_found": f"""
-WITH t AS (SELECT doc_id, lower({_MEASURED('text')}) AS t FROM documents WHERE text IS NOT NULL),
-w AS (SELECT doc_id, length(t) - 29 AS n, unnest(list_transform(range(1, length(t) - 28), lambda i: substr(t, i, 30))) AS w FROM t WHERE length(t) >= 100)
-SELECT doc_id FROM w GROUP BY doc_id, n HAVING 1 - count(DISTINCT w) / n >= 0.25""",
+    "p10_found": _SHARES + "SELECT doc_id FROM s WHERE share >= 0.25",
+    "p10_scores": _SHARES + "SELECT doc_id, round(share, 9) AS share FROM t LEFT JOIN s USING (doc_id) WHERE t <> ''",
 }

@@ -1,21 +1,18 @@
 """Repetition inside a single document.
 
-Method: n-gram perplexity.  Spark counts the n-grams of the whole corpus, and a
-modified Kneser-Ney model of order 5, which falls back to order 4 and then to
-the single tokens, is built from the counts.  It is stored in sorted arrays of
-64-bit hashes, in buckets by the middle of the n-gram, which hold everything
-that both orders need.  Each document gets its perplexity; a document outside
-the band of its language is rejected.  A document that says the same over and
-over has seen its own n-grams before, so its perplexity is low.
-
-The share of repeated character windows of the rejected documents is then
-measured exactly.
+Method: n-gram perplexity.  Each document gets its perplexity under a modified
+Kneser-Ney model of its language, counted over the whole corpus (ngram_model);
+a document outside its language's band is rejected.  A document that says the
+same over and over has seen its own n-grams before, so its perplexity is low.
+
+No perplexity bounds the share of a text that is repetition, so the share of
+repeated character windows is measured exactly, for every text, whatever its
+verdict.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,205 +20,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectrine.functions.arrow_vectors import flat, take
-from vectrine.llm.text import U64, collapse, mix, slices, span_hashes
+from vectrine.llm.ngram_model import perplexities
+from vectrine.llm.text import collapse, slices, span_hashes
 from vectrine.plans.materialize import Scratch
 
-ORDER = 5
-#: Buckets of the array of single tokens: a fixed size, whatever the vocabulary.
-UNIGRAMS = 1 << 20
-
 
 @dataclass(frozen=True)
 class RepetitionConfig:
-    """A document is rejected below ``lower`` or above ``upper`` times its language's median perplexity.
-
-    Languages of fewer than ``least_documents`` share the median of all.
-    Windows are of ``window`` characters; texts of fewer than ``least_chars``
-    have no share.
+    """A document is rejected if the logarithm of its perplexity is further than ``spread`` deviations from its language's median.
+
+    The deviation is 1.4826 times the median distance from the median, so a
+    band rejects few, however many documents are odd.  A language of fewer than
+    ``least_documents`` different texts, or beyond the ``most_languages`` of
+    most texts, shares one model and band with its like; 0 gives each of the
+    most common languages its own.  Windows are of ``window`` characters; texts
+    of fewer than ``least_chars`` have no share.
     """
 
-    lower: float = 0.98
-    upper: float = 3.0
+    spread: float = 3.0
     least_documents: int = 50
+    most_languages: int = 1024
     window: int = 30
     least_chars: int = 100
     #: n-grams a bucket of the model holds, about.
     bucket_rows: int = 1 << 18
 
 
-@lru_cache(maxsize=1)
-def _kinds() -> np.ndarray:
-    """0 for white space and controls, 1 for what makes up words, 2 for ideographs and kana, 3 for the rest, of the first 65,536 characters."""
-    t = np.full(1 << 16, 3, np.uint8)
-    for c in range(1 << 16):
-        ch = chr(c)
-        if ch.isspace() or c < 32:
-            t[c] = 0
-        elif ch.isalnum() or 0x300 <= c < 0x370:
-            t[c] = 1
-    for a, b in ((0x3040, 0x3100), (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00)):
-        t[a:b] = 2
-    return t
-
-
-def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes of all tokens and the number of tokens of each text: pieces of words of up to 8 characters, single ideographs and signs."""
-    data = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
-    kind = np.full(len(data), 3, np.uint8)
-    low = data < (1 << 16)
-    kind[low] = _kinds()[data[low]]
-    at = np.arange(len(data))
-    fresh = np.ones(len(data), bool)
-    fresh[1:] = (kind[1:] != kind[:-1]) | (kind[1:] != 1)
-    run = np.maximum.accumulate(np.where(fresh, at, 0))
-    begin = (kind != 0) & (fresh | ((kind == 1) & ((at - run) % 8 == 0)))
-    start = np.flatnonzero(begin)
-    stop = np.empty_like(start)
-    if len(start):
-        stop[:-1], stop[-1] = start[1:], len(data)
-        # a token ends before white space: of a word piece, count its characters up to the next start
-        word = kind[start] == 1
-        inside = np.concatenate([[0], np.cumsum(kind == 1)])
-        stop = np.where(word, start + inside[stop] - inside[start], start + 1)
-    counts = np.diff(np.concatenate([[0], np.searchsorted(start, ends)]))
-    return (span_hashes(data, start, stop) >> U64(32)).astype(np.uint64), counts
-
-
-def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, tokens 1 and 2, tokens 3 and 4, token 5, number of tokens): the n-gram that ends at each token; texts begin with four marks."""
-    t, counts = tokens(texts)
-    pad = ORDER - 1
-    total = counts + pad
-    owner = np.repeat(np.arange(len(texts)), total)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(total) - total, total)
-    padded = np.ones(len(owner), np.uint64)
-    padded[place >= pad] = t
-    end = np.flatnonzero(place >= pad)
-    g = [padded[end - j] for j in range(pad, -1, -1)]
-    return owner[end], (g[0] << U64(32)) | g[1], (g[2] << U64(32)) | g[3], g[4], counts
-
-
-def _key(ab: np.ndarray, cd: np.ndarray, e: np.ndarray) -> np.ndarray:
-    return mix(mix(mix(ab) + cd) + e)
-
-
-def _texts(col) -> list[str]:
-    return [collapse(t).lower() for t in flat(col).to_pylist()]
-
-
-def _count(buckets: int):
-    """n-grams of the corpus with their counts, added up within a batch."""
-
-    def run(batches):
-        for b in (part for whole in batches for part in slices(whole, 0)):
-            _, ab, cd, e, _ = _grams(_texts(b.column(0)))
-            if len(ab) == 0:
-                continue
-            order = np.lexsort((e, cd, ab))
-            ab, cd, e = ab[order], cd[order], e[order]
-            new = np.ones(len(ab), bool)
-            new[1:] = (ab[1:] != ab[:-1]) | (cd[1:] != cd[:-1]) | (e[1:] != e[:-1])
-            at = np.flatnonzero(new)
-            n = np.diff(np.concatenate([at, [len(ab)]]))
-            ab, cd, e = ab[at], cd[at], e[at]
-            bucket = mix(mix(ab & U64(0xFFFFFFFF)) ^ cd) % U64(buckets)
-            yield pa.record_batch([pa.array(bucket.astype(np.int32)), pa.array(ab.view(np.int64)), pa.array(cd.view(np.int64)), pa.array(((e << U64(32)) | n.astype(np.uint64)).view(np.int64))], ["bucket", "ab", "cd", "en"])
-
-    return run
-
-
-def _count_tokens(batches):
-    for b in (part for whole in batches for part in slices(whole, 0)):
-        t, _ = tokens(_texts(b.column(0)))
-        if len(t):
-            k, n = np.unique(t % U64(UNIGRAMS), return_counts=True)
-            yield pa.record_batch([pa.array(k.astype(np.int32)), pa.array(n)], ["k", "n"])
-
-
-def _discounts(n: np.ndarray) -> np.ndarray:
-    """The three discounts of modified Kneser-Ney, by the numbers of n-grams that occur once to four times."""
-    t = [max(1, int((n == i).sum())) for i in (1, 2, 3, 4)]
-    y = t[0] / (t[0] + 2 * t[1])
-    d = [1 - 2 * y * t[1] / t[0], 2 - 3 * y * t[2] / t[1], 3 - 4 * y * t[3] / t[2]]
-    return np.array([min(max(v, 0.1), i - 0.05) for v, i in zip(d, (1, 2, 3))])
-
-
-def _level(n: np.ndarray, context: np.ndarray, below: np.ndarray) -> np.ndarray:
-    """Interpolated probabilities of n-grams with counts ``n``, given the lower order's."""
-    d = _discounts(n)[np.minimum(n, 3) - 1]
-    total = np.bincount(context, weights=n)
-    spare = np.bincount(context, weights=d)
-    return (n - d) / total[context] + (spare / total)[context] * below
-
-
-def _model(unigrams):
-    """One bucket: hashes of its n-grams and the logarithm of their probability, in the order of the hashes."""
-
-    def run(t: pa.Table) -> pa.Table:
-        one = unigrams.value
-        ab, cd, en = (t.column(c).to_numpy().view(np.uint64) for c in ("ab", "cd", "en"))
-        e, n = en >> U64(32), (en & U64(0xFFFFFFFF)).astype(np.int64)
-        order = np.lexsort((e, cd, ab))
-        ab, cd, e, n = ab[order], cd[order], e[order], n[order]
-        new = np.ones(len(ab), bool)
-        new[1:] = (ab[1:] != ab[:-1]) | (cd[1:] != cd[:-1]) | (e[1:] != e[:-1])
-        at = np.flatnonzero(new)
-        n = np.add.reduceat(n, at)
-        ab, cd, e = ab[at], cd[at], e[at]
-        b = ab & U64(0xFFFFFFFF)
-        # order 4: in how many different contexts the last four tokens occur
-        suffix = _key(b, cd, e)
-        names, first, inv = np.unique(suffix, return_index=True, return_inverse=True)
-        other = np.bincount(inv)
-        context = np.unique(_key(b, cd, np.zeros(1, np.uint64))[first], return_inverse=True)[1]
-        low = one[(e[first] % U64(UNIGRAMS)).astype(np.int64)]
-        p4 = _level(other, context, low)[inv]
-        context = np.unique(_key(ab, cd, np.zeros(1, np.uint64)), return_inverse=True)[1]
-        p5 = _level(n, context, p4)
-        key = _key(ab, cd, e)
-        order = np.argsort(key)
-        return pa.table({"key": key[order].view(np.int64), "logp": np.log(p5[order])})
-
-    return run
-
-
-def _lookups(batches):
-    for b in (part for whole in batches for part in slices(whole, 1)):
-        owner, ab, cd, e, _ = _grams(_texts(b.column(1)))
-        if len(owner) == 0:
-            continue
-        key = _key(ab, cd, e)
-        order = np.lexsort((key, owner))
-        owner, key = owner[order], key[order]
-        new = np.ones(len(owner), bool)
-        new[1:] = (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])
-        at = np.flatnonzero(new)
-        n = np.diff(np.concatenate([at, [len(owner)]])).astype(np.int32)
-        yield pa.record_batch([take(b.column(0), owner[at]), pa.array(key[at].view(np.int64)), pa.array(n)], ["row", "key", "n"])
-
-
-def perplexities(df: DataFrame, record: Column, text: Column, cfg: RepetitionConfig = RepetitionConfig()) -> DataFrame:
-    """(row, perplexity): of each id's text under the model of all texts of ``df``; ids whose texts have no token are left out."""
-    spark = df.sparkSession
-    rows = df.select(record.alias("row"), text.alias("t")).filter("t is not null and row is not null")
-    singles = rows.select("t").mapInArrow(_count_tokens, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # at most UNIGRAMS rows
-    one = np.zeros(UNIGRAMS)
-    one[singles.column("k").to_numpy()] = singles.column("n").to_numpy()
-    total = one.sum()
-    if total == 0:
-        return rows.select("row", F.lit(None).cast("double").alias("perplexity")).filter("false")
-    shared = spark.sparkContext.broadcast((one / total).astype(np.float64))
-    buckets = 1 << max(3, int(np.ceil(np.log2(total / cfg.bucket_rows))))
-    counted = rows.select("t").mapInArrow(_count(buckets), "bucket int, ab long, cd long, en long")
-    model = counted.groupBy("bucket").applyInArrow(_model(shared), "key long, logp double")
-    kind = rows.schema["row"].dataType.simpleString()
-    asked = rows.mapInArrow(_lookups, f"row {kind}, key long, n int")
-    # a hot n-gram is one row a document here: adaptive execution splits its join, the model side is unique
-    scored = asked.hint("merge").join(model, "key").groupBy("row").agg(F.sum(F.col("logp") * F.col("n")).alias("s"), F.sum("n").alias("n"))
-    return scored.select("row", F.exp(-F.col("s") / F.col("n")).alias("perplexity"))
-
-
 def repeated_share(text: str | None, window: int = 30, least: int = 100) -> float | None:
     """1 - distinct / all windows of consecutive characters of the lower-cased text with single blanks; None below ``least`` characters."""
     plain = collapse(text).lower()
@@ -236,7 +60,7 @@ def repeated_share(text: str | None, window: int = 30, least: int = 100) -> floa
 
 def _shares(cfg: RepetitionConfig):
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             texts = flat(b.column(1)).to_pylist()
             said = np.flatnonzero([bool(collapse(t)) for t in texts])
             share = [repeated_share(texts[i], cfg.window, cfg.least_chars) for i in said]
@@ -251,21 +75,26 @@ def repetition(df: DataFrame, record: Column, text: Column, lang: Column, cfg: R
     ``verdict`` is 'low', 'high' or 'kept' by the band of the document's
     language (spelling aside; null is a language of its own), null for a text
     without a token; ``share`` is the repeated share of every document, null
-    for short texts only.  Null, empty and blank texts, and rows without an id,
-    are left out.  Ids should be unique.  An empty table gives an empty result.
-    Texts are read whole.
+    for short texts only.  Copies of a text are one text, in the language that
+    its smallest id names.  Null, empty and blank texts, and rows without an
+    id, are left out.  Ids should be unique.  An empty table gives an empty
+    result.  Texts are read whole.
     """
-    scratch = Scratch(df.sparkSession)
+    spark = df.sparkSession
+    scratch = Scratch(spark)
     rows = df.select(record.alias("id"), text.alias("t"), F.coalesce(F.lower(F.trim(lang)), F.lit("")).alias("lang")).filter("t is not null and id is not null").withColumn("key", F.sha2("t", 256))
-    # copies are one text, named by their smallest id
-    texts = scratch.cut(rows.groupBy("key").agg(F.min("id").alias("rep"), F.first("t").alias("t")))
+    texts = scratch.cut(rows.groupBy("key").agg(F.min("id").alias("rep"), F.first("t").alias("t"), F.min_by("lang", "id").alias("lang")))
+    own = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= cfg.least_documents).orderBy(F.desc("n"), "lang").limit(cfg.most_languages).collect()
+    table = F.broadcast(spark.createDataFrame([(r.lang, i + 1) for i, r in enumerate(own)], "lang string, model int"))
+    texts = texts.join(table, "lang", "left").select("key", "rep", "t", F.coalesce("model", F.lit(0)).alias("model"))
     kind = rows.schema["id"].dataType.simpleString()
     shares = texts.select("rep", "t").mapInArrow(_shares(cfg), f"rep {kind}, share double")
-    scores = perplexities(texts, F.col("rep"), F.col("t"), cfg).withColumnRenamed("row", "rep")
-    measured = texts.select("key", "rep").join(shares, "rep").join(scores, "rep", "left")
-    p = scratch.cut(rows.select("id", "lang", "key").join(measured, "key").drop("key"))
-    median = p.dropDuplicates(["lang", "rep"]).groupBy("lang").agg(F.count("perplexity").alias("n"), F.percentile_approx("perplexity", 0.5, 10000).alias("m"))
-    over_all = p.dropDuplicates(["rep"]).agg(F.percentile_approx("perplexity", 0.5, 10000)).first()[0]
-    middle = F.when(F.col("n") >= cfg.least_documents, F.col("m")).otherwise(F.lit(over_all).cast("double"))
-    verdict = F.when(F.col("perplexity") < cfg.lower * middle, "low").when(F.col("perplexity") > cfg.upper * middle, "high").when(F.col("perplexity").isNotNull(), "kept")
-    return p.join(median, "lang").select("id", "perplexity", verdict.alias("verdict"), "share")
+    scores = perplexities(texts, F.col("rep"), F.col("t"), F.col("model"), len(own) + 1, cfg.bucket_rows).select(F.col("row").alias("rep"), F.log("perplexity").alias("p"))
+    measured = scratch.cut(texts.select("key", "rep", "model").join(shares, "rep").join(scores, "rep", "left"))
+    middle = measured.groupBy("model").agg(F.percentile_approx("p", 0.5, 10000).alias("m"))  # one row a model, as below
+    off = measured.join(F.broadcast(middle), "model").withColumn("off", F.col("p") - F.col("m"))
+    wide = off.groupBy("model").agg(F.percentile_approx(F.abs("off"), 0.5, 10000).alias("d"))
+    far = cfg.spread * 1.4826 * F.col("d")
+    verdict = F.when(F.col("off") < -far, "low").when(F.col("off") > far, "high").when(F.col("off").isNotNull(), "kept")
+    judged = off.join(F.broadcast(wide), "model").select("key", F.exp("p").alias("perplexity"), verdict.alias("verdict"), "share")
+    return rows.select("id", "key").join(judged, "key").select("id", "perplexity", "verdict", "share")
