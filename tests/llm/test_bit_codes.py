@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vectrine.llm.bit_codes import BitCodeConfig, encode, most_similar, rotation, signs
+from vectrine.llm.bit_codes import BitCodeConfig, byte_tables, encode, estimates, most_similar, rotation, routed_similar
 
 
 def brute(docs, queries, k):
@@ -39,7 +39,23 @@ def test_the_estimate_and_its_bound(rng):
     q /= np.linalg.norm(q)
     codes, s = encode(x, r)
     assert codes.shape == (3000, 8)
-    est = signs(codes, 64) @ (r.astype(np.float32) @ q) / s
+    y = (r.astype(np.float32) @ q)[None]
+    assert np.allclose(estimates(codes, byte_tables(y))[:, 0], (np.unpackbits(codes, axis=1) * 2.0 - 1) @ y[0] / 8, atol=1e-5)
+    est = estimates(codes, byte_tables(y))[:, 0] / s
     err = est - x @ q
     bound = np.sqrt((1 - s * s) / (s * s) / 63)
     assert abs(err.mean()) < 0.01 and (np.abs(err) <= 3 * bound).mean() > 0.995
+
+
+def test_recall_of_routed_queries(spark, vectors, rng):
+    """Groups and strays, every tenth row asks; a part of a list is small, so long lists are split."""
+    centers = rng.standard_normal((30, 64))
+    docs = [(i, centers[i % 30] + (3.0 if i % 5 == 0 else 0.9) * rng.standard_normal(64)) for i in range(6000)]
+    d = vectors(docs)
+    cfg = BitCodeConfig(part_rows=100)
+    got = {(r["query"], r["neighbour"]) for r in routed_similar(d, F.col("id"), F.col("v"), d.filter("id % 10 = 0"), F.col("id"), F.col("v"), cfg).collect()}
+    x = np.array([v for _, v in docs], np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = {(q, int(j)) for q in range(0, 6000, 10) for j in np.argsort(-(x @ x[q]), kind="stable")[:5]}
+    assert len(got) == len(want) and len(got & want) / len(want) >= 0.9
+    assert routed_similar(vectors([]), F.col("id"), F.col("v"), d, F.col("id"), F.col("v")).count() == 0

@@ -10,7 +10,7 @@ SCHEMA = "i long, q string, s string, split string, text string, v array<float>,
 
 def run(spark, rows):
     d = spark.createDataFrame([(*r, "clash", 1) for r in rows], SCHEMA)
-    got = split_overlaps(d, F.col("i"), F.coalesce("s", "q"), F.col("split"), F.col("text"), F.col("v")).collect()
+    got = split_overlaps(d, F.col("i"), F.coalesce("s", "q"), F.col("split"), F.col("text"), F.col("v")).pairs().collect()
     return {(r.train_id, r.held_id): (r.by_id, r.by_text, r.by_vector) for r in got}
 
 
@@ -49,6 +49,33 @@ def test_against_brute_force(spark, rng):
     assert run(spark, rows + rows[:10]) == brute(rows)
 
 
+def test_records_against_brute_force(spark, rng):
+    vocab = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 9))) for _ in range(40)]
+    say = lambda n: " ".join(rng.choice(vocab, n))
+    shared = [say(8) for _ in range(5)]
+    rows = [(i, f"q{i}", f"s{i % 11}" if i % 4 == 0 else None, ("train", "evaluation", None)[i % 3], f"{say(6)} {shared[i % 5]} {say(6)}" if i % 7 else None, rng.standard_normal(64).tolist()) for i in range(90)]
+    rows += [(200 + i, f"h{i}", "hot", "train" if i % 2 else "calibration", "copied", None) for i in range(40)]
+    d = spark.createDataFrame([(*r, "clash", 1) for r in rows], SCHEMA)
+    o = split_overlaps(d, F.col("i"), F.coalesce("s", "q"), F.col("split"), F.col("text"), F.col("v"))
+    got = {r.held_id: r for r in o.records().collect()}
+    pairs = brute(rows)
+    assert set(got) == {r[0] for r in rows if r[3] in ("calibration", "evaluation")}
+    for i, r in got.items():
+        mine = [f for (_, b), f in pairs.items() if b == i]
+        assert (r.by_id, r.by_text, r.by_vector) == tuple(any(f[k] for f in mine) for k in range(3))
+
+    def chunks(t):
+        o, k, n = chunk_spans([t or ""], OverlapConfig())
+        return list(zip(k.tolist(), n.tolist()))
+
+    train = {k for r in rows if r[3] == "train" for k, _ in chunks(r[4])}
+    for r in rows:
+        if r[0] in got:
+            c = chunks(r[4])
+            assert (got[r[0]].overlap is None) if not c else abs(got[r[0]].overlap - sum(n for k, n in c if k in train) / sum(n for _, n in c)) < 1e-9
+    assert any(0 < (r.overlap or 0) < 1 for r in got.values())
+
+
 def test_empty_table_and_long_texts(spark):
     assert run(spark, []) == {}
     long = " ".join(f"word{i}" for i in range(30_000))
@@ -58,11 +85,13 @@ def test_empty_table_and_long_texts(spark):
 
 def test_chunks_make_up_the_text_and_survive_edits():
     cfg = OverlapConfig()
-    a = "how to polish a dusty copper kettle before the winter starts in may"
+    a = "how to polish a dusty copper kettle before the winter starts in may and what to do with the old lid when all of the polish is gone by june"
     b = a.replace("dusty", "rusty")
     o, d, n = chunk_spans([a, "", b], cfg)
     assert n[o == 0].sum() == len(a) and n[o == 2].sum() == len(b) and not (o == 1).any()
-    assert len(set(d[o == 0]) & set(d[o == 2])) >= 0.6 * (o == 0).sum()
+    shared = set(d[o == 0]) & set(d[o == 2])
+    assert n[(o == 0) & np.isin(d, list(shared))].sum() >= 0.4 * len(a)
+    assert 10 <= n.mean() <= 30
 
 
 def test_edits_in_every_chunk_hide_no_pair(spark, rng):

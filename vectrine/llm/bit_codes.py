@@ -4,13 +4,17 @@ A unit vector o is rotated and kept as the signs of its D coordinates, packed
 in D/8 bytes, and one correction scalar s = <x, R o>, where x is the sign
 vector over sqrt(D).  For a rotated unit query y, <x, y> / s estimates the
 cosine without bias, with an error of at most
-error * sqrt((1 - s^2) / s^2 / (D - 1)) but for a vanishing share.  Vectors
-whose upper bound reaches the k-th best cosine known so far are reranked by
-their exact cosine.
+error * sqrt((1 - s^2) / s^2 / (D - 1)) but for a vanishing share.  <x, y> is
+read off the packed bytes: a query has a table of the 256 sums of each byte, so
+an estimate takes D/8 additions.  Vectors whose upper bound reaches the k-th
+best cosine known so far are reranked by their exact cosine.
 
-Rows are never shuffled: queries go to the vectors in blocks of fixed size, one
-pass over the vectors a block, and each partition returns at most k rows a
-query.  The k-th best within a bounded sample of the vectors starts the bound.
+Two ways lead from the queries to the codes.  ``most_similar`` holds a query
+set against all rows: vectors are never shuffled, the queries go to them in
+blocks of fixed size, one pass over the codes a block, and each partition
+returns at most k rows a query.  ``routed_similar`` serves a query set that is
+itself large: codes lie in lists by their nearest center, long lists in parts,
+and a query is sent to the parts of its nearest lists only.
 """
 
 from __future__ import annotations
@@ -22,19 +26,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectrine.functions.arrow_vectors import take, usable
-from vectrine.llm.kmeans import bounded_sample
+from vectrine.functions.arrow_vectors import flat, list_column, take, usable
+from vectrine.llm.kmeans import bounded_sample, mini_batch_kmeans
+from vectrine.plans.materialize import Scratch
 
 
 @dataclass(frozen=True)
 class BitCodeConfig:
-    """``query_block`` queries (4 * dim bytes each) are broadcast at a time: 32 MB at 64 dimensions."""
+    """``query_block`` queries (4 * dim bytes each) are broadcast at a time: 32 MB at 64 dimensions.
+
+    Routed queries visit ``probes`` of about sqrt(rows) lists, ``most_lists``
+    at most; a part of a list has about ``part_rows`` codes.
+    """
 
     dim: int = 64
     k: int = 5
     error: float = 3.0
     query_block: int = 131072
     sample_rows: int = 8192
+    most_lists: int = 4096
+    probes: int = 48
+    part_rows: int = 65536
     #: Decimals that decide whether two cosines are equal.
     decimals: int = 12
     seed: int = 42
@@ -52,9 +64,23 @@ def encode(unit: np.ndarray, rot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(x > 0, axis=1), np.abs(x).sum(1) / np.sqrt(unit.shape[1])
 
 
-def signs(codes: np.ndarray, dim: int) -> np.ndarray:
-    """The sign vectors over sqrt(dim) that packed codes stand for."""
-    return (np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dim))
+def byte_tables(y: np.ndarray) -> np.ndarray:
+    """By byte of the code, its value, and query: the sum of the rotated queries' (rows of ``y``) coordinates with the signs of that byte, over sqrt(D)."""
+    n, dim = y.shape
+    padded = np.zeros((n, -(-dim // 8) * 8), np.float32)
+    padded[:, :dim] = y / np.float32(np.sqrt(dim))
+    sign = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1
+    return np.einsum("bs,qjs->jbq", sign, padded.reshape(n, -1, 8), optimize=True).astype(np.float32)
+
+
+def estimates(codes: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """<x, y> of each code with each query."""
+    out = tables[0][codes[:, 0]]
+    held = np.empty_like(out)
+    for j in range(1, len(tables)):
+        np.take(tables[j], codes[:, j], axis=0, out=held)
+        out += held
+    return out
 
 
 def exact_cosines(m: np.ndarray, norms: np.ndarray, q: np.ndarray, qn: np.ndarray) -> np.ndarray:
@@ -89,37 +115,83 @@ class Best:
         self.kth[q[full]] = c[full]
 
 
-def _scan(cfg: BitCodeConfig, block):
+class _Search:
+    """A set of queries and the best vectors they have met."""
+
+    def __init__(self, cfg: BitCodeConfig, ids: np.ndarray, raw: np.ndarray, norm: np.ndarray, floor: np.ndarray):
+        self.cfg, self.ids, self.raw, self.norm, self.floor = cfg, ids, raw, norm, floor
+        self.unit = (raw / norm[:, None]).astype(np.float32)
+        y = self.unit @ rotation(cfg.dim, cfg.seed).T.astype(np.float32)
+        self.tables = [byte_tables(y[a : a + 512]) for a in range(0, len(y), 512)]
+        self.best = Best(len(raw), cfg.k)
+
+    def meet(self, ids: np.ndarray, m: np.ndarray, norms: np.ndarray, codes: np.ndarray, s: np.ndarray) -> None:
+        cfg = self.cfg
+        for lo in range(0, len(m), 1024):
+            part, pn, pi, ps, pc = (x[lo : lo + 1024] for x in (m, norms, ids, s.astype(np.float32), codes))
+            pu = (part / pn[:, None]).astype(np.float32)
+            slack = (cfg.error * np.sqrt(np.maximum(0, 1 - ps * ps) / (cfg.dim - 1)) + 1e-5).astype(np.float32)
+            for n, table in enumerate(self.tables):
+                ql = n * 512
+                low = np.maximum(self.best.kth[ql : ql + 512], self.floor[ql : ql + 512]) - 10.0**-cfg.decimals
+                # estimate + error >= the k-th best
+                at = np.flatnonzero(estimates(pc, table) >= ps[:, None] * low.astype(np.float32) - slack[:, None])
+                d, q = at // len(low), at % len(low)
+                close = np.concatenate([np.einsum("ij,ij->i", pu[d[x : x + 65536]], self.unit[ql + q[x : x + 65536]]) for x in range(0, len(d), 65536)] or [np.empty(0)])
+                good = close >= low[q] - 1e-5
+                d, q = d[good], q[good] + ql
+                self.best.add(q, pi[d], np.round(exact_cosines(part[d], pn[d], self.raw[q], self.norm[q]), cfg.decimals))
+
+    def found(self) -> pa.RecordBatch:
+        b = self.best
+        return pa.record_batch([pa.array(self.ids[b.q], pa.int64()), pa.array(b.i, pa.int64()), pa.array(b.c, pa.float64())], ["query", "neighbour", "cosine"])
+
+
+_HITS = "query long, neighbour long, cosine double"
+
+
+def _packed(codes: np.ndarray) -> pa.Array:
+    n, width = codes.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(codes).tobytes())])
+
+
+def _unpacked(col) -> np.ndarray:
+    arr = flat(col)
+    off = np.frombuffer(arr.buffers()[1], np.int32)[arr.offset : arr.offset + len(arr) + 1]
+    return np.frombuffer(arr.buffers()[2], np.uint8)[off[0] : off[-1]].reshape(len(arr), -1)
+
+
+def _encode(cfg: BitCodeConfig, centers: np.ndarray | None = None, parts: np.ndarray | None = None):
+    """(id, vector, code, scalar), with centers also the part of a list, of each usable vector."""
+
     def run(batches):
-        qid, qraw, qnorm, floor = block.value
         rot = rotation(cfg.dim, cfg.seed)
-        unit = (qraw / qnorm[:, None]).astype(np.float32)
-        y = (unit @ rot.T.astype(np.float32)).T
-        best = Best(len(qraw), cfg.k)
         for b in batches:
             rows, m, norms = usable(b.column(1), cfg.dim)
-            ids = take(b.column(0), rows).to_numpy()
-            for lo in range(0, len(m), 2048):
-                part, pn, pi = m[lo : lo + 2048], norms[lo : lo + 2048], ids[lo : lo + 2048]
-                pu = (part / pn[:, None]).astype(np.float32)
-                codes, s = encode(pu, rot)
-                slack = cfg.error * np.sqrt(np.maximum(0, 1 - s * s) / (cfg.dim - 1)) + 1e-5
-                left = np.concatenate([signs(codes, cfg.dim), -s[:, None], slack[:, None]], 1).astype(np.float32)
-                for ql in range(0, len(unit), 4096):
-                    qs = slice(ql, ql + 4096)
-                    low = np.maximum(best.kth[qs], floor[qs]) - 10.0**-cfg.decimals
-                    right = np.concatenate([y[:, qs], low[None].astype(np.float32), np.ones((1, len(low)), np.float32)])
-                    at = np.flatnonzero(left @ right >= 0)  # estimate + error >= the k-th best
-                    d, q = at // right.shape[1], at % right.shape[1]
-                    close = np.concatenate(
-                        [np.einsum("ij,ij->i", pu[d[x : x + 65536]], unit[ql + q[x : x + 65536]]) for x in range(0, len(d), 65536)] or [np.empty(0)]
-                    )
-                    good = close >= low[q] - 1e-5
-                    d, q = d[good], q[good] + ql
-                    c = np.round(exact_cosines(part[d], pn[d], qraw[q], qnorm[q]), cfg.decimals)
-                    best.add(q, pi[d], c)
-        if len(best.q):
-            yield pa.record_batch([pa.array(qid[best.q]), pa.array(best.i), pa.array(best.c)], ["query", "neighbour", "cosine"])
+            if len(rows) == 0:
+                continue
+            unit = (m / norms[:, None]).astype(np.float32)
+            codes, s = encode(unit, rot)
+            cols = [take(b.column(0), rows), take(b.column(1), rows), _packed(codes), pa.array(s.astype(np.float32))]
+            names = ["id", "v", "code", "s"]
+            if centers is not None:
+                own = (unit @ centers.T).argmax(1)
+                h = (cols[0].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                cols.append(pa.array((np.cumsum(parts) - parts)[own] + (h % parts[own].astype(np.uint64)).astype(np.int64)))
+                names.append("part")
+            yield pa.record_batch(cols, names)
+
+    return run
+
+
+def _scan(cfg: BitCodeConfig, block):
+    def run(batches):
+        search = _Search(cfg, *block.value)
+        for b in batches:
+            if b.num_rows:
+                _, m, norms = usable(b.column(1), cfg.dim)
+                search.meet(b.column(0).to_numpy(), m, norms, _unpacked(b.column(2)), b.column(3).to_numpy())
+        yield search.found()
 
     return run
 
@@ -134,10 +206,20 @@ def _floor(ids: np.ndarray, sample: np.ndarray, unit: np.ndarray, k: int) -> np.
     return out
 
 
+def _rows(df: DataFrame, record: Column, vector: Column) -> DataFrame:
+    return df.select(record.cast("long").alias("id"), vector.alias("v")).filter("id is not null and v is not null")
+
+
+def _ranked(hits: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query").orderBy(F.desc("cosine"), "neighbour")
+    # each partition gives its k best, so repeats of an id from two partitions go first
+    return hits.dropDuplicates(["query", "neighbour"]).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query", "rank", "neighbour", "cosine")
+
+
 def most_similar(
     docs: DataFrame, doc: Column, vector: Column, queries: DataFrame, query: Column, query_vector: Column, cfg: BitCodeConfig = BitCodeConfig()
 ) -> DataFrame:
-    """(query, rank, neighbour, cosine): the ``cfg.k`` different vectors of highest cosine for each query.
+    """(query, rank, neighbour, cosine): the ``cfg.k`` different vectors of highest cosine for each query, among all vectors.
 
     Of cosines that agree in ``cfg.decimals`` decimals the smaller id goes
     first.  Vectors and queries that are null, all zero, of the wrong length or
@@ -146,11 +228,13 @@ def most_similar(
     give an empty result.
     """
     spark = docs.sparkSession
-    rows = docs.select(doc.cast("long").alias("id"), vector.alias("v")).filter("id is not null and v is not null")
-    asked = queries.select(query.cast("long").alias("id"), query_vector.alias("v")).filter("id is not null and v is not null")
+    rows, asked = _rows(docs, doc, vector), _rows(queries, query, query_vector)
     ids, sample, _ = bounded_sample(rows, F.col("id"), F.col("v"), cfg.dim, cfg.sample_rows)
     blocks = max(1, -(-asked.count() // (cfg.query_block * 3 // 4)))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    codes = rows.mapInArrow(_encode(cfg), f"id long, v {rows.schema['v'].dataType.simpleString()}, code binary, s float")
+    if blocks > 1:  # encoded once, whatever the number of passes
+        codes = Scratch(spark).cut(codes)
     out = None
     for n in range(blocks):
         t = asked.filter(F.col("block") == n).select("id", "v").toArrow()
@@ -161,10 +245,64 @@ def most_similar(
             continue
         unit = (raw / norm[:, None]).astype(np.float32)
         block = spark.sparkContext.broadcast((qid, raw, norm, _floor(ids, sample, unit, cfg.k)))
-        hits = rows.mapInArrow(_scan(cfg, block), "query long, neighbour long, cosine double")
-        w = Window.partitionBy("query").orderBy(F.desc("cosine"), "neighbour")
-        # each partition gives its k best, so repeats of an id from two partitions go first
-        top = hits.dropDuplicates(["query", "neighbour"]).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cfg.k)
-        top = top.select("query", "rank", "neighbour", "cosine")
+        top = _ranked(codes.mapInArrow(_scan(cfg, block), _HITS), cfg.k)
         out = top if out is None else out.unionByName(top)
     return out if out is not None else spark.createDataFrame([], "query long, rank int, neighbour long, cosine double")
+
+
+def _route(cfg: BitCodeConfig, centers: np.ndarray, parts: np.ndarray):
+    """Each query with the parts of its nearest lists."""
+    first = np.cumsum(parts) - parts
+
+    def run(batches):
+        for b in batches:
+            rows, m, norms = usable(b.column(1), cfg.dim)
+            if len(rows) == 0:
+                continue
+            s = (m / norms[:, None]).astype(np.float32) @ centers.T
+            n = min(cfg.probes, len(centers))
+            near = np.argpartition(-s, n - 1, axis=1)[:, :n]
+            count = parts[near].sum(1)
+            lists = near.ravel()
+            place = np.arange(count.sum()) - np.repeat(np.cumsum(parts[lists]) - parts[lists], parts[lists])
+            targets = np.repeat(first[lists], parts[lists]) + place
+            yield pa.record_batch([take(b.column(0), rows), take(b.column(1), rows), list_column(targets, count, pa.int64())], ["id", "v", "parts"])
+
+    return run
+
+
+def _visit(cfg: BitCodeConfig):
+    def run(key, codes: pa.Table, asked: pa.Table) -> pa.Table:
+        if codes.num_rows == 0 or asked.num_rows == 0:
+            return pa.table({"query": pa.array([], pa.int64()), "neighbour": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
+        at, raw, norm = usable(asked.column("v"), cfg.dim)
+        qid, first = np.unique(asked.column("id").to_numpy()[at], return_index=True)
+        search = _Search(cfg, qid, raw[first], norm[first], np.full(len(qid), -2.0))
+        _, m, norms = usable(codes.column("v"), cfg.dim)
+        search.meet(codes.column("id").to_numpy(), m, norms, _unpacked(codes.column("code")), codes.column("s").to_numpy())
+        return pa.Table.from_batches([search.found()])
+
+    return run
+
+
+def routed_similar(
+    docs: DataFrame, doc: Column, vector: Column, queries: DataFrame, query: Column, query_vector: Column, cfg: BitCodeConfig = BitCodeConfig()
+) -> DataFrame:
+    """(query, rank, neighbour, cosine): as ``most_similar``, among the vectors of the query's ``cfg.probes`` nearest lists.
+
+    The centers are fitted on a bounded sample (``cfg.sample_rows``); every row
+    is then in a list.  Neither rows nor queries pass through the driver.  What
+    a query's other lists hold is not seen, so a neighbour may be missed; a
+    test measures the recall.
+    """
+    rows, asked = _rows(docs, doc, vector), _rows(queries, query, query_vector)
+    _, sample, total = bounded_sample(rows, F.col("id"), F.col("v"), cfg.dim, cfg.sample_rows)
+    if len(sample) == 0:
+        return docs.sparkSession.createDataFrame([], "query long, rank int, neighbour long, cosine double")
+    centers = mini_batch_kmeans(sample, int(min(cfg.most_lists, max(1, np.sqrt(total)))), cfg.seed)
+    share = np.bincount((sample @ centers.T).argmax(1), minlength=len(centers)) / len(sample)
+    parts = np.maximum(1, np.ceil(share * total / cfg.part_rows)).astype(np.int64)
+    kind = rows.schema["v"].dataType.simpleString()
+    codes = rows.mapInArrow(_encode(cfg, centers, parts), f"id long, v {kind}, code binary, s float, part long")
+    sent = asked.mapInArrow(_route(cfg, centers, parts), f"id long, v {asked.schema['v'].dataType.simpleString()}, parts array<long>").select("id", "v", F.explode("parts").alias("part"))
+    return _ranked(codes.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(_visit(cfg), _HITS), cfg.k)

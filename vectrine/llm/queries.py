@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vectrine.llm.bit_codes import BitCodeConfig, most_similar
+from vectrine.llm.bit_codes import BitCodeConfig, most_similar, routed_similar
 from vectrine.llm.capping import cap_per_contributor, contributor_key
 from vectrine.llm.near_duplicates import NearDuplicateConfig, near_duplicates
 from vectrine.llm.packing import PackConfig, fill_containers
 from vectrine.llm.repetition import repetition
 from vectrine.llm.similarity_groups import similarity_groups
-from vectrine.llm.split_overlap import split_overlaps
+from vectrine.llm.split_overlap import ROLL_BASE, ROLL_PRIME, split_overlaps
 from vectrine.llm.splitting import split_oversized
 from vectrine.llm.tokenizer import TokenizerFile, encode_corpus, token_counts
 from vectrine.llm.varied_subset import varied_subset
@@ -77,21 +77,38 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select(F.col("query").alias("query_idx"), F.col("neighbour").alias("doc_idx"))
 
 
+def p5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The 5 most similar others of every doc whose doc_idx is divisible by 100, among all docs, by lists."""
+    docs = _read(spark, sf, "workset_docs")
+    asked = docs.filter("doc_idx % 100 = 0")
+    hits = routed_similar(docs, F.col("doc_idx"), F.col("embedding"), asked, F.col("doc_idx"), F.col("embedding"), BitCodeConfig(k=6))
+    w = Window.partitionBy("query").orderBy("rank")
+    others = hits.filter("query <> neighbour").withColumn("rank", F.row_number().over(w)).filter("rank <= 5")
+    return others.select(F.col("query").alias("doc_idx"), "rank", F.col("neighbour").alias("neighbour_idx"), F.round("cosine", 9).alias("cosine"))
+
+
 def _overlaps(spark: SparkSession, sf: str) -> DataFrame:
     q = _read(spark, sf, "workset_queries")
     return split_overlaps(q, F.col("query_idx"), F.coalesce("source_query_id", "query_id"), F.col("split_role"), F.col("text"), F.col("embedding"))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _overlaps(spark, sf).select(F.least("train_id", "held_id").alias("query_idx_a"), F.greatest("train_id", "held_id").alias("query_idx_b"))
+    return _overlaps(spark, sf).pairs().select(F.least("train_id", "held_id").alias("query_idx_a"), F.greatest("train_id", "held_id").alias("query_idx_b"))
+
+
+def p6_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Each held-out row: whether a train row agrees with it, and the share of its text in chunks that train rows have."""
+    return _overlaps(spark, sf).records().withColumnRenamed("held_id", "query_idx").withColumn("overlap", F.round("overlap", 9))
 
 
 def p6_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Held-out rows with an overlap, and pairs by reason, of each split and dataset."""
+    """Held-out rows by the kind of their overlap, and the mean share of their text that train rows have, of each split and dataset."""
     role = F.lower(F.regexp_replace("split_role", r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
     rows = _read(spark, sf, "workset_queries").select(F.col("query_idx").alias("held_id"), role.alias("split"), "dataset").dropDuplicates(["held_id"])
-    count = [F.count_if(f).alias(f"pairs_{f}") for f in ("by_id", "by_text", "by_vector")]
-    return _overlaps(spark, sf).join(rows, "held_id").groupBy("split", "dataset").agg(F.count_distinct("held_id").alias("held_out_rows"), F.count(F.lit(1)).alias("pairs"), *count)
+    flags = ("by_id", "by_text", "by_vector")
+    count = [F.count_if(f).alias(f"rows_{f}") for f in flags]
+    of = _overlaps(spark, sf).records().join(rows, "held_id").groupBy("split", "dataset")
+    return of.agg(F.count(F.lit(1)).alias("held_out_rows"), F.count_if(F.expr(" or ".join(flags))).alias("overlapping_rows"), *count, F.round(F.avg("overlap"), 6).alias("mean_overlap"))
 
 
 def _body(df: DataFrame):
@@ -147,7 +164,7 @@ def p10_bands(spark: SparkSession, sf: str) -> DataFrame:
     return repetition(d, F.col("doc_id"), F.col("text"), F.col("lang")).select(F.col("id").alias("doc_id"), "perplexity", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_contributors, p2_subset, p3_found, p3_groups, p4_found, p4_links, p5_found, p6_found, p6_report, p7_found, p7_pieces, p8_ids, p9_containers, p10_found, p10_scores, p10_bands)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_contributors, p2_subset, p3_found, p3_groups, p4_found, p4_links, p5_found, p5_neighbours, p6_found, p6_records, p6_report, p7_found, p7_pieces, p8_ids, p9_containers, p10_found, p10_scores, p10_bands)}
 
 _WHITE = r"[\s\p{Z}\x{0b}\x{85}\x{1c}-\x{1f}]"
 _TRIM = lambda c: f"regexp_replace({c}, '^{_WHITE}+|{_WHITE}+$', '', 'g')"
@@ -183,6 +200,21 @@ f AS (
   UNION ALL SELECT a.i, b.i, false, false, true FROM ok a JOIN ok b ON a.r = 'train' AND b.r IN ('calibration', 'evaluation') AND list_cosine_similarity(a.v, b.v) >= 0.97
 ), o AS (SELECT train_id, held_id, bool_or(by_id) AS by_id, bool_or(by_text) AS by_text, bool_or(by_vector) AS by_vector FROM f GROUP BY ALL)
 """
+_ROLL = " + ".join(f"ascii(substr(w, e - {7 - j}, 1)) * {pow(ROLL_BASE, 7 - j, ROLL_PRIME)}::HUGEINT" for j in range(8))
+_RECORDS = (
+    _OVERLAPS
+    + f""", x AS (SELECT DISTINCT w FROM q WHERE w <> '' AND r IN ('train', 'calibration', 'evaluation')),
+y AS (SELECT w, list_concat(list_filter(range(8, length(w)), lambda e: ({_ROLL}) % {ROLL_PRIME} % 16 = 0), [length(w)]) AS cuts FROM x),
+ch AS (SELECT w, unnest(list_transform(range(1, len(cuts) + 1), lambda i: substr(w, CASE WHEN i = 1 THEN 1 ELSE cuts[i - 1] + 1 END, cuts[i] - CASE WHEN i = 1 THEN 0 ELSE cuts[i - 1] END))) AS chunk FROM y),
+tc AS (SELECT DISTINCT chunk FROM ch WHERE w IN (SELECT w FROM t)),
+fr AS (SELECT w, round(sum(CASE WHEN chunk IN (SELECT chunk FROM tc) THEN length(chunk) ELSE 0 END) / sum(length(chunk)), 9) AS overlap FROM ch GROUP BY w),
+hr AS (SELECT held_id, bool_or(by_id) AS by_id, bool_or(by_text) AS by_text, bool_or(by_vector) AS by_vector FROM o GROUP BY held_id),
+z AS (
+  SELECT h.i AS query_idx, h.r AS split, dataset, coalesce(by_id, false) AS by_id, coalesce(by_text, false) AS by_text, coalesce(by_vector, false) AS by_vector, fr.overlap
+  FROM h LEFT JOIN hr ON held_id = h.i LEFT JOIN fr ON fr.w = h.w
+)
+"""
+)
 _MEASURED = lambda c: _TRIM(f"regexp_replace({c}, '{_WHITE}+', ' ', 'g')")
 _SHARES = f"""
 WITH t AS (SELECT doc_id, lower({_MEASURED('text')}) AS t FROM documents WHERE text IS NOT NULL),
@@ -200,9 +232,10 @@ q AS ({_USABLE.format(id='query_idx', t='workset_queries', more=f"AND lower({_TR
 SELECT query_idx, doc_idx FROM q, d
 QUALIFY row_number() OVER (PARTITION BY query_idx ORDER BY round(list_cosine_similarity(q.v, d.v), 12) DESC, doc_idx) <= 5""",
     "p6_found": _OVERLAPS + "SELECT least(train_id, held_id) AS query_idx_a, greatest(train_id, held_id) AS query_idx_b FROM o",
-    "p6_report": _OVERLAPS
-    + """SELECT r AS split, dataset, count(DISTINCT held_id) AS held_out_rows, count(*) AS pairs, count(*) FILTER (WHERE by_id) AS pairs_by_id,
-  count(*) FILTER (WHERE by_text) AS pairs_by_text, count(*) FILTER (WHERE by_vector) AS pairs_by_vector FROM o JOIN h ON h.i = held_id GROUP BY r, dataset""",
+    "p6_records": _RECORDS + "SELECT query_idx, by_id, by_text, by_vector, overlap FROM z",
+    "p6_report": _RECORDS
+    + """SELECT split, dataset, count(*) AS held_out_rows, count(*) FILTER (WHERE by_id OR by_text OR by_vector) AS overlapping_rows, count(*) FILTER (WHERE by_id) AS rows_by_id,
+  count(*) FILTER (WHERE by_text) AS rows_by_text, count(*) FILTER (WHERE by_vector) AS rows_by_vector, round(avg(overlap), 6) AS mean_overlap FROM z GROUP BY split, dataset""",
     "p7_found": f"""
 SELECT DISTINCT doc_id FROM raw_corpus
 WHERE length({_MEASURED(f"CASE WHEN text IS NULL OR regexp_replace(text, '{_WHITE}+', '', 'g') = '' THEN contents ELSE text END")}) > 2000""",

@@ -2,24 +2,27 @@
 
 Method, for texts: content-defined chunks.  A rolling hash of the last few
 characters of the normalised record decides the cuts, so an edit changes the
-chunks around it and no others.  Chunk digests are joined across the splits,
-and the lengths of the shared chunks add up to each record's overlap fraction.
-Only the rarest chunks of a record are joined, as many as it takes that the
-rest is shorter than the least overlap: a pair with that overlap shares one of
-them.  Pairs whose shared length can't reach the least overlap any more, or
-whose numbers of trigrams are too far apart, end there; the others are checked
-by the exact similarity of their trigrams.
-
-A similarity of trigrams doesn't imply that overlap, so every pair of texts is
-also held against each other by a prefix filter that loses none: the held-out
-texts go to the train texts in blocks, and a pair is checked if so many of the
-rarest trigrams of both agree that the rest can still make it similar.
+chunks around it and no others.  Chunk digests are joined across the splits:
+the lengths of a held-out record's chunks that any train record has add up to
+its overlap fraction.
+
+For pairs, only the rarest chunks of a record are joined, as many as it takes
+that the rest is shorter than the least overlap: a pair with that overlap
+shares one of them.  Pairs whose shared length can't reach the least overlap
+any more, or whose numbers of trigrams are too far apart, end there; the others
+are checked by the exact similarity of their trigrams.
+
+A similarity of trigrams doesn't imply that overlap (short texts with an edit in
+every chunk have none), so the texts are also held against each other by a
+prefix filter that loses no pair: the held-out texts go to the train texts in
+blocks, and a pair is checked if so many of the rarest trigrams of both agree
+that the rest can still make it similar.
 
 Equal ids are joined.  Near-equal vectors share a band of random sign bits with
 probability above 0.9999 and are checked by their exact cosine.
 
 Equal texts, and equal vectors, are one class that takes part once, however
-many rows it has.
+many rows it has; record pairs are made of class pairs only if asked for.
 """
 
 from __future__ import annotations
@@ -36,14 +39,19 @@ from vectrine.llm.text import U64, mix, slices, span_hashes
 from vectrine.plans.materialize import Scratch
 
 
+#: The rolling hash is a polynomial over the characters, modulo a prime.
+ROLL_BASE = 1_000_003
+ROLL_PRIME = (1 << 31) - 1
+
+
 @dataclass(frozen=True)
 class OverlapConfig:
     dim: int = 64
     cosine: float = 0.97
     similarity: float = 0.7
     #: Characters that the rolling hash covers; one place in ``divisor`` is a cut.
-    roll: int = 3
-    divisor: int = 4
+    roll: int = 8
+    divisor: int = 16
     #: Least share of the longer record's text in shared chunks that makes a candidate.
     least_overlap: float = 0.3
     #: Held-out texts, and their characters, that are broadcast at a time, about.
@@ -62,10 +70,9 @@ def chunk_spans(texts: list[str], cfg: OverlapConfig) -> tuple[np.ndarray, np.nd
         return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
     starts = ends - np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     h = np.zeros(len(data), np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(cfg.roll):
-            h[cfg.roll - 1 :] = h[cfg.roll - 1 :] * U64(257) + data[j : len(data) - cfg.roll + 1 + j].astype(np.uint64)
-    cut = mix(h + U64(cfg.seed)) % U64(cfg.divisor) == 0
+    for j in range(cfg.roll if len(data) >= cfg.roll else 0):
+        h[cfg.roll - 1 :] = (h[cfg.roll - 1 :] * U64(ROLL_BASE) + data[j : len(data) - cfg.roll + 1 + j].astype(np.uint64)) % U64(ROLL_PRIME)
+    cut = h % U64(cfg.divisor) == 0
     owner = np.repeat(np.arange(len(texts)), ends - starts)
     at = np.arange(len(data))
     cut &= (at - starts[owner] >= cfg.roll - 1) & (at < ends[owner] - 2)  # a cut comes after its place, within the text
@@ -82,7 +89,7 @@ def chunk_spans(texts: list[str], cfg: OverlapConfig) -> tuple[np.ndarray, np.nd
 
 def _chunks(cfg: OverlapConfig):
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             texts = flat(b.column(1)).to_pylist()
             owner, digest, length = chunk_spans(texts, cfg)
             if len(owner) == 0:
@@ -116,29 +123,10 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return o, both & 0xFFFFFF, np.bincount(o, minlength=len(texts))
 
 
-def shared_length(left: list[str], right: list[str], cfg: OverlapConfig) -> np.ndarray:
-    """Characters in the chunks that the texts of each pair share."""
-    n = len(left)
-    o, d, length = chunk_spans(left + right, cfg)
-    if len(o) == 0:
-        return np.zeros(n)
-    pair, side = o % n, o >= n
-    order = np.lexsort((d, pair))
-    p, k, side, length = pair[order], d[order], side[order], length[order]
-    group = np.concatenate([[0], np.cumsum((p[1:] != p[:-1]) | (k[1:] != k[:-1]))])
-    m = group[-1] + 1
-    each = np.minimum(np.bincount(group, weights=length * ~side, minlength=m), np.bincount(group, weights=length * side, minlength=m))
-    of = np.zeros(m, np.int64)
-    of[group] = p
-    return np.bincount(of, weights=each, minlength=n)
-
-
 def _check_texts(cfg: OverlapConfig):
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 2, 3)):
             n = b.num_rows
-            if n == 0:
-                continue
             left, right = flat(b.column(2)).to_pylist(), flat(b.column(3)).to_pylist()
             owner, code, size = trigrams(left + right)
             both = np.sort((owner % n) << 24 | code)
@@ -146,9 +134,7 @@ def _check_texts(cfg: OverlapConfig):
             union = size[:n] + size[n:] - shared
             jac = shared / np.maximum(union, 1)
             good = np.flatnonzero((shared >= cfg.similarity * union - 1e-9) & (union > 0))
-            common = shared_length([left[i] for i in good], [right[i] for i in good], cfg)
-            least = np.array([min(len(left[i]), len(right[i])) for i in good])
-            yield pa.record_batch([take(b.column(0), good), take(b.column(1), good), pa.array(jac[good]), pa.array(common / np.maximum(least, 1))], ["a", "b", "similarity", "overlap"])
+            yield pa.record_batch([take(b.column(0), good), take(b.column(1), good), pa.array(jac[good])], ["a", "b", "similarity"])
 
     return run
 
@@ -337,14 +323,60 @@ def _across(rows: DataFrame, key: str) -> DataFrame:
     return left.hint("merge").join(right, key).filter("t <> h").select(F.least("t", "h").alias("a"), F.greatest("t", "h").alias("b")).distinct()
 
 
-def split_overlaps(df: DataFrame, record: Column, same_id: Column, split: Column, text: Column, vector: Column, train: str = "train", held_out: tuple[str, ...] = ("calibration", "evaluation"), cfg: OverlapConfig = OverlapConfig()) -> DataFrame:
-    """(train_id, held_id, by_id, by_text, by_vector): pairs of a train row and a held-out row that are the same or almost the same, and why.
+@dataclass
+class Overlaps:
+    """Overlaps between the train split and the held-out ones, by classes of equal texts and vectors.
+
+    ``rows``: (id, same, train, held); ``text_pairs`` and ``vector_pairs``:
+    (a, b) of similar classes, a = b for one that both sides have; the members
+    of classes; ``chunks`` of the classes of texts.
+    """
+
+    rows: DataFrame
+    text_pairs: DataFrame
+    text_members: DataFrame
+    vector_pairs: DataFrame
+    vector_members: DataFrame
+    chunks: DataFrame
+
+    def pairs(self) -> DataFrame:
+        """(train_id, held_id, by_id, by_text, by_vector): all pairs of rows, and why."""
+        ids = self.rows.filter("same is not null")
+        by_id = ids.filter("train").select(F.col("id").alias("train_id"), "same").join(ids.filter("held").select(F.col("id").alias("held_id"), "same"), "same")
+        found = (by_id, _expand(self.text_pairs, self.text_members), _expand(self.vector_pairs, self.vector_members))
+        flags = ("by_id", "by_text", "by_vector")
+        parts = [p.select("train_id", "held_id", *(F.lit(f == g).alias(g) for g in flags)) for f, p in zip(flags, found)]
+        return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("train_id", "held_id").agg(*(F.max(f).alias(f) for f in flags))
+
+    def records(self) -> DataFrame:
+        """(held_id, by_id, by_text, by_vector, overlap): every held-out row, whether a train row agrees with it, and the share of its text in chunks that train rows have (null without a text).
+
+        No pair of rows is formed, so a value that most rows have costs no more
+        than any other.
+        """
+        held = self.rows.filter("held").select(F.col("id").alias("held_id"), "same")
+        same = self.rows.filter("train and same is not null").select("same", F.lit(True).alias("by_id")).distinct()
+        out = held.join(same, "same", "left")
+        for flag, pairs, members in (("by_text", self.text_pairs, self.text_members), ("by_vector", self.vector_pairs, self.vector_members)):
+            trained = members.filter("train").select(F.col("class").alias("other"))
+            both = pairs.select(F.col("a").alias("class"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("class"), F.col("a").alias("other")))
+            hit = both.join(trained, "other", "left_semi").select("class", F.lit(True).alias(flag)).distinct()
+            out = out.join(members.filter("not train").join(hit, "class").select(F.col("id").alias("held_id"), flag), "held_id", "left")
+        seen = self.chunks.filter("train").select("digest", F.lit(True).alias("seen")).distinct()
+        share = self.chunks.filter("held").join(seen, "digest", "left").groupBy("class").agg((F.sum(F.when(F.col("seen"), F.col("length")).otherwise(0)) / F.sum("length")).alias("overlap"))
+        share = self.text_members.filter("not train").join(share, "class").select(F.col("id").alias("held_id"), "overlap")
+        flags = (F.coalesce(f, F.lit(False)).alias(f) for f in ("by_id", "by_text", "by_vector"))
+        return out.join(share, "held_id", "left").select("held_id", *flags, "overlap")
+
+
+def split_overlaps(df: DataFrame, record: Column, same_id: Column, split: Column, text: Column, vector: Column, cfg: OverlapConfig = OverlapConfig(), train: str = "train", held_out: tuple[str, ...] = ("calibration", "evaluation")) -> Overlaps:
+    """Train rows and held-out rows that are the same or almost the same, by id, text or vector.
 
     Splits and ids are compared trimmed and without regard to case; rows of
     other or null splits take no part, nor do rows without an id; a repeated id
     counts once.  Null and blank ids, null and wordless texts and unusable
     vectors (null, all zero, wrong length, not finite) agree with nothing.
-    Texts of fewer than three characters have no trigram and agree with
+    Texts of fewer than three characters have no trigram and are similar to
     nothing.  Empty tables give an empty result.
     """
     scratch = Scratch(df.sparkSession)
@@ -359,13 +391,9 @@ def split_overlaps(df: DataFrame, record: Column, same_id: Column, split: Column
         vector.alias("v"),
     ).filter("id is not null and (train or held)")
     plain = scratch.cut(rows.select("id", "same", "train", "held", "words").dropDuplicates(["id"]))
-    # (a) ids: every pair of a train and a held-out row of one id is a result
-    ids = plain.filter("same is not null")
-    by_id = ids.filter("train").select(F.col("id").alias("train_id"), "same").join(ids.filter("held").select(F.col("id").alias("held_id"), "same"), "same").select("train_id", "held_id")
-    # (b) texts
+    # texts
     classes, members = _classes(plain.filter("words is not null"), "words", [], scratch)
     chunks = scratch.cut(classes.select("class", "words", "train", "held").mapInArrow(_chunks(cfg), "class long, train boolean, held boolean, digest long, length long, grams long"))
-    # a digest that only one side has joins with nothing, but counts towards a record's length
     seen = chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("class").orderBy("n", "digest")
     whole = Window.partitionBy("class")
@@ -377,18 +405,17 @@ def split_overlaps(df: DataFrame, record: Column, same_id: Column, split: Column
         .withColumn("rest", F.col("total") - F.max("sum").over(whole))
         .withColumn("last", F.max(F.struct("n", "digest")).over(whole))
     )
-    candidates = _likely(rare, cfg)
     names = classes.select("class", "words")
     pairs = (
-        candidates.join(names.select(F.col("class").alias("a"), F.col("words").alias("wa")), "a")
+        _likely(rare, cfg)
+        .join(names.select(F.col("class").alias("a"), F.col("words").alias("wa")), "a")
         .join(names.select(F.col("class").alias("b"), F.col("words").alias("wb")), "b")
         .select("a", "b", "wa", "wb")
-        .mapInArrow(_check_texts(cfg), "a long, b long, similarity double, overlap double")
+        .mapInArrow(_check_texts(cfg), "a long, b long, similarity double")
     )
     equal = classes.filter((F.length("words") >= 3) & F.col("train") & F.col("held")).select(F.col("class").alias("a"), F.col("class").alias("b"))
-    similar = pairs.select("a", "b").unionByName(similar_classes(classes, cfg)).distinct()
-    by_text = _expand(similar.unionByName(equal), members)
-    # (c) vectors
+    text_pairs = scratch.cut(pairs.select("a", "b").unionByName(similar_classes(classes, cfg)).distinct().unionByName(equal))
+    # vectors
     keyed = scratch.cut(rows.select("id", "v", "train", "held").mapInArrow(_vector_keys(cfg), "id long, train boolean, held boolean, key long, v binary").dropDuplicates(["id"]))
     vclasses, vmembers = _classes(keyed, "key", ["v"], scratch)
     bands = vclasses.select("class", "train", "held", "v").mapInArrow(_vector_bands(cfg), "class long, train boolean, held boolean, keys array<long>").select("class", "train", "held", F.explode("keys").alias("band"))
@@ -400,7 +427,5 @@ def split_overlaps(df: DataFrame, record: Column, same_id: Column, split: Column
         .mapInArrow(_check_vectors(cfg), "a long, b long, cosine double")
     )
     equal = vclasses.filter("train and held").select(F.col("class").alias("a"), F.col("class").alias("b"))
-    by_vector = _expand(near.select("a", "b").unionByName(equal), vmembers)
-    flags = ("by_id", "by_text", "by_vector")
-    parts = [p.select("train_id", "held_id", *(F.lit(f == g).alias(g) for g in flags)) for f, p in zip(flags, (by_id, by_text, by_vector))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("train_id", "held_id").agg(*(F.max(f).alias(f) for f in flags))
+    vector_pairs = scratch.cut(near.select("a", "b").unionByName(equal))
+    return Overlaps(plain.select("id", "same", "train", "held"), text_pairs, members, vector_pairs, vmembers, chunks)
