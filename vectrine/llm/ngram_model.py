@@ -116,7 +116,7 @@ def _is_split(split: np.ndarray, cd: np.ndarray, le: np.ndarray) -> np.ndarray:
 
 
 def _count_tokens(batches):
-    for b in (part for whole in batches for part in slices(whole, 1, size=1 << 22)):
+    for b in (part for whole in batches for part in slices(whole, 1)):
         t, counts = tokens(_texts(b.column(1)))
         if len(t):
             owner = np.repeat(b.column(0).to_numpy().astype(np.uint64), counts)
@@ -128,7 +128,7 @@ def _count(buckets: int, split: np.ndarray):
     """n-grams with their counts, added up within a slice of the texts, by bucket."""
 
     def run(batches):
-        for b in (part for whole in batches for part in slices(whole, 1, size=1 << 22)):
+        for b in (part for whole in batches for part in slices(whole, 1)):
             _, ab, cd, le = grams(_texts(b.column(1)), b.column(0).to_numpy())
             if len(ab) == 0:
                 continue
@@ -289,7 +289,7 @@ def _low_orders(kept: DataFrame, scratch: Scratch, models: int) -> tuple[DataFra
     return (F.broadcast(low) if low.count() <= BROADCAST_ROWS else low), d[:4]
 
 
-def perplexities(df: DataFrame, record: Column, text: Column, model: Column, models: int, bucket_rows: int = 1 << 18) -> DataFrame:
+def perplexities(df: DataFrame, record: Column, text: Column, model: Column, models: int, bucket_rows: int = 1 << 17) -> DataFrame:
     """(row, perplexity): of each id's text under the model of all texts with the same number ``model`` (0 to ``models`` - 1); ids whose texts have no token are left out."""
     spark = df.sparkSession
     scratch = Scratch(spark)

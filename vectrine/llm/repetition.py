@@ -43,7 +43,7 @@ class RepetitionConfig:
     window: int = 30
     least_chars: int = 100
     #: n-grams a bucket of the model holds, about.
-    bucket_rows: int = 1 << 18
+    bucket_rows: int = 1 << 17
 
 
 def repeated_share(text: str | None, window: int = 30, least: int = 100) -> float | None:
