@@ -15,6 +15,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
 _ROOTS: list[str] = []
@@ -54,6 +55,15 @@ def work_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL[0]}"
 
 
+#: Rows of a few columns up to which a table is broadcast: tens of MB.
+BROADCAST_ROWS = 1 << 20
+
+
+def sized(table: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A side of a join that is broadcast if its counted ``rows`` allow, and else met by a sort-merge join."""
+    return F.broadcast(table) if rows <= most else table.hint("merge")
+
+
 class Scratch:
     """Intermediate tables of one operator call."""
 
@@ -64,11 +74,22 @@ class Scratch:
         self.paths: dict[int, str] = {}
         self.n = 0
 
-    def cut(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` and read it back: its lineage starts at the files."""
+    def cut(self, df: DataFrame, partitions: int = 0) -> DataFrame:
+        """Write ``df`` and read it back: its lineage starts at the files.
+
+        Its shuffles have ``partitions`` partitions at least, for a caller that
+        knows how much a step multiplies its rows; adaptive execution may still
+        join small ones and split skewed ones.
+        """
         path = f"{self.root}/{self.n}"
         self.n += 1
-        df.write.option("compression", "zstd").parquet(path)
+        usual = self.spark.conf.get("spark.sql.shuffle.partitions")
+        try:
+            if partitions > int(usual):
+                self.spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set("spark.sql.shuffle.partitions", usual)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
