@@ -45,6 +45,15 @@ def test_share_and_empty_table(spark):
         run(spark, rows)
 
 
+@pytest.mark.parametrize("cap", [1, 50, 250])
+def test_ranks_over_ranges(spark, rng, cap):
+    """A contributor with a third of the rows and more, and a cap that keeps much of it."""
+    rows = [("hot" if rng.random() < 0.5 else f"s{rng.integers(5)}", int(i), [None, 0.5, 0.5, float(rng.random())][rng.integers(4)]) for i in range(800)] + [(None, 9000, 0.5)]
+    assert run(spark, rows + rows[:50], max_count=cap, task_rows=0) == serial(rows, cap)
+    kept, _ = run(spark, rows, max_share=0.25, task_rows=0)
+    assert sum(c == "hot" for c, _ in kept) == min(200, sum(r[0] == "hot" for r in rows))
+
+
 def test_spellings_of_a_source(spark):
     rows = [(" d7\t", "x"), ("7", "x"), ("D7", "x"), (None, "D7::p3"), ("", "7::p1"), (None, "u1"), (None, None), (" D7 ", None)]
     d = spark.createDataFrame(rows, "s string, d string")

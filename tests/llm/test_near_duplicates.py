@@ -70,3 +70,12 @@ def test_words_by_their_definition():
     assert len(set(h.tolist())) == len(set(flat)) and all((h[i] == h[j]) == (flat[i] == flat[j]) for i in range(len(flat)) for j in range(len(flat)))
     o, s, r = shingles(*words(["a b c a b c a b c"]), 3, 3)
     assert len(s) == 3 and r.tolist() == [0]
+
+
+def test_the_exact_way_finds_what_bands_miss(spark, rng):
+    """With a single band of many rows hardly any pair is a candidate."""
+    rows = corpus(rng)
+    d = spark.createDataFrame(rows, "id long, text string")
+    poor = {"width": 3, "least_words": 8, "similarity": 0.6, "bands": 1, "band_rows": 40}
+    got = {k: {(r.a, r.b) for r in near_duplicates(d, F.col("id"), F.col("text"), NearDuplicateConfig(exact=k, **poor)).expanded().collect()} for k in (False, True)}
+    assert got[False] < got[True] == brute(rows, CFG)[1]

@@ -27,7 +27,7 @@ def test_small_groups_and_strays_are_covered_and_copies_are_not_repeated(spark,
     n += 400
     stray = list(range(n, n + 6))
     rows += [(i, c[20 + k]) for k, i in enumerate(stray)]
-    got = varied_subset(vectors(rows), F.col("id"), F.col("v"), count=70, cfg=SubsetConfig(clusters=6)).toPandas()
+    got = varied_subset(vectors(rows), F.col("id"), F.col("v"), count=70, cfg=SubsetConfig(clusters=6, stray=0.45)).toPandas()
     assert len(got) == 70 and got.id.is_unique
     ids = set(got.id)
     # their shares by size would be 0.6 and 3; square roots give about 2.5 and 6

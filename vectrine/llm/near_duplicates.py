@@ -8,8 +8,12 @@ is checked by the exact Jaccard similarity of its shingle sets.
 Records with equal shingle sets are one class, and only the class's smallest id
 takes part in banding, so a text that a third of all rows repeat is hashed into
 its bands once.  The two lists that are small in ordinary data (records that
-repeat another one, and records that are in a candidate pair) are written first:
-Spark then broadcasts them if their size allows and shuffles otherwise.
+repeat another one, and records that are in a candidate pair) are counted, and
+broadcast only if their size allows.
+
+Bands miss a pair at the least similarity with a small probability.  With
+``exact``, the pairs of a prefix filter are checked too, which loses none: of
+two similar sets, the rarest shingles of one and of the other share one.
 """
 
 from __future__ import annotations
@@ -18,12 +22,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectrine.functions.arrow_vectors import flat, list_column, take
 from vectrine.llm.text import U64, mix, shingles, slices, words
-from vectrine.plans.materialize import Scratch
+from vectrine.plans.materialize import Scratch, sized
+
+
+#: Rows of bands that a partition of their join holds, about.
+PARTITION_ROWS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -40,6 +48,8 @@ class NearDuplicateConfig:
     similarity: float = 0.8
     bands: int = 40
     band_rows: int = 4
+    #: Lose no pair, at the cost of a join of about (1 - similarity) of all shingles.
+    exact: bool = False
     seed: int = 42
 
     @property
@@ -101,6 +111,27 @@ def _band_keys(cfg: NearDuplicateConfig):
     return run
 
 
+def _shingle_rows(cfg: NearDuplicateConfig):
+    def run(batches):
+        for b in (part for whole in batches for part in slices(whole, 1)):
+            owner, s, rows = shingles(*words(_batch_texts(b)), cfg.width, cfg.least_words)
+            if len(rows):
+                n = np.bincount(owner)[owner]
+                yield pa.record_batch([take(b.column(0), owner), pa.array(n), pa.array(s.view(np.int64))], ["id", "n", "s"])
+
+    return run
+
+
+def _prefix_pairs(texts: DataFrame, cfg: NearDuplicateConfig, scratch: Scratch) -> DataFrame:
+    """(a, b): pairs of records of which the rarest shingles share one."""
+    rows = scratch.cut(texts.mapInArrow(_shingle_rows(cfg), "id long, n long, s long"))
+    rarest = Window.partitionBy("id").orderBy("count", "s")
+    place = rows.join(rows.groupBy("s").count(), "s").withColumn("r", F.row_number().over(rarest))
+    pre = scratch.cut(place.filter(F.col("r") <= F.col("n") - F.ceil(cfg.similarity * F.col("n") - 1e-9) + 1).select("id", "n", "s"))
+    left, right = pre.select(F.col("id").alias("a"), F.col("n").alias("x"), "s"), pre.select(F.col("id").alias("b"), F.col("n").alias("y"), "s")
+    return left.hint("merge").join(right, "s").filter((F.col("a") < F.col("b")) & (F.least("x", "y") >= cfg.similarity * F.greatest("x", "y") - 1e-9)).select("a", "b")
+
+
 def _check(cfg: NearDuplicateConfig):
     def run(batches):
         for b in (part for whole in batches for part in slices(whole, 2, 3)):
@@ -171,16 +202,17 @@ def near_duplicates(df: DataFrame, record: Column, text: Column, cfg: NearDuplic
     keyed = scratch.cut(rows.mapInArrow(_class_keys(cfg), "id long, k1 long, k2 long").dropDuplicates(["id", "k1", "k2"]))
     classes = keyed.groupBy("k1", "k2").agg(F.min("id").alias("representative"), F.count(F.lit(1)).alias("n"))
     repeated = scratch.cut(keyed.join(classes.filter("n > 1"), ["k1", "k2"]).filter("id <> representative").select("id", "representative"))
-    band_rows = (
-        rows.join(repeated.select("id").distinct(), "id", "left_anti")
-        .mapInArrow(_band_keys(cfg), "id long, keys array<long>")
-        .select("id", F.explode("keys").alias("key"))
-    )
+    again = repeated.count()
+    distinct = rows.join(sized(repeated.select("id").distinct(), again), "id", "left_anti")
+    band_rows = distinct.mapInArrow(_band_keys(cfg), "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
     one, two = band_rows.select(F.col("id").alias("a"), "key"), band_rows.select(F.col("id").alias("b"), "key")
     # a sort-merge join: a hot band is split between tasks by adaptive execution, no task gathers it
-    candidates = scratch.cut(one.hint("merge").join(two, "key").filter("a < b").select("a", "b").distinct())
+    candidates = one.hint("merge").join(two, "key").filter("a < b").select("a", "b")
+    if cfg.exact:
+        candidates = candidates.unionByName(_prefix_pairs(distinct.dropDuplicates(["id"]), cfg, scratch))
+    candidates = scratch.cut(candidates.distinct(), partitions=-(-(keyed.count() - again) * cfg.bands // PARTITION_ROWS))
     touched = scratch.cut(candidates.select(F.col("a").alias("id")).unionByName(candidates.select(F.col("b").alias("id"))).distinct())
-    texts = rows.join(touched, "id", "left_semi").dropDuplicates(["id"])
+    texts = rows.join(sized(touched, touched.count()), "id", "left_semi").dropDuplicates(["id"])
     pairs = (
         candidates.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
         .join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")

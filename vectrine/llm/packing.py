@@ -22,7 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectrine.plans.materialize import Scratch
+from vectrine.plans.materialize import Scratch, sized
+
+
+#: Items of one size and salt that a task numbers, at most about.
+SALT_ROWS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -188,7 +192,9 @@ def fill_containers(df: DataFrame, record: Column, size: Column, cfg: PackConfig
     pieces = items.withColumn("piece_no", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / cap) - 1, F.lit(0)).cast("int")))).select(
         "id", "piece_no", (F.col("piece_no") * F.lit(cap).cast("long")).alias("start"), F.least(F.lit(cap), F.col("n") - F.col("piece_no") * cap).cast("long").alias("size")
     )
-    salted = scratch.cut(pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece_no"), F.lit(cfg.salts)).cast("int")))
+    pieces = scratch.cut(pieces)
+    salts = max(cfg.salts, pieces.count() // SALT_ROWS)
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece_no"), F.lit(salts)).cast("int"))
     count = salted.groupBy("size", "salt").agg(F.count(F.lit(1)).alias("items")).toArrow()  # at most (capacity + 1) * salts rows
     s, salt, n = (count.column(c).to_numpy() for c in ("size", "salt", "items"))
     order = np.lexsort((salt, s))
@@ -198,7 +204,7 @@ def fill_containers(df: DataFrame, record: Column, size: Column, cfg: PackConfig
     counts = np.bincount(s, weights=n, minlength=cap + 1).astype(np.int64)
     counts[0] = 0
     p = plan(counts, cfg)
-    offsets = F.broadcast(spark.createDataFrame(pa.table({"size": pa.array(s, pa.int64()), "salt": pa.array(salt, pa.int32()), "first": pa.array(first, pa.int64())})))
+    offsets = sized(spark.createDataFrame(pa.table({"size": pa.array(s, pa.int64()), "salt": pa.array(salt, pa.int32()), "first": pa.array(first, pa.int64())})), len(s))
     within = Window.partitionBy("size", "salt").orderBy("id", "piece_no")
     at = salted.withColumn("r", F.row_number().over(within)).join(offsets, ["size", "salt"]).select("id", "piece_no", "start", "size", (F.col("first") + F.col("r") - 1).alias("at"))
     segments = np.array(p.segments or [(cap + 1, 0, 0, 0, 1)], np.int64)
