@@ -52,6 +52,10 @@ class BitCodeConfig:
     seed: int = 42
 
 
+#: Queries of a table of sums; twice as many codes meet them at a time, so that what is added up stays in the cache.
+BLOCK = 256
+
+
 def rotation(dim: int, seed: int) -> np.ndarray:
     """A random orthogonal matrix."""
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
@@ -73,12 +77,12 @@ def byte_tables(y: np.ndarray) -> np.ndarray:
     return np.einsum("bs,qjs->jbq", sign, padded.reshape(n, -1, 8), optimize=True).astype(np.float32)
 
 
-def estimates(codes: np.ndarray, tables: np.ndarray) -> np.ndarray:
-    """<x, y> of each code with each query."""
-    out = tables[0][codes[:, 0]]
+def estimates(codes: np.ndarray, tables: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    """<x, y> of each code with each query, added to ``start``."""
+    out = np.zeros((len(codes), tables.shape[2]), np.float32) if start is None else start
     held = np.empty_like(out)
-    for j in range(1, len(tables)):
-        np.take(tables[j], codes[:, j], axis=0, out=held)
+    for table, byte in zip(tables, codes.T):
+        table.take(byte, axis=0, out=held, mode="clip")  # without bounds to check, nothing is buffered
         out += held
     return out
 
@@ -122,25 +126,31 @@ class _Search:
         self.cfg, self.ids, self.raw, self.norm, self.floor = cfg, ids, raw, norm, floor
         self.unit = (raw / norm[:, None]).astype(np.float32)
         y = self.unit @ rotation(cfg.dim, cfg.seed).T.astype(np.float32)
-        self.tables = [byte_tables(y[a : a + 512]) for a in range(0, len(y), 512)]
+        self.tables = [byte_tables(y[a : a + BLOCK]) for a in range(0, len(y), BLOCK)]
         self.best = Best(len(raw), cfg.k)
 
     def meet(self, ids: np.ndarray, m: np.ndarray, norms: np.ndarray, codes: np.ndarray, s: np.ndarray) -> None:
         cfg = self.cfg
-        for lo in range(0, len(m), 1024):
-            part, pn, pi, ps, pc = (x[lo : lo + 1024] for x in (m, norms, ids, s.astype(np.float32), codes))
-            pu = (part / pn[:, None]).astype(np.float32)
-            slack = (cfg.error * np.sqrt(np.maximum(0, 1 - ps * ps) / (cfg.dim - 1)) + 1e-5).astype(np.float32)
-            for n, table in enumerate(self.tables):
-                ql = n * 512
-                low = np.maximum(self.best.kth[ql : ql + 512], self.floor[ql : ql + 512]) - 10.0**-cfg.decimals
-                # estimate + error >= the k-th best
-                at = np.flatnonzero(estimates(pc, table) >= ps[:, None] * low.astype(np.float32) - slack[:, None])
-                d, q = at // len(low), at % len(low)
-                close = np.concatenate([np.einsum("ij,ij->i", pu[d[x : x + 65536]], self.unit[ql + q[x : x + 65536]]) for x in range(0, len(d), 65536)] or [np.empty(0)])
-                good = close >= low[q] - 1e-5
-                d, q = d[good], q[good] + ql
-                self.best.add(q, pi[d], np.round(exact_cosines(part[d], pn[d], self.raw[q], self.norm[q]), cfg.decimals))
+        s = s.astype(np.float32)
+        unit = (m / norms[:, None]).astype(np.float32)
+        slack = (cfg.error * np.sqrt(np.maximum(0, 1 - s * s) / (cfg.dim - 1)) + 1e-5).astype(np.float32)
+        for lo in range(0, len(m), 4096):
+            low = np.maximum(self.best.kth, self.floor) - 10.0**-cfg.decimals
+            least = -low.astype(np.float32)
+            found = [], [], []
+            for a in range(lo, min(lo + 4096, len(m)), 2 * BLOCK):
+                part = slice(a, min(a + 2 * BLOCK, lo + 4096))
+                for n, table in enumerate(self.tables):
+                    ql = n * BLOCK
+                    # estimate + error >= the k-th best
+                    above = estimates(codes[part], table, np.multiply.outer(s[part], least[ql : ql + BLOCK])) >= -slack[part, None]
+                    d, q = np.divmod(np.flatnonzero(above), above.shape[1])
+                    d, q = d + a, q + ql
+                    good = np.einsum("ij,ij->i", unit[d], self.unit[q]) >= low[q] - 1e-5
+                    d, q = d[good], q[good]
+                    for to, what in zip(found, (q, ids[d], np.round(exact_cosines(m[d], norms[d], self.raw[q], self.norm[q]), cfg.decimals))):
+                        to.append(what)
+            self.best.add(*map(np.concatenate, found))
 
     def found(self) -> pa.RecordBatch:
         b = self.best
