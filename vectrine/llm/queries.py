@@ -41,21 +41,21 @@ def p2_subset(spark: SparkSession, sf: str) -> DataFrame:
     return varied_subset(_read(spark, sf, "workset_docs"), F.col("doc_idx"), F.col("embedding"), share=0.05, cfg=SubsetConfig(stray=0.45)).withColumnRenamed("id", "doc_idx")
 
 
-def _groups(spark: SparkSession, sf: str) -> DataFrame:
-    return similarity_groups(_read(spark, sf, "workset_docs"), F.col("doc_idx"), F.col("embedding")).withColumnRenamed("id", "doc_idx")
+def _groups(spark: SparkSession, sf: str):
+    return similarity_groups(_read(spark, sf, "workset_docs"), F.col("doc_idx"), F.col("embedding"))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _groups(spark, sf).select("doc_idx", "group_idx")
+    return _groups(spark, sf).members.select(F.col("id").alias("doc_idx"), "group_idx")
 
 
 def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Size, radius (the member farthest from the mean direction) and the five most typical docs of each group."""
-    g = _groups(spark, sf)
-    size = g.groupBy("group_idx").agg(F.count(F.lit(1)).alias("size"), F.acos(F.least(F.lit(1.0), F.min("cosine"))).alias("r_max"))
-    w = Window.partitionBy("group_idx").orderBy(F.desc("degree"), "doc_idx")
-    top = g.withColumn("r", F.row_number().over(w)).filter("r <= 5").groupBy("group_idx").agg(F.sort_array(F.collect_list(F.struct("r", "doc_idx"))).alias("t"))
-    return size.join(top, "group_idx").select("group_idx", "size", "r_max", F.col("t.doc_idx").alias("typical"))
+    """Size, radius (the member farthest from the mean direction), share of members by the graph's communities, and the five most typical docs of each group."""
+    g = _groups(spark, sf).degrees()
+    size = g.groupBy("group_idx").agg(F.count(F.lit(1)).alias("size"), F.acos(F.least(F.lit(1.0), F.min("cosine"))).alias("r_max"), F.avg(F.col("by_graph").cast("double")).alias("by_graph"))
+    w = Window.partitionBy("group_idx").orderBy(F.desc("degree"), "id")
+    top = g.withColumn("r", F.row_number().over(w)).filter("r <= 5").groupBy("group_idx").agg(F.sort_array(F.collect_list(F.struct("r", "id"))).alias("t"))
+    return size.join(top, "group_idx").select("group_idx", "size", "r_max", "by_graph", F.col("t.id").alias("typical"))
 
 
 def _passages(spark: SparkSession, sf: str):
