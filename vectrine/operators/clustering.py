@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from vectrine.functions.arrow_vectors import take, usable
 from vectrine.functions.vectors import dot, l2, mean_vector, norm, normalize, theta
 from vectrine.operators.knn import against_centers
+from vectrine.plans.config import Settings
 from vectrine.plans.materialize import Scratch
 
 
@@ -58,14 +59,23 @@ def costs(docs: DataFrame, centers: DataFrame) -> DataFrame:
     return against_centers(docs, F.col("doc_idx"), F.col("v"), centers, None, "l2").select(F.col("id").alias("doc_idx"), "cluster_id", F.col("value").alias("cost"))
 
 
+def check_capacity(cost: DataFrame, capacity: int) -> None:
+    """An error unless the documents are clusters * ``capacity``."""
+    docs, clusters = cost.agg(F.count_distinct("doc_idx"), F.count_distinct("cluster_id")).first()
+    Settings.check_partition(clusters, capacity, docs)
+
+
 def balanced_assignment(cost: DataFrame, capacity: int) -> DataFrame:
     """(doc_idx, cluster_id): documents in order of falling margin (second best less best cost) take the nearest cluster with room.
 
+    Documents that aren't as many as clusters * ``capacity`` are an error.
     In rounds: each unplaced document proposes to its best cluster that hasn't
     refused it; each cluster keeps the first ``capacity`` by (margin, best
     cost, index) of those it holds and the new, and refuses the rest for good.
     """
     scratch = Scratch(cost.sparkSession)
+    cost = scratch.cut(cost)
+    check_capacity(cost, capacity)
     by_doc = Window.partitionBy("doc_idx").orderBy("cost", "cluster_id")
     pref = cost.withColumn("pref", F.row_number().over(by_doc))
     first = lambda r: F.max(F.when(F.col("pref") == r, F.col("cost")))
@@ -86,9 +96,14 @@ def capacity_repair(cost: DataFrame, labels: DataFrame, capacity: int) -> DataFr
 
     A move costs cost(new) - cost(initial); a document moves once.  This is a
     greedy matching over the order (cost, doc, cluster), and each round accepts
-    the moves that come first within their source, target and document.
+    the moves that come first within their source, target and document.  If the
+    moves end before the sizes are even, documents are assigned by margin
+    instead.  Documents that aren't as many as clusters * ``capacity`` are an
+    error.
     """
     scratch = Scratch(cost.sparkSession)
+    cost = scratch.cut(cost)
+    check_capacity(cost, capacity)
     k = cost.select("cluster_id").distinct()
     own = labels.withColumnRenamed("cluster_id", "src").join(cost.select("doc_idx", F.col("cluster_id").alias("src"), F.col("cost").alias("own")), ["doc_idx", "src"])
     moves = scratch.cut(cost.join(own, "doc_idx").filter("cluster_id <> src").select("doc_idx", "src", F.col("cluster_id").alias("dst"), F.round(F.col("cost") - F.col("own"), 9).alias("delta")))
@@ -107,7 +122,8 @@ def capacity_repair(cost: DataFrame, labels: DataFrame, capacity: int) -> DataFr
         best = ranked.withColumn("rs", F.sum(F.when(F.col("rd") == 1, 1).otherwise(0)).over(Window.partitionBy("src").orderBy(*order)))
         taken = scratch.cut(best.filter("rd = 1 and rt <= deficit and rs <= surplus").select("doc_idx", "dst"))
         if taken.isEmpty():
-            return now.select("doc_idx", "cluster_id")
+            even = room.filter("over <> 0").isEmpty()
+            return now.select("doc_idx", "cluster_id") if even else balanced_assignment(cost, capacity)
         now = scratch.cut(now.join(taken, "doc_idx", "left").select("doc_idx", F.coalesce("dst", "cluster_id").alias("cluster_id"), (F.col("moved") | F.col("dst").isNotNull()).alias("moved")))
 
 
@@ -140,17 +156,38 @@ def _nearest(centers: np.ndarray, sums: bool):
     return run
 
 
+#: Documents among which the seeds of k-means are drawn.
+SEED_ROWS = 16384
+
+
+def seed_centers(docs: DataFrame, k: int, seed: int, dim: int) -> np.ndarray:
+    """Unit vectors of ``k`` documents: the first of the smallest seeded hash, each next one drawn with a chance in proportion to its squared distance from the nearest seed so far.
+
+    They are drawn among the ``SEED_ROWS`` documents of the smallest hashes;
+    the clusters themselves are then found over all documents.
+    """
+    t = docs.select("doc_idx", "v", F.xxhash64("doc_idx", F.lit(seed)).alias("h")).orderBy("h", "doc_idx").limit(max(SEED_ROWS, k)).select("v").toArrow()
+    _, m, norms = usable(t.column("v"), dim)
+    pool = m.astype(np.float64) / norms[:, None]
+    rng, picked = np.random.default_rng(seed), [0] if len(pool) else []
+    near = ((pool - pool[0]) ** 2).sum(1) if picked else np.empty(0)
+    while len(picked) < min(k, len(pool)):
+        total = near.sum()
+        i = int(rng.choice(len(pool), p=near / total)) if total > 1e-12 else int(rng.integers(len(pool)))
+        picked.append(i)
+        near = np.minimum(near, ((pool - pool[i]) ** 2).sum(1))
+    return pool[picked]
+
+
 def spherical_kmeans(docs: DataFrame, k: int, seed: int, dim: int, most_rounds: int = 50) -> DataFrame:
-    """(doc_idx, cluster_id): k-means by angle from ``k`` documents of the smallest seeded hashes, until the centers stay.
+    """(doc_idx, cluster_id): k-means by angle from the seeds of ``seed_centers``, until the centers stay.
 
     A round is one pass that returns one sum a cluster and partition; only the
     centers are on the driver.  An empty cluster takes the document farthest
     from its center that no other empty cluster took.
     """
     rows = docs.select("doc_idx", "v")
-    start = rows.orderBy(F.xxhash64("doc_idx", F.lit(seed)), "doc_idx").limit(k).orderBy("doc_idx").toArrow()
-    _, m, norms = usable(start.column("v"), dim)
-    centers = m.astype(np.float64) / norms[:, None]
+    centers = seed_centers(rows, k, seed, dim)
     for _ in range(most_rounds):
         t = rows.mapInArrow(_nearest(centers, True), "kind long, key long, n double, v array<double>").toArrow().to_pandas()
         new, used = centers.copy(), set()
@@ -268,20 +305,116 @@ def seed_sweep(docs: DataFrame, k: int, seeds: range, dim: int, core: int) -> Da
     return best_seed(spark.createDataFrame(rows, "seed int, j double"))
 
 
-def swap_candidates(cost: DataFrame, assignment: DataFrame, least_gain: float = 1e-9) -> DataFrame:
-    """(doc_a, doc_b, gain): disjoint swaps between clusters that lower the total cost, the best first for each cluster pair.
+def assignment_cost(cost: DataFrame, assignment: DataFrame) -> DataFrame:
+    """One row: (total, mean) cost of an assignment."""
+    own = cost.join(assignment, ["doc_idx", "cluster_id"])
+    return own.agg(F.round(F.sum("cost"), 6).alias("total"), F.round(F.avg("cost"), 6).alias("mean"))
+
+
+def member_lists(assignment: DataFrame) -> DataFrame:
+    """(cluster_id, members): the sorted documents of each cluster, which must fit a row: a partition's clusters have a fixed capacity."""
+    return assignment.groupBy("cluster_id").agg(F.sort_array(F.collect_list("doc_idx")).alias("members"))
+
+
+def _swap_metrics(core: int):
+    """Metrics of a cluster as it is, and with each of its boundary documents exchanged for each other cluster's."""
+
+    def run(key, own: pa.Table, others: pa.Table) -> pa.Table:
+        ids = own.column("doc_idx").to_numpy()
+        order = np.argsort(ids)
+        ids = ids[order]
+        x = np.array(own.column("v").to_pylist(), float)[order]
+        src = np.array([s or "" for s in own.column("source").to_pylist()])[order]
+        bits = own.column("simhash").to_numpy()[order] >> 48
+        edge = np.flatnonzero(own.column("edge").to_numpy()[order])
+        n = len(x)
+        total = x.sum(0)
+
+        def measure(rows, sources, marks, total):
+            c = total / n
+            c = c / max(np.linalg.norm(c), 1e-12)
+            d = np.sort(np.round(np.linalg.norm(rows - c, axis=1), 9))
+            near, far = np.percentile(d[:core], 95), np.percentile(d, 95)
+            top = np.unique(sources, return_counts=True)[1].max()
+            k = np.unique(marks, return_counts=True)[1]
+            return [near, max(far - near, 0.0), top / n, (k * (k - 1) / 2).sum() / max(n * (n - 1) / 2, 1)], c
+
+        out = [(-1, -1, -1, *measure(x, src, bits, total))]
+        ids_b = others.column("o_doc_idx").to_numpy()
+        at = np.lexsort((ids_b, others.column("o_cluster_id").to_numpy()))
+        names, where, vb = ids_b[at], others.column("o_cluster_id").to_numpy()[at], np.array(others.column("o_v").to_pylist(), float)[at] if len(ids_b) else np.empty((0, x.shape[1]))
+        sb, hb = [others.column("o_source").to_pylist()[i] or "" for i in at], others.column("o_simhash").to_numpy()[at] >> 48
+        for i in edge:
+            for j in range(len(names)):
+                rows, sources, marks = x.copy(), src.astype(object), bits.copy()
+                rows[i], sources[i], marks[i] = vb[j], sb[j], hb[j]
+                out.append((int(where[j]), int(ids[i]), int(names[j]), *measure(rows, sources.astype(str), marks, total - x[i] + vb[j])))
+        a = int(own.column("cluster_id")[0].as_py())
+        return pa.table(
+            {
+                "a": pa.array([a] * len(out), pa.int64()), "b": pa.array([o[0] for o in out], pa.int64()), "out": pa.array([o[1] for o in out], pa.int64()), "in": pa.array([o[2] for o in out], pa.int64()),
+                "m": pa.array([list(map(float, o[3])) for o in out], pa.list_(pa.float64())), "center": pa.array([o[4].tolist() for o in out], pa.list_(pa.float64())),
+            }
+        )
+
+    return run
+
 
-    A document only matters for a swap if another center is nearer than its
-    own, so pairs are formed among those boundary documents alone.
+def _score(m: np.ndarray, centers: np.ndarray) -> float:
+    """J of clusters' metrics (core radius, tail inflation, source dominance, duplicate density) and centers."""
+    i, j = np.triu_indices(len(centers), 1)
+    apart = np.linalg.norm(centers[i] - centers[j], axis=1).mean() if len(i) else 0.0
+    core, tail, source, dup = m.mean(0)
+    return float((apart / (1 + apart) + 1 / (1 + max(core, 0)) + 1 / (1 + max(tail, 0)) + 1 - min(max(source, 0), 1) + 1 - min(max(dup, 0), 1)) / 5)
+
+
+def refine_by_swaps(docs: DataFrame, assignment: DataFrame, core: int, most_swaps: int, boundary: int = 10, least_gain: float = 1e-9) -> tuple[DataFrame, list[float]]:
+    """(assignment, J before and after each swap): exchanges boundary documents of two clusters as long as J gains more than ``least_gain``.
+
+    A swap is sought among the ``boundary`` documents farthest from the center
+    of each cluster, and the first in the order of clusters and distances that
+    gains is made.  All swaps of a round are measured in one pass, a task a
+    cluster (clusters have a fixed capacity); the driver sees their metrics,
+    at most boundary^2 * clusters^2 rows.  docs(doc_idx, v, source, simhash).
     """
-    own = cost.join(assignment, ["doc_idx", "cluster_id"]).select("doc_idx", F.col("cluster_id").alias("src"), F.col("cost").alias("own"))
-    want = cost.join(own, "doc_idx").filter("cluster_id <> src").select("doc_idx", "src", F.col("cluster_id").alias("dst"), (F.col("own") - F.col("cost")).alias("gain"))
-    w = Window.partitionBy("src", "dst").orderBy(F.desc("gain"), "doc_idx")
-    # the i-th best of one direction pairs with the i-th best of the other, so no group emits all its pairs
-    best = want.withColumn("i", F.row_number().over(w))
-    a = best.select(F.col("doc_idx").alias("doc_a"), "src", "dst", "i", F.col("gain").alias("ga"))
-    b = best.select(F.col("doc_idx").alias("doc_b"), F.col("src").alias("dst"), F.col("dst").alias("src"), "i", F.col("gain").alias("gb"))
-    return a.join(b, ["src", "dst", "i"]).filter(F.col("src") < F.col("dst")).select("doc_a", "doc_b", "src", "dst", "i", F.round(F.col("ga") + F.col("gb"), 9).alias("gain")).filter(F.col("gain") > least_gain)
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.cut(docs.select("doc_idx", "v", "source", "simhash"))
+    now, history = scratch.cut(assignment.select("doc_idx", "cluster_id")), []
+    while True:
+        full = rows.join(now, "doc_idx")
+        centers = full.groupBy("cluster_id").agg(mean_vector(F.col("v"), len(rows.select("v").first()["v"])).alias("m")).select("cluster_id", normalize(F.col("m")).alias("center"))
+        far = full.join(centers, "cluster_id").withColumn("d", F.round(l2(F.col("v"), F.col("center")), 9))
+        w = Window.partitionBy("cluster_id").orderBy(F.desc("d"), "doc_idx")
+        marked = scratch.cut(far.withColumn("place", F.row_number().over(w)).withColumn("edge", F.col("place") <= boundary).drop("center"))
+        edge = marked.filter("edge").select("doc_idx", "place")
+        clusters = marked.select(F.col("cluster_id").alias("to")).distinct()
+        far = marked.filter("edge").select(*(F.col(c).alias(f"o_{c}") for c in ("doc_idx", "v", "source", "simhash", "cluster_id")))
+        others = scratch.cut(far.join(clusters, F.col("to") != F.col("o_cluster_id")))  # boundary rows a cluster, for each other cluster
+        schema = "a long, b long, out long, in long, m array<double>, center array<double>"
+        t = marked.select("doc_idx", "v", "source", "simhash", "cluster_id", "edge", F.col("cluster_id").alias("to")).groupBy("to").cogroup(others.groupBy("to")).applyInArrow(_swap_metrics(core), schema).toArrow().to_pandas()
+        base = t[t["b"] < 0].sort_values("a")
+        names = base["a"].tolist()
+        at = {c: i for i, c in enumerate(names)}
+        m, c = np.array(base["m"].tolist()), np.array(base["center"].tolist())
+        best = _score(m, c)
+        history.append(best)
+        if len(history) > most_swaps:
+            return now, history
+        place = {r["doc_idx"]: r["place"] for r in edge.select("doc_idx", "place").collect()}
+        moves = t[t["b"] >= 0]
+        half = {(a, o, i): (x, y) for a, o, i, x, y in zip(*(moves[n] for n in ("a", "out", "in", "m", "center")))}
+        pairs = sorted(((a, b, place[o], place[i], o, i) for a, b, o, i in zip(moves["a"], moves["b"], moves["out"], moves["in"]) if a < b))
+        found = None
+        for a, b, _, _, o, i in pairs:
+            mm, cc = m.copy(), c.copy()
+            (mm[at[a]], cc[at[a]]), (mm[at[b]], cc[at[b]]) = half[a, o, i], half[b, i, o]
+            if _score(mm, cc) > best + least_gain:
+                found = (a, b, o, i)
+                break
+        if found is None:
+            return now, history
+        a, b, o, i = found
+        now = scratch.cut(now.withColumn("cluster_id", F.when(F.col("doc_idx") == int(o), F.lit(int(b))).when(F.col("doc_idx") == int(i), F.lit(int(a))).otherwise(F.col("cluster_id")).cast(now.schema["cluster_id"].dataType)))
 
 
 def covered_r_max(routed: DataFrame, near: DataFrame, truth: DataFrame, eval_k: int, per_cluster: bool = False) -> DataFrame:

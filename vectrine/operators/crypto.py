@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vectrine.functions.vectors import dot
+
 
 def is_prime(n: int, rng: random.Random, rounds: int = 12) -> bool:
     """Miller-Rabin."""
@@ -63,7 +65,7 @@ class PublicKey:
         return a * (1 + m % self.n * self.n) % self.square
 
     def times(self, a: int, m: int) -> int:
-        return pow(a, m % self.n, self.square)
+        return pow(a, m, self.square)  # a negative power goes by the inverse, with a short exponent
 
 
 @dataclass(frozen=True)
@@ -90,22 +92,31 @@ def key_pair(bits: int, seed: int) -> KeyPair:
     return KeyPair(PublicKey(p * q), lam, pow(lam, -1, p * q))
 
 
+def encrypt_query(public: PublicKey, q: list[int], rng: random.Random) -> tuple[dict[int, int], int]:
+    """The encrypted dimensions of an integer vector, zeros left out, and their bytes."""
+    out = {i: public.encrypt(int(x), rng) for i, x in enumerate(q) if x}
+    return out, sum(integer_bytes(c) for c in out.values())
+
+
 def encrypted_scores(pairs: DataFrame, public: PublicKey, scale_square: int, seed: int) -> DataFrame:
-    """(query_id, doc_idx, cipher): the encryption of scale^2 - sum q_i d_i; pairs(query_id, doc_idx, q, d) of integer vectors, zero dimensions of q left out."""
+    """(query_id, doc_idx, cipher, request_bytes): the encryption of scale^2 - sum q_i d_i; pairs(query_id, doc_idx, q, d) of integer vectors.
 
-    def run(frames):
-        for f in frames:
-            out = []
-            for i, j, q, d in zip(f.query_id, f.doc_idx, f.q, f.d):
-                rng = random.Random(f"{seed}:{i}")
-                c = public.encrypt(0, rng)
-                for a, b in zip(q, d):
-                    if a:
-                        c = public.add(c, public.times(public.encrypt(int(a), rng), -int(b)))
-                out.append(str(public.add_plain(c, scale_square)))
-            yield pd.DataFrame({"query_id": f.query_id, "doc_idx": f.doc_idx, "cipher": out})
+    A query is encrypted once, for all its candidates, whose number is fixed.
+    """
+
+    def run(f):
+        rng = random.Random(f"{seed}:{f['query_id'].iloc[0]}")
+        sent, size = encrypt_query(public, f["q"].iloc[0], rng)
+        out = []
+        for d in f["d"]:
+            c = public.encrypt(0, rng)
+            for i, a in sent.items():
+                if d[i]:
+                    c = public.add(c, public.times(a, -int(d[i])))
+            out.append(str(public.add_plain(c, scale_square)))
+        return pd.DataFrame({"query_id": f["query_id"], "doc_idx": f["doc_idx"], "cipher": out, "request_bytes": size})
 
-    return pairs.select("query_id", "doc_idx", "q", "d").mapInPandas(run, "query_id long, doc_idx long, cipher string")
+    return pairs.select("query_id", "doc_idx", "q", "d").groupBy("query_id").applyInPandas(run, "query_id long, doc_idx long, cipher string, request_bytes long")
 
 
 def decrypt_scores(ciphers: DataFrame, keys: KeyPair, scale_square: int) -> DataFrame:
@@ -168,16 +179,71 @@ class Transfer:
 
 
 def oblivious_transfer(payloads: DataFrame, bits: int, seed: int) -> DataFrame:
-    """(query_id, received, bytes_sent): runs the transfer of each query's payloads (query_id, position, payload, wanted)."""
+    """(query_id, received, payload_bytes, bytes_sent): runs the transfer of each query's payloads (query_id, position, payload, wanted)."""
     group = Transfer(prime(bits, random.Random(seed)))
 
     def run(key, f):
         f = f.sort_values("position")
         got, sent = group.run([s.encode() for s in f.payload], {i for i, w in enumerate(f.wanted) if w}, random.Random(f"{seed}:{key[0]}"))
         ok = all(got[i].decode() == f.payload.iloc[i] for i in got)
-        return pd.DataFrame({"query_id": [key[0]], "received": [len(got) if ok else -1], "bytes_sent": [sent]})
+        return pd.DataFrame({"query_id": [key[0]], "received": [len(got) if ok else -1], "payload_bytes": [sum(len(s.encode()) for s in f.payload)], "bytes_sent": [sent]})
+
+    return payloads.groupBy("query_id").applyInPandas(run, "query_id long, received int, payload_bytes long, bytes_sent long")
+
+
+def direct_bytes(payloads: DataFrame) -> DataFrame:
+    """(query_id, bytes): what is sent when the wanted payloads are asked for by their positions."""
+    return payloads.filter("wanted").groupBy("query_id").agg(F.sum(F.octet_length("payload")).alias("bytes"))
+
+
+# --- a lattice scheme, by what it computes and sends ---------------------------
+
+# The parameters of the scheme.
+LATTICE_DEGREE = 8192
+LATTICE_BITS = (60, 40, 40, 60)
+LATTICE_SCALE = 1 << 40
+LATTICE_TOLERANCE = 0.25
+
+
+@dataclass(frozen=True)
+class Lattice:
+    """Sizes and rounding of approximate arithmetic on packed vectors; a vector must fit the degree / 2 slots.
+
+    There is no cipher here: values are rounded to the scale as an encoding
+    would round them, and a message has the bytes of two polynomials.
+    """
+
+    degree: int = LATTICE_DEGREE
+    bits: tuple[int, ...] = LATTICE_BITS
+    scale: int = LATTICE_SCALE
+
+    def check(self, slots: int) -> None:
+        if slots > self.degree // 2:
+            raise ValueError(f"{slots} values don't fit {self.degree // 2} slots")
+
+    @property
+    def message_bytes(self) -> int:
+        """Of a fresh cipher: two polynomials modulo all but the last prime."""
+        return 2 * self.degree * sum(self.bits[:-1]) // 8
+
+    @property
+    def answer_bytes(self) -> int:
+        """Of a product: one prime less."""
+        return 2 * self.degree * sum(self.bits[:-2]) // 8
+
+    def encoded(self, v: Column) -> Column:
+        return F.transform(v, lambda x: F.rint(x.cast("double") * float(self.scale)) / float(self.scale))
+
+    def scores(self, pairs: DataFrame, dim: int) -> DataFrame:
+        """(query_id, doc_idx, score): inner products of encoded queries with plain vectors; pairs(query_id, doc_idx, qv, v)."""
+        self.check(dim)
+        return pairs.select("query_id", "doc_idx", dot(self.encoded(F.col("qv")), F.col("v")).alias("score"))
+
 
-    return payloads.groupBy("query_id").applyInPandas(run, "query_id long, received int, bytes_sent long")
+def rounded_integers(value: Column, tolerance: float = LATTICE_TOLERANCE) -> Column:
+    """The nearest integer of a decrypted value; one that is further off than the tolerance is an error."""
+    near = F.rint(value)
+    return F.when(F.abs(value - near) <= tolerance, near.cast("long")).otherwise(F.raise_error(F.lit("a decrypted value isn't near an integer")).cast("long"))
 
 
 def payload_json(*columns: Column) -> Column:

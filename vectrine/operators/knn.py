@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from vectrine.functions.arrow_vectors import take, usable
 from vectrine.functions.vectors import theta
+from vectrine.plans.materialize import Scratch
 
 #: Queries that are broadcast at a time (4 * dim bytes each).
 QUERY_BLOCK = 65536
@@ -58,7 +59,9 @@ def _keep(q, i, t, k):
     return q[keep], i[keep], t[keep]
 
 
-def _scan(shared, k: int, dim: int | None, grouped: bool):
+def _scan(shared, k: int, dim: int | None, grouped: bool, near: tuple[np.ndarray, np.ndarray, int] | None = None):
+    """``near``: the ids and unit centers of groups, and how many groups a document belongs to, in place of a column of groups."""
+
     def run(batches):
         blk = shared.value
         q = i = np.empty(0, np.int64)
@@ -89,11 +92,16 @@ def _scan(shared, k: int, dim: int | None, grouped: bool):
             if not grouped:
                 meet(everyone, ids, unit)
                 continue
-            side = take(b.column(2), rows).to_numpy()
-            for g in np.unique(side):
-                if g in by_group:
-                    own = side == g
-                    meet(by_group[g], ids[own], unit[own])
+            if near is None:
+                sides = take(b.column(2), rows).to_numpy()[:, None]
+            else:
+                names, centers, many = near
+                sides = names[np.argsort(rounded_angles(unit @ centers.T), axis=1, kind="stable")[:, :many]]  # centers stand by id, so ties do too
+            for side in sides.T:
+                for g in np.unique(side):
+                    if g in by_group:
+                        own = side == g
+                        meet(by_group[g], ids[own], unit[own])
         q, i, t = _keep(q, i, t, k)
         if len(q):
             cols = {"query_id": pa.array(blk.ids[q]), "doc_idx": pa.array(i), "theta": pa.array(t)}
@@ -126,6 +134,30 @@ def exact_knn(docs: DataFrame, doc: Column, vector: Column, queries: DataFrame,
     return out.dropDuplicates([*keys, "doc_idx"]).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(*keys, "rank", "doc_idx", "theta")
 
 
+def supported_knn(docs: DataFrame, centers: DataFrame, c: int, queries: DataFrame, k: int, dim: int | None = None) -> DataFrame:
+    """(query_id, cluster_id, rank, doc_idx, theta): the k nearest documents within each cluster that a query is routed to, a document belonging to its ``c`` nearest centers.
+
+    docs(doc_idx, v), centers(cluster_id, center), queries(query_id,
+    cluster_id, qv).  Each partition finds its documents' clusters and meets
+    their queries in one pass, so no document moves.  The centers, one row a
+    cluster, go to the workers (``CENTER_BLOCK`` at most).
+    """
+    spark = docs.sparkSession
+    t = centers.select(F.col("cluster_id").cast("long").alias("cluster_id"), F.col("center").cast("array<double>").alias("center")).orderBy("cluster_id").toArrow()
+    at, m, norms = usable(t.column("center"), dim)
+    if len(at) > CENTER_BLOCK:
+        raise ValueError(f"more than {CENTER_BLOCK} centers")
+    near = (t.column("cluster_id").to_numpy()[at], m.astype(np.float64) / norms[:, None], c)
+    rows = docs.select(F.col("doc_idx").cast("long").alias("id"), "v").filter("id is not null and v is not null")
+    asked = queries.select(F.col("query_id").cast("long").alias("id"), F.col("qv").alias("v"), F.col("cluster_id").cast("long").alias("group")).filter("id is not null and v is not null")
+    schema = "query_id long, doc_idx long, theta double, cluster_id long"
+    parts = [rows.mapInArrow(_scan(spark.sparkContext.broadcast(blk), k, dim, True, near), schema) for blk in query_blocks(asked, dim, True)]
+    out = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    w = Window.partitionBy("query_id", "cluster_id").orderBy("theta", "doc_idx")
+    ranked = out.dropDuplicates(["query_id", "cluster_id", "doc_idx"]).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "cluster_id", "rank", "doc_idx", "theta")
+
+
 def _scan_within(shared, dim: int | None):
     def run(batches):
         blk = shared.value
@@ -278,11 +310,13 @@ def ivf_knn(docs: DataFrame, queries: DataFrame, assignment: DataFrame, routed:
 
     docs(doc_idx, v), queries(query_id, qv), assignment(doc_idx, cluster_id), routed(query_id, cluster_id).
     """
-    pairs = routed.select("query_id", "cluster_id").join(assignment, "cluster_id").select("query_id", "doc_idx").distinct()
-    return rank_pairs(pair_angles(pairs, docs, queries), k)
+    near = filtered_knn(docs, queries.join(routed.select("query_id", "cluster_id"), "query_id"), assignment, k)
+    return rank_pairs(near.select("query_id", "doc_idx", "theta").distinct(), k)
+
 
+def _sign_bands(dim: int, bits: int, bands: int, seed: int, probes: int):
+    """The bands of each row, and with ``probes`` also those that differ in one of the bits nearest to zero."""
 
-def _sign_bands(dim: int, bits: int, bands: int, seed: int):
     def run(batches):
         planes = np.random.default_rng(seed).standard_normal((dim, bits * bands))
         power = 1 << np.arange(bits, dtype=np.int64)
@@ -290,14 +324,45 @@ def _sign_bands(dim: int, bits: int, bands: int, seed: int):
             rows, m, _ = usable(b.column(1), dim)
             if len(rows) == 0:
                 continue
-            key = ((m @ planes > 0).reshape(len(rows), bands, bits) @ power) | (np.arange(bands, dtype=np.int64) << bits)
-            yield pa.record_batch([pa.array(np.repeat(take(b.column(0), rows).to_numpy(), bands)), pa.array(key.ravel())], ["id", "band"])
+            side = (m @ planes).reshape(len(rows), bands, bits)
+            key = ((side > 0) @ power) | (np.arange(bands, dtype=np.int64) << bits)
+            close = np.argsort(np.abs(side), axis=2)[:, :, : min(probes, bits)]
+            keys = np.concatenate([key[:, :, None], key[:, :, None] ^ power[close]], 2).reshape(len(rows), -1)
+            yield pa.record_batch([pa.array(np.repeat(take(b.column(0), rows).to_numpy(), keys.shape[1])), pa.array(keys.ravel())], ["id", "band"])
 
     return run
 
 
-def lsh_knn(docs: DataFrame, queries: DataFrame, k: int, dim: int, bits: int = 6, bands: int = 24, seed: int = 7) -> DataFrame:
-    """Approximate: the k nearest documents among those that share a band of random sign bits.  docs(doc_idx, v), queries(query_id, qv)."""
-    d = docs.select(F.col("doc_idx").alias("id"), "v").mapInArrow(_sign_bands(dim, bits, bands, seed), "id long, band long").withColumnRenamed("id", "doc_idx")
-    q = queries.select(F.col("query_id").alias("id"), F.col("qv").alias("v")).mapInArrow(_sign_bands(dim, bits, bands, seed), "id long, band long").withColumnRenamed("id", "query_id")
-    return rank_pairs(pair_angles(d.join(q, "band").select("query_id", "doc_idx").distinct(), docs, queries), k)
+#: Documents that a band of signs holds, about.
+BAND_ROWS = 64
+
+
+def lsh_knn(docs: DataFrame, queries: DataFrame, k: int, dim: int, bits: int | None = None, bands: int = 24, probes: int = 3, seed: int = 7) -> DataFrame:
+    """Approximate: the k nearest documents among those that share a band of random sign bits.  docs(doc_idx, v), queries(query_id, qv).
+
+    A band has as many bits as leave about ``BAND_ROWS`` documents in it,
+    however many there are.  A query also looks into the bands next to its own;
+    one that finds fewer than k documents is answered exactly.
+    """
+    scratch = Scratch(docs.sparkSession)
+    if bits is None:
+        bits = max(4, min(40, round(np.log2(max(2, docs.count() / BAND_ROWS)))))
+    d = docs.select(F.col("doc_idx").alias("id"), "v").mapInArrow(_sign_bands(dim, bits, bands, seed, 0), "id long, band long").withColumnRenamed("id", "doc_idx")
+    q = queries.select(F.col("query_id").alias("id"), F.col("qv").alias("v")).mapInArrow(_sign_bands(dim, bits, bands, seed, probes), "id long, band long").withColumnRenamed("id", "query_id")
+    found = scratch.cut(rank_pairs(pair_angles(d.join(q, "band").select("query_id", "doc_idx").distinct(), docs, queries), k))
+    full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
+    short = queries.join(full, "query_id", "left_anti")
+    refill = exact_knn(docs, F.col("doc_idx"), F.col("v"), short, F.col("query_id"), F.col("qv"), k, dim)
+    return found.join(full, "query_id", "left_semi").select("query_id", "rank", "doc_idx", "theta").unionByName(refill)
+
+
+def payload(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, rank, doc_idx, score, doc_id, text, v): what is sent for found documents (query_id, rank, doc_idx, theta): docs(doc_idx, doc_id, text, v)."""
+    return found.join(docs, "doc_idx").select("query_id", "rank", "doc_idx", F.cos("theta").alias("score"), "doc_id", "text", "v")
+
+
+def cluster_payload(routed: DataFrame, assignment: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, place, doc_idx, doc_id, text, v): the documents of all clusters that a query is routed to, each once, by index."""
+    pairs = routed.select("query_id", "cluster_id").join(assignment, "cluster_id").select("query_id", "doc_idx").distinct()
+    w = Window.partitionBy("query_id").orderBy("doc_idx")
+    return pairs.withColumn("place", F.row_number().over(w) - 1).join(docs, "doc_idx").select("query_id", "place", "doc_idx", "doc_id", "text", "v")

@@ -74,17 +74,63 @@ def fast_sets(annotated: DataFrame, calibration: int, evaluation: int, seed: int
     return cal.unionByName(rest.orderBy(*evaluation_order(seed)).limit(evaluation).select("query_id", F.lit("evaluation").alias("role")))
 
 
-def calibration_after_evaluation(annotated: DataFrame, excluded: DataFrame, group: str, target: int) -> DataFrame:
-    """(query_id): equal numbers of each cluster in calibration order, without the excluded queries, then the best of the rest up to ``target``."""
+def calibration_after_evaluation(annotated: DataFrame, excluded: DataFrame, group: str, target: int, clusters: int) -> DataFrame:
+    """(query_id): of each of ``clusters`` clusters the first ceil(target / clusters) queries in calibration order, without the excluded ones.
+
+    What exceeds ``target`` is cut at the end of the order (cluster,
+    calibration order); what is missing comes from the best of the rest.
+    """
+    each = max(1, -(-target // max(1, clusters)))
     pool = annotated.join(excluded.select("query_id"), "query_id", "left_anti")
-    groups = max(1, pool.select(group).distinct().count())
-    each = top_per_group(pool, group, target // groups, *calibration_order()).select("query_id")
-    fill = pool.join(each, "query_id", "left_anti").orderBy(*calibration_order()).limit(target - target // groups * groups + 0).select("query_id")
-    first = each.unionByName(fill)
+    ranked = pool.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*calibration_order()))).filter(F.lit(target) > 0)
+    first = ranked.filter(F.col("_r") <= each).orderBy(group, "_r").limit(max(0, target)).select("query_id")
     short = target - first.count()
     if short <= 0:
         return first
-    return first.unionByName(pool.join(first, "query_id", "left_anti").orderBy(*calibration_order()).limit(short).select("query_id"))
+    return first.unionByName(ranked.filter(F.col("_r") > each).orderBy(*calibration_order()).limit(short).select("query_id"))
+
+
+def random_real_set(candidates: DataFrame, target: int, seed: int, sourced: bool = True) -> DataFrame:
+    """(query_id): the first ``target`` real candidates by stable hash, then id; ``sourced``: only those with a source query.
+
+    candidates(query_id, is_real, source_query_id).  None at all is an error.
+    """
+    real = candidates.filter("is_real")
+    if sourced:
+        real = real.filter(F.trim("source_query_id") != "")
+    key = unit_hash(F.concat(F.lit(f"{seed}::"), F.col("query_id").cast("string")))
+    out = real.orderBy(key, "query_id").limit(target).select("query_id")
+    if out.isEmpty():
+        raise ValueError("no real candidates to choose from")
+    return out
+
+
+def calibration_only(candidates: DataFrame, target: int, forbidden: DataFrame | None = None) -> DataFrame:
+    """(query_id): the first ``target`` candidates in calibration order that aren't forbidden."""
+    pool = candidates if forbidden is None else candidates.join(forbidden.select("query_id"), "query_id", "left_anti")
+    return pool.orderBy(*calibration_order()).limit(max(0, target)).select("query_id")
+
+
+def first_n_sets(queries: DataFrame, calibration: int, evaluation: int, seed: int) -> DataFrame:
+    """(query_id, role): by seeded hash, the first ``calibration`` queries and the next ``evaluation``; too few are an error."""
+    top = queries.select("query_id").distinct().withColumn("h", F.sha2(F.concat(F.lit(f"{seed}::"), F.col("query_id").cast("string")), 256)).orderBy("h", "query_id").limit(calibration + evaluation)
+    ranked = top.withColumn("r", F.row_number().over(Window.orderBy("h", "query_id")))  # as many rows as are chosen
+    if ranked.count() < calibration + evaluation:
+        raise ValueError(f"fewer than {calibration + evaluation} queries")
+    return ranked.select("query_id", F.when(F.col("r") <= calibration, "calibration").otherwise("evaluation").alias("role"))
+
+
+def supported_examples(examples: DataFrame, locale: str, small_version: bool) -> DataFrame:
+    """Examples of a locale with a query, a product and a label, of the small version only if asked for: examples(query_id, query, product_id, locale, label, small_version)."""
+    filled = [F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != "" for c in ("query", "product_id", "label")]
+    kept = examples.filter((F.col("locale") == locale) & filled[0] & filled[1] & filled[2])
+    return kept.filter("small_version = 1") if small_version else kept
+
+
+def first_products(products: DataFrame, chosen: DataFrame, locale: str, order: str) -> DataFrame:
+    """The first row of each chosen product of a locale, in the order of ``order``: products(product_id, locale, ...)."""
+    rows = products.filter(F.col("locale") == locale).join(chosen.select("product_id"), "product_id", "left_semi")
+    return first_of(rows, ("product_id",), F.asc(order))
 
 
 def grow_pool(pool: DataFrame, extra: DataFrame, qrels: DataFrame, target: int, seed: int, words: tuple[int, int] = (2, 24)) -> DataFrame:

@@ -11,12 +11,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vectrine.functions.vectors import dot
 from vectrine.operators.knn import against_centers
 
 
-def center_angles(queries: DataFrame, centers: DataFrame) -> DataFrame:
-    """(query_id, cluster_id, theta, rank): every center by angle, ties by the smaller cluster id."""
-    near = against_centers(queries, F.col("query_id"), F.col("qv"), centers)
+def center_angles(queries: DataFrame, centers: DataFrame, keep: int | None = None) -> DataFrame:
+    """(query_id, cluster_id, theta, rank): the ``keep`` nearest centers (every one, if None) by angle, ties by the smaller cluster id."""
+    near = against_centers(queries, F.col("query_id"), F.col("qv"), centers, keep)
     return near.select(F.col("id").alias("query_id"), "cluster_id", F.col("value").alias("theta"), "rank")
 
 
@@ -46,6 +47,30 @@ def route_boundary(ranked: DataFrame, threshold: float, top_m: int) -> DataFrame
     return ranked.join(gaps(ranked).select("query_id", n.alias("_n")), "query_id").filter(F.col("rank") <= F.col("_n")).drop("_n")
 
 
+def skip_gate(queries: DataFrame, clusters: DataFrame, epsilon: float, low: float | None = None, high: float | None = None) -> DataFrame:
+    """As ``gate`` without noise: sigma and the mean radius are 0, and every query passes."""
+    near = center_angles(queries, clusters, 1).select("query_id", "cluster_id", F.col("theta").alias("center_theta"))
+    e = clip_epsilon(F.lit(float(epsilon)), F.lit(low).cast("double"), F.lit(high).cast("double"))
+    out = near.join(clusters.select("cluster_id", "r_k", "r_fixed", "r_max"), "cluster_id").withColumns({"epsilon_used": e, "sigma": F.lit(0.0), "r_bar": F.lit(0.0)})
+    return out.withColumns({"track": F.lit("dense_rdp"), "margin": F.col("r_max")})
+
+
+def center_cosines(queries: DataFrame, centers: DataFrame) -> DataFrame:
+    """(query_id, cluster_id, cosine): inner products with unit centers, neither side normalised, clipped to [-1, 1]; centers are a small table."""
+    c = centers.select("cluster_id", "center")
+    return queries.join(c, F.lit(True)).select("query_id", "cluster_id", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("qv"), F.col("center")))).alias("cosine"))
+
+
+def dense_only(gated: DataFrame) -> DataFrame:
+    """Queries that the gate lets pass."""
+    return gated.filter("track = 'dense_rdp'")
+
+
+def track_counts(gated: DataFrame, by: str | None = None) -> DataFrame:
+    """(track[, by], n): how many queries are on each track."""
+    return gated.groupBy("track", *([by] if by else [])).agg(F.count(F.lit(1)).alias("n"))
+
+
 def sigma(alpha: float, epsilon: Column) -> Column:
     """Noise scale sqrt(alpha / (2 epsilon))."""
     return F.sqrt(F.lit(float(alpha)) / (2 * epsilon))
@@ -73,7 +98,7 @@ def gate(queries: DataFrame, clusters: DataFrame, alpha: float, epsilon: float,
 
     clusters(cluster_id, center, r_k, r_fixed, r_max).
     """
-    near = center_angles(queries, clusters).filter("rank = 1").select("query_id", "cluster_id", F.col("theta").alias("center_theta"))
+    near = center_angles(queries, clusters, 1).select("query_id", "cluster_id", F.col("theta").alias("center_theta"))
     e = clip_epsilon(F.lit(float(epsilon)), F.lit(low).cast("double"), F.lit(high).cast("double"))
     return (
         near.join(clusters.select("cluster_id", "r_k", "r_fixed", "r_max"), "cluster_id")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vectrine.plans.materialize import Scratch
+
 
 def unit_hash(text: Column) -> Column:
     """The first 64 bits of SHA-256 as a number in [0, 1)."""
@@ -30,6 +32,54 @@ def id_aliases(doc_id: Column) -> Column:
     return F.when(s == "", F.array().cast("array<string>")).otherwise(F.coalesce(rest, F.array(s)))
 
 
+def global_index(df: DataFrame, *order: Column | str) -> DataFrame:
+    """``index``: the place of each row, from 0, in the order of all rows; a range of the order is a partition, so no task sees them all."""
+    scratch = Scratch(df.sparkSession)
+    spread = scratch.cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    count = spread.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    local = spread.withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return local.join(F.broadcast(count), "_part").withColumn("index", F.col("_i") + F.col("_before") - 1).drop("_part", "_i", "_before")
+
+
+def at_ranks(df: DataFrame, value: str, ranks: list[int], most: int = 65536, bins: int = 4096) -> list[float]:
+    """The values at some places (from 0) of the ascending order of a column's non-null values.
+
+    The span around each place is narrowed by counts in equal bins until few
+    enough values are left to sort, or all that are left are equal.
+    """
+    v = df.select(F.col(value).cast("double").alias("v")).filter("v is not null")
+    low, high = v.agg(F.min("v"), F.max("v")).first()
+    out = []
+    for rank in ranks:
+        a, b, skipped = low, high, 0
+        while True:
+            inside = v.filter((F.col("v") >= a) & (F.col("v") <= b))
+            width = (b - a) / bins
+            if width <= 0 or a + width == a or inside.count() <= most:
+                break
+            bin_of = F.least(F.lit(bins - 1), F.floor((F.col("v") - F.lit(a)) / F.lit(width)))
+            seen = skipped
+            for r in inside.groupBy(bin_of.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("b").collect():
+                if seen + r.n > rank:
+                    a, b, skipped = r.low, r.high, seen
+                    break
+                seen += r.n
+        out.append(a if a == b else inside.orderBy("v").limit(rank - skipped + 1).agg(F.max("v")).first()[0])
+    return out
+
+
+def quantiles(df: DataFrame, value: str, fractions: tuple[float, ...]) -> list[float | None]:
+    """Exact quantiles of a column, interpolated between the two nearest places; nulls without values."""
+    n = df.filter(F.col(value).isNotNull()).count()
+    if n == 0:
+        return [None] * len(fractions)
+    at = [f * (n - 1) for f in fractions]
+    found = at_ranks(df, value, sorted({int(x) + d for x in at for d in (0, 1) if int(x) + d < n}))
+    place = dict(zip(sorted({int(x) + d for x in at for d in (0, 1) if int(x) + d < n}), found))
+    return [place[int(x)] + (x - int(x)) * (place[min(int(x) + 1, n - 1)] - place[int(x)]) for x in at]
+
+
 def split_rows(df: DataFrame, key: Column, ratio: float, least_calibration: int, least_evaluation: int, seed: int) -> DataFrame:
     """(key, role): 'calibration' for the first round-half-even(ratio * n) of the distinct keys by hash, held to the least counts; else 'evaluation'."""
     keys = df.select(key.cast("string").alias("key")).filter("key is not null").distinct().withColumn("h", unit_hash(F.concat(F.lit(f"{seed}::"), F.col("key"))))
@@ -40,9 +90,13 @@ def split_rows(df: DataFrame, key: Column, ratio: float, least_calibration: int,
         low = max(1, min(low, n // 2))
         high = max(1, n - low)
     cut = max(low, min(round(ratio * n), n - high))
-    # the cut by hash is a value, not a position: no global sort of all keys
-    edge = keys.orderBy("h", "key").limit(cut).agg(F.max(F.struct("h", "key")).alias("e")).first()["e"] if cut < n else None
-    role = F.lit("calibration") if edge is None else F.when(F.struct("h", "key") <= F.struct(F.lit(edge["h"]).alias("h"), F.lit(edge["key"]).alias("key")), "calibration").otherwise("evaluation")
+    if cut >= n:
+        return keys.select("key", F.lit("calibration").alias("role"))
+    # the hash at the cut comes from counts; only keys of that very hash are put in order
+    edge = at_ranks(keys, "h", [cut - 1])[0]
+    left = cut - keys.filter(F.col("h") < edge).count()
+    last = keys.filter(F.col("h") == edge).orderBy("key").limit(left).agg(F.max("key")).first()[0]
+    role = F.when((F.col("h") < edge) | ((F.col("h") == edge) & (F.col("key") <= last)), "calibration").otherwise("evaluation")
     return keys.select("key", role.alias("role"))
 
 
@@ -95,16 +149,18 @@ def even_quota(total: int, groups: int, index: Column) -> Column:
 
 def terciles(df: DataFrame, score: str) -> DataFrame:
     """``difficulty``: 'easy', 'mid' or 'hard' by the terciles of the score; 'mid' for fewer than three rows."""
-    q = df.agg(F.percentile(score, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_q"), F.count(F.lit(1)).alias("_n"))
-    d = F.when(F.col("_n") < 3, "mid").when(F.col(score) <= F.col("_q")[0], "easy").when(F.col(score) <= F.col("_q")[1], "mid").otherwise("hard")
-    return df.crossJoin(q).withColumn("difficulty", d).drop("_q", "_n")  # one row
+    a, b = quantiles(df, score, (1 / 3, 2 / 3))
+    if a is None or df.count() < 3:
+        return df.withColumn("difficulty", F.lit("mid"))
+    return df.withColumn("difficulty", F.when(F.col(score) <= a, "easy").when(F.col(score) <= b, "mid").otherwise("hard"))
 
 
 def interleave(df: DataFrame, score: str, key: str) -> DataFrame:
     """``turn`` and ``place``: the order in which mid, easy, hard and other rows take turns, each by score and key."""
     place = F.when(F.col("difficulty") == "mid", 0).when(F.col("difficulty") == "easy", 1).when(F.col("difficulty") == "hard", 2).otherwise(3)
-    w = Window.partitionBy("place").orderBy(score, key)
-    return df.withColumn("place", place).withColumn("turn", F.row_number().over(w))
+    r = global_index(df.withColumn("place", place), "place", score, key)
+    first = r.groupBy("place").agg(F.min("index").alias("_first"))  # four rows at most
+    return r.join(F.broadcast(first), "place").withColumn("turn", (F.col("index") - F.col("_first") + 1).cast("int")).drop("index", "_first")
 
 
 def stratified_pick(df: DataFrame, group: str, record: str, distance: str, target: int, strata: int) -> DataFrame:
@@ -132,14 +188,11 @@ def stratified_pick(df: DataFrame, group: str, record: str, distance: str, targe
 
 def prefix_for_size(core: DataFrame, size: int) -> DataFrame:
     """(prefix_end): the smallest p for which the offsets below p and the core offsets make ``size`` different ones; core(offset)."""
-    c = core.select("offset").distinct()
-    w = Window.orderBy("offset")
-    r = c.withColumns({"i": F.row_number().over(w) - 1, "before": F.lag("offset", 1, -1).over(w)})
-    m = c.agg(F.count(F.lit(1)).alias("m"))
-    p = F.lit(size) - F.col("m") + F.col("i")
-    inner = r.crossJoin(m).filter((p > F.col("before")) & (p <= F.col("offset"))).select(p.alias("p"))
-    after = c.agg(F.max("offset").alias("last")).filter(F.coalesce("last", F.lit(-1)) < size).select(F.lit(size).cast("long").alias("p"))
-    return inner.unionByName(after).agg(F.min("p").alias("prefix_end"))
+    r = global_index(core.select("offset").distinct(), "offset")
+    m = r.count()
+    # p and the core make p + (core offsets from p on); with i core offsets below p that is p + m - i, and it grows with p
+    inside = r.filter(F.col("offset") - F.col("index") >= size - m).agg((F.lit(size - m) + F.min("index")).alias("p"))
+    return inside.select(F.greatest(F.lit(0), F.coalesce("p", F.lit(size))).cast("long").alias("prefix_end"))
 
 
 def union_size(core: DataFrame, prefix_end: int) -> DataFrame:
@@ -199,6 +252,12 @@ def first_of(df: DataFrame, keys: tuple[str, ...], *order: Column) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
+def id_digest(df: DataFrame, key: Column, order: Column) -> DataFrame:
+    """(sha256): of the keys in order, joined by newlines: one long string, so the list must fit a task (``fingerprint`` is for longer ones)."""
+    keys = df.agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), key.cast("string").alias("k")))).alias("l"))
+    return keys.select(F.sha2(F.array_join(F.transform("l", lambda x: x["k"]), "\n"), 256).alias("sha256"))
+
+
 def fingerprint(df: DataFrame, key: Column, order: Column, buckets: int = 4096) -> DataFrame:
     """(sha256): a digest of the keys in order.
 

@@ -133,29 +133,32 @@ def duplicate_ids(df: DataFrame, doc_id: Column) -> DataFrame:
     return df.groupBy(doc_id.alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-@lru_cache(maxsize=1 << 18)
-def _signs(token: str) -> np.ndarray:
-    """+1 and -1 for the 64 bits of a token's hash, the lowest bit first."""
-    h = np.frombuffer(hashlib.sha1(token.encode()).digest()[:8], np.uint8)
-    return np.unpackbits(h)[::-1].astype(np.int32) * 2 - 1
+@lru_cache(maxsize=1 << 20)
+def _token_hash(token: str) -> int:
+    return int.from_bytes(hashlib.sha1(token.encode()).digest()[:8], "big")
 
 
-_POWERS = (np.uint64(1) << np.arange(64, dtype=np.uint64))
+def simhashes(lists: list[list[str] | None]) -> np.ndarray:
+    """64-bit similarity hashes as signed numbers: a bit is set where the tokens' hashes have it at least as often as not; 0 without tokens."""
+    counts = np.array([len(w or []) for w in lists], np.int64)
+    out = np.zeros(len(lists), np.uint64)
+    full = np.flatnonzero(counts)
+    if len(full):
+        h = np.fromiter((_token_hash(w) for i in full for w in lists[i]), np.uint64, counts.sum())
+        at = np.cumsum(counts[full]) - counts[full]
+        for bit in range(64):
+            ones = np.add.reduceat(((h >> np.uint64(bit)) & np.uint64(1)).astype(np.int64), at)
+            out[full] |= (2 * ones >= counts[full]).astype(np.uint64) << np.uint64(bit)
+    return out.view(np.int64)
 
 
 def simhash(words: list[str]) -> int:
-    """64-bit similarity hash as a signed number: a bit is set where the tokens' hashes have it at least as often as not; 0 without tokens."""
-    if not words:
-        return 0
-    total = np.zeros(64, np.int64)
-    for w in words:
-        total += _signs(w)
-    return int(_POWERS[total >= 0].sum(dtype=np.uint64).astype(np.int64))
+    return int(simhashes([words])[0])
 
 
 def _simhashes(batches):
     for b in batches:
-        yield pa.record_batch([b.column(0), pa.array([simhash(w or []) for w in flat(b.column(1)).to_pylist()], pa.int64())], ["id", "simhash"])
+        yield pa.record_batch([b.column(0), pa.array(simhashes(flat(b.column(1)).to_pylist()), pa.int64())], ["id", "simhash"])
 
 
 def simhash64(df: DataFrame, record: Column, words: Column) -> DataFrame:

@@ -18,6 +18,7 @@ from vectrine.operators import crypto, knn, metrics, preparation, privacy, routi
 from vectrine.operators import text as tx
 from vectrine.plans import pipelines
 from vectrine.plans.config import SMALL
+from vectrine.plans.materialize import Scratch
 from vectrine.streaming import online as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,11 +55,13 @@ def parts(spark, sf) -> DataFrame:
 
 
 def centers(spark, sf) -> DataFrame:
-    return cl.centroids(read(spark, sf, "embeddings").select(F.col("label").alias("cluster_id"), F.col("embedding").alias("v")), DIM)
+    """One row a cluster, computed once."""
+    c = cl.centroids(read(spark, sf, "embeddings").select(F.col("label").alias("cluster_id"), F.col("embedding").alias("v")), DIM)
+    return Scratch(spark).cut(c.coalesce(1))
 
 
-def ranked_centers(spark, sf) -> DataFrame:
-    return routing.center_angles(asked(spark, sf), centers(spark, sf))
+def ranked_centers(spark, sf, keep: int | None = None) -> DataFrame:
+    return routing.center_angles(asked(spark, sf), centers(spark, sf), keep)
 
 
 def truth(spark, sf, k: int = EVAL_K) -> DataFrame:
@@ -136,9 +139,8 @@ def knn_per_cluster(spark, sf):
 @query(_BASE + f"SELECT query_id, cluster_id, rank, doc_idx, theta FROM n WHERE rank <= {EVAL_K}")
 def filtered_knn(spark, sf):
     c = centers(spark, sf)
-    support = cl.top_c_support(docs(spark, sf), c, TOP_C).select("doc_idx", "cluster_id")
-    routed = routing.route_top_c(routing.center_angles(asked(spark, sf), c), TOP_C).select("query_id", "cluster_id")
-    return knn.filtered_knn(docs(spark, sf), asked(spark, sf).join(routed, "query_id"), support, EVAL_K).select("query_id", "cluster_id", "rank", "doc_idx", "theta")
+    routed = routing.center_angles(asked(spark, sf), c, TOP_C).select("query_id", "cluster_id")
+    return knn.supported_knn(docs(spark, sf), c, TOP_C, asked(spark, sf).join(routed, "query_id"), EVAL_K, DIM)
 
 
 @query(_BASE + f", u AS (SELECT DISTINCT query_id, doc_idx, theta FROM n WHERE rank <= {EVAL_K}) SELECT query_id, doc_idx, theta, row_number() OVER (PARTITION BY query_id ORDER BY theta, doc_idx) AS rank FROM u QUALIFY rank <= {EVAL_K}")
@@ -148,7 +150,7 @@ def rerank_union(spark, sf):
 
 @query(_BASE + f", u AS (SELECT query_id, p.doc_idx, p.theta FROM a JOIN d USING (cluster_id) JOIN p USING (query_id, doc_idx) WHERE a.rank <= 3) SELECT query_id, doc_idx, theta, row_number() OVER (PARTITION BY query_id ORDER BY theta, doc_idx) AS rank FROM u QUALIFY rank <= {EVAL_K}")
 def ivf_top5(spark, sf):
-    return knn.ivf_knn(docs(spark, sf), asked(spark, sf), parts(spark, sf), routing.route_top_c(ranked_centers(spark, sf), 3), EVAL_K).select("query_id", "doc_idx", "theta", "rank")
+    return knn.ivf_knn(docs(spark, sf), asked(spark, sf), parts(spark, sf), ranked_centers(spark, sf, 3), EVAL_K).select("query_id", "doc_idx", "theta", "rank")
 
 
 @query()
@@ -156,9 +158,15 @@ def lsh_top5(spark, sf):
     return knn.lsh_knn(docs(spark, sf), asked(spark, sf), EVAL_K, DIM).select("query_id", "rank", "doc_idx", "theta")
 
 
+@query("SELECT true AS enough")
+def lsh_recall(spark, sf):
+    """Whether the search by sign bands finds at least 0.9 of the exact neighbours."""
+    return metrics.exact_recall(lsh_top5(spark, sf), truth(spark, sf), EVAL_K).agg((F.avg("recall") >= 0.9).alias("enough"))
+
+
 @query(_BASE + "SELECT query_id, count(DISTINCT doc_idx) AS docs FROM a JOIN d USING (cluster_id) WHERE rank <= 3 GROUP BY query_id")
 def union_payload(spark, sf):
-    r = routing.route_top_c(ranked_centers(spark, sf), 3).select("query_id", "cluster_id")
+    r = ranked_centers(spark, sf, 3).select("query_id", "cluster_id")
     return r.join(parts(spark, sf), "cluster_id").groupBy("query_id").agg(F.count_distinct("doc_idx").alias("docs"))
 
 
@@ -192,10 +200,10 @@ def top_c_support(spark, sf):
 
 
 def _state(spark, sf):
+    scratch = Scratch(spark)
     c = centers(spark, sf)
-    support = cl.top_c_support(docs(spark, sf), c, TOP_C).select("doc_idx", "cluster_id")
-    routed = routing.route_top_c(routing.center_angles(asked(spark, sf), c), TOP_C).select("query_id", "cluster_id")
-    near = knn.filtered_knn(docs(spark, sf), asked(spark, sf).join(routed, "query_id"), support, FIXED_K)
+    routed = scratch.cut(routing.center_angles(asked(spark, sf), c, TOP_C).select("query_id", "cluster_id"))
+    near = scratch.cut(knn.supported_knn(docs(spark, sf), c, TOP_C, asked(spark, sf).join(routed, "query_id"), FIXED_K, DIM))
     return c, routed, near
 
 
@@ -234,24 +242,56 @@ def alignment(spark, sf):
 
 
 def _capacity(spark, sf):
-    """All vectors in clusters of equal size: the largest number of clusters up to ten that divides them."""
-    n = read(spark, sf, "embeddings").count()
-    k = next(k for k in range(10, 0, -1) if n % k == 0)
+    """All vectors in as many clusters of equal size as there are labels."""
+    n, k = read(spark, sf, "embeddings").agg(F.count(F.lit(1)), F.count_distinct("label")).first()
     return k, n // k
 
 
-@query()
+_COST = _BASE + """, e AS (SELECT d.doc_idx, c.cluster_id, round(list_distance(v, center), 9) AS cost FROM d, c),
+pf AS (SELECT doc_idx, list(cluster_id ORDER BY cost, cluster_id) AS pref, list(cost ORDER BY cost, cluster_id) AS l, list(cost ORDER BY cluster_id) AS by_id FROM e GROUP BY doc_idx),
+cap AS (SELECT (SELECT count(*) FROM d) // (SELECT count(*) FROM c) AS n, (SELECT list(cluster_id ORDER BY cluster_id) FROM c) AS ids)"""
+_BALANCED = (
+    _COST.replace("WITH d AS", "WITH RECURSIVE d AS")
+    + """, o AS (SELECT doc_idx, pref, row_number() OVER (ORDER BY round(l[2] - l[1], 9) DESC, l[1], doc_idx) AS i FROM pf),
+g AS (SELECT 0::BIGINT AS i, list_transform(ids, lambda x: n) AS room, NULL::BIGINT AS doc_idx, NULL::BIGINT AS cluster_id FROM cap
+  UNION ALL SELECT i, list_transform(room, lambda x, j: CASE WHEN ids[j] = cid THEN x - 1 ELSE x END), doc, cid FROM (
+    SELECT o.i, g.room, o.doc_idx AS doc, ids, list_filter(o.pref, lambda p: g.room[list_position(ids, p)] > 0)[1] AS cid FROM g JOIN o ON o.i = g.i + 1, cap))"""
+)
+
+
+@query(_BALANCED + " SELECT doc_idx, cluster_id FROM g WHERE i > 0")
 def balanced_assignment(spark, sf):
-    k, capacity = _capacity(spark, sf)
-    return cl.balanced_assignment(cl.costs(docs(spark, sf), centers(spark, sf).filter(F.col("cluster_id") < k)), capacity)
+    _, capacity = _capacity(spark, sf)
+    return cl.balanced_assignment(cl.costs(docs(spark, sf), centers(spark, sf)), capacity)
 
 
-@query()
-def capacity_repair(spark, sf):
-    k, capacity = _capacity(spark, sf)
-    cost = cl.costs(docs(spark, sf), centers(spark, sf).filter(F.col("cluster_id") < k))
+def _repaired(spark, sf):
+    _, capacity = _capacity(spark, sf)
+    cost = Scratch(spark).cut(cl.costs(docs(spark, sf), centers(spark, sf)))
     nearest = sampling.first_of(cost, ("doc_idx",), F.asc("cost"), F.asc("cluster_id")).select("doc_idx", "cluster_id")
-    return cl.capacity_repair(cost, nearest, capacity)
+    return cost, cl.capacity_repair(cost, nearest, capacity)
+
+
+_REPAIRED = (
+    _COST.replace("WITH d AS", "WITH RECURSIVE d AS")
+    + """, nat AS (SELECT doc_idx, pref[1] AS src, l[1] AS own FROM pf),
+mv AS (SELECT e.doc_idx, src, e.cluster_id AS dst, row_number() OVER (ORDER BY round(cost - own, 9), e.doc_idx, e.cluster_id) AS i FROM e JOIN nat USING (doc_idx) WHERE e.cluster_id <> src),
+sz AS (SELECT list(coalesce(k, 0) ORDER BY c.cluster_id) AS sizes FROM c LEFT JOIN (SELECT src, count(*) AS k FROM nat GROUP BY src) ON src = c.cluster_id),
+g AS (SELECT 0::BIGINT AS i, sizes, []::BIGINT[] AS moved, NULL::BIGINT AS doc_idx, NULL::BIGINT AS dst FROM sz
+  UNION ALL SELECT i, CASE WHEN ok THEN list_transform(sizes, lambda x, j: CASE WHEN ids[j] = src THEN x - 1 WHEN ids[j] = t THEN x + 1 ELSE x END) ELSE sizes END, CASE WHEN ok THEN list_append(moved, doc) ELSE moved END, CASE WHEN ok THEN doc END, CASE WHEN ok THEN t END FROM (
+    SELECT mv.i, g.sizes, g.moved, mv.doc_idx AS doc, src, mv.dst AS t, ids, NOT list_contains(g.moved, mv.doc_idx) AND g.sizes[list_position(ids, src)] > n AND g.sizes[list_position(ids, mv.dst)] < n AS ok FROM g JOIN mv ON mv.i = g.i + 1, cap)),
+rep AS (SELECT nat.doc_idx, coalesce(m.dst, src) AS cluster_id FROM nat LEFT JOIN (SELECT doc_idx, dst FROM g WHERE doc_idx IS NOT NULL) m USING (doc_idx))"""
+)
+
+
+@query(_REPAIRED + " SELECT doc_idx, cluster_id FROM rep")
+def capacity_repair(spark, sf):
+    return _repaired(spark, sf)[1]
+
+
+@query(_REPAIRED + " SELECT round(sum(cost), 6) AS total, round(avg(cost), 6) AS mean FROM rep JOIN e USING (doc_idx, cluster_id)")
+def repaired_cost(spark, sf):
+    return cl.assignment_cost(*_repaired(spark, sf))
 
 
 @query()
@@ -262,12 +302,20 @@ def spherical_kmeans(spark, sf):
 @query()
 def seed_sweep(spark, sf):
     k, _ = _capacity(spark, sf)
-    return cl.seed_sweep(_described(spark, sf), k, range(2), DIM, FIXED_K)
+    return cl.seed_sweep(_described(spark, sf), k, range(3), DIM, FIXED_K)
 
 
-@query()
-def swap_candidates(spark, sf):
-    return cl.swap_candidates(cl.costs(docs(spark, sf), centers(spark, sf)), parts(spark, sf))
+@query("SELECT 0 AS swaps, true AS gains UNION ALL SELECT 1, true UNION ALL SELECT 2, true")
+def boundary_swaps(spark, sf):
+    """Two swaps between a partition's clusters, and whether J grew by each."""
+    start = docs(spark, sf).select("doc_idx", F.pmod("doc_idx", F.lit(5)).alias("cluster_id"))
+    _, j = cl.refine_by_swaps(_described(spark, sf), start, FIXED_K // 2, 2, 3)
+    return spark.createDataFrame([(i, i == 0 or j[i] > j[i - 1]) for i in range(len(j))], "swaps int, gains boolean")
+
+
+@query("SELECT cluster_id, list(doc_idx ORDER BY doc_idx) AS members FROM (SELECT vec_id AS doc_idx, label AS cluster_id FROM embeddings) GROUP BY cluster_id")
+def member_lists(spark, sf):
+    return cl.member_lists(parts(spark, sf))
 
 
 @query(_BASE + ", b AS (SELECT c.cluster_id, list_transform(range(1, 65), lambda i: list_avg(list_transform(l, lambda z: z[i]))) AS m FROM c JOIN (SELECT k.cluster_id, list(d.v) AS l FROM k JOIN d USING (doc_idx) WHERE rank <= 20 GROUP BY k.cluster_id) USING (cluster_id)) SELECT cluster_id, round(list_cosine_similarity(m, center), 4) AS core_cosine FROM b JOIN c USING (cluster_id)")
@@ -307,13 +355,19 @@ def partition_violations(spark, sf):
 
 def _described(spark, sf) -> DataFrame:
     """Vectors with the source and a hash of the document of the same number, where there is one."""
-    d = read(spark, sf, "documents").select(F.col("doc_id").alias("doc_idx"), "source", F.conv(F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 15), 16, 10).cast("long").alias("simhash"))
-    return docs(spark, sf).join(d, "doc_idx", "left").withColumn("simhash", F.coalesce("simhash", F.lit(0).cast("long")))
+    d = read(spark, sf, "documents")
+    h = simhash_docs(spark, sf).select(F.col("doc_id").alias("doc_idx"), "simhash")
+    both = d.select(F.col("doc_id").alias("doc_idx"), "source").join(h, "doc_idx")
+    return docs(spark, sf).join(both, "doc_idx", "left").withColumn("simhash", F.coalesce("simhash", F.lit(0).cast("long")))
 
 
+_SIMHASH_OF = lambda key, table: f"""SELECT k.{key}, coalesce(o.simhash, 0) AS simhash FROM (SELECT DISTINCT {key} FROM {table}) k LEFT JOIN (
+  SELECT {key}, sum(CASE WHEN s < 0 THEN 0::HUGEINT WHEN i = 63 THEN -(1::HUGEINT << 63) ELSE 1::HUGEINT << i::INT END)::BIGINT AS simhash FROM (
+    SELECT {key}, i, sum(CASE WHEN (h >> i) & 1 = 1 THEN n ELSE -n END) AS s FROM (
+      SELECT {key}, w, count(*) AS n, ('0x' || substr(sha1(w), 1, 16))::UBIGINT AS h FROM (SELECT {key}, unnest(regexp_extract_all(lower(coalesce(any_value(text), '')), '[a-z0-9]+')) AS w FROM {table} GROUP BY {key}) GROUP BY ALL), range(64) r(i) GROUP BY ALL) GROUP BY {key}) o USING ({key})"""
 _QUALITY = _BASE + f"""
-, o AS (SELECT d.*, coalesce(x.source, '') AS source, coalesce(('0x' || substr(md5(coalesce(x.text, '')), 1, 15))::BIGINT, 0) AS h, x.doc_id FROM d LEFT JOIN documents x ON x.doc_id = d.doc_idx),
-o2 AS (SELECT * REPLACE (CASE WHEN doc_id IS NULL THEN 0 ELSE h END AS h) FROM o),
+, sh AS ({_SIMHASH_OF("doc_id", "documents")}),
+o2 AS (SELECT d.*, coalesce(x.source, '') AS source, coalesce(sh.simhash, 0) AS h FROM d LEFT JOIN documents x ON x.doc_id = d.doc_idx LEFT JOIN sh ON sh.doc_id = d.doc_idx),
 u AS (SELECT o2.*, round(list_distance(v, center), 9) AS e FROM o2 JOIN c USING (cluster_id)),
 v1 AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY e, doc_idx) AS r FROM u),
 r1 AS (SELECT cluster_id, count(*) AS n, round(quantile_cont(e, 0.95) FILTER (WHERE r <= {FIXED_K // 2}), 6) AS core_radius, round(quantile_cont(e, 0.95), 6) AS tail_radius FROM v1 GROUP BY cluster_id),
@@ -355,7 +409,7 @@ def sub_clusters(spark, sf):
 
 @query(_BASE + "SELECT query_id, cluster_id, rank, theta FROM a WHERE rank <= 7")
 def route_top_c(spark, sf):
-    return routing.route_top_c(ranked_centers(spark, sf), TOP_C).select("query_id", "cluster_id", "rank", "theta")
+    return ranked_centers(spark, sf, TOP_C).select("query_id", "cluster_id", "rank", "theta")
 
 
 _GAPS = _BASE + ", g AS (SELECT query_id, round(min(theta) FILTER (WHERE rank = 2) - min(theta) FILTER (WHERE rank = 1), 9) AS gap2, round(min(theta) FILTER (WHERE rank = 3) - min(theta) FILTER (WHERE rank = 1), 9) AS gap3, round(min(theta) FILTER (WHERE rank = 4) - min(theta) FILTER (WHERE rank = 1), 9) AS gap4 FROM a GROUP BY query_id)"
@@ -405,19 +459,31 @@ def noise_scales(spark, sf):
     return read(spark, sf, "events").select("event_id", F.round(routing.sigma(2.0, e), 9).alias("sigma"), F.round(routing.r_bar(2.0, e, 64), 9).alias("r_bar"), F.round(privacy.angular_shift(F.abs("value"), F.lit(2.0)), 9).alias("shift"))
 
 
-@query()
+@query("SELECT vec_id AS query_id, true AS within, true AS moved, true AS turned FROM embeddings WHERE vec_id % 100 = 0")
 def perturbed_queries(spark, sf):
+    """What must hold of every perturbed query: its radius lies between the mean radius and r_max, it moved by just that, and the angle follows."""
     q = asked(spark, sf).withColumn("r_max", F.lit(1.0))
-    return privacy.perturb_rdp(q, 2.0, 175000.0, DIM).select("query_id", F.round("radius", 9).alias("radius"), F.round("delta_alpha", 9).alias("delta_alpha"))
+    p = privacy.perturb_rdp(q, 2.0, 175000.0, DIM).join(asked(spark, sf), "query_id")
+    least = routing.r_bar(2.0, F.lit(175000.0), DIM)
+    near = lambda a, b: F.abs(a - b) < 1e-6
+    return p.select("query_id", F.col("radius").between(least - 1e-12, F.lit(1.0)).alias("within"), near(l2(F.col("qv"), F.col("perturbed")), F.col("radius")).alias("moved"), near(F.col("delta_alpha"), F.atan(F.col("radius") / norm(F.col("qv")))).alias("turned"))
 
 
-@query()
+@query("SELECT vec_id AS query_id, true AS enough, true AS dense, true AS within FROM embeddings WHERE vec_id % 100 = 0")
 def distance_candidates(spark, sf):
+    """What must hold of each candidate set: k documents or more, ranks without gaps, the last within the k-th angle and the shift."""
+    c, bound = _distance_candidates(spark, sf)
+    per = c.groupBy("query_id").agg((F.count(F.lit(1)) >= EVAL_K).alias("enough"), (F.max("rank") == F.count(F.lit(1))).alias("dense"), F.max("theta").alias("last"))
+    return per.join(bound, "query_id").select("query_id", "enough", "dense", (F.col("last") <= F.col("bound") + 1e-8).alias("within"))
+
+
+def _distance_candidates(spark, sf):
     q = privacy.perturb_distance(asked(spark, sf), 6400.0, DIM)
     near = knn.exact_knn(docs(spark, sf), F.col("doc_idx"), F.col("v"), q, F.col("query_id"), F.col("perturbed"), EVAL_K, DIM)
     kth = near.filter(F.col("rank") == EVAL_K).select("query_id", F.col("theta").alias("kth"))
     scored = knn.docs_within(docs(spark, sf), F.col("doc_idx"), F.col("v"), q.join(kth, "query_id"), F.col("query_id"), F.col("perturbed"), F.col("kth") + F.col("delta_alpha") + 2e-9, DIM)
-    return privacy.distance_candidates(scored, q.select("query_id", "delta_alpha"), EVAL_K).select("query_id", "rank", "doc_idx")
+    bound = kth.join(q, "query_id").select("query_id", (F.col("kth") + F.col("delta_alpha")).alias("bound"))
+    return privacy.distance_candidates(scored, q.select("query_id", "delta_alpha"), EVAL_K).select("query_id", "rank", "doc_idx", "theta"), bound
 
 
 # --- texts -------------------------------------------------------------------
@@ -477,13 +543,15 @@ def simhash_docs(spark, sf):
 
 
 def _units(spark, sf) -> DataFrame:
-    """(ord, source, simhash) of the units with a hash, each once."""
-    u = read(spark, sf, "retrieval_units").filter("simhash is not null")
+    """(ord, source, simhash) of all units, each once, hashed from their texts: the delivered hashes are partly missing and partly stale."""
+    u = read(spark, sf, "retrieval_units").dropDuplicates(["unit_id"])
     src = F.upper(F.regexp_replace(F.coalesce("source_doc_id", F.split_part("doc_id", F.lit("::"), F.lit(1))), r"^D|\s+", ""))
-    return u.select(F.col("unit_id").alias("ord"), F.regexp_replace(src, "^D", "").alias("source"), "simhash").dropDuplicates(["ord"])
+    h = tx.simhash64(u, F.col("unit_id"), tx.tokens(F.col("text"))).withColumnRenamed("id", "ord")
+    return Scratch(spark).cut(u.select(F.col("unit_id").alias("ord"), F.regexp_replace(src, "^D", "").alias("source")).join(h, "ord"))
 
 
-_UNITS = r"WITH u AS (SELECT unit_id AS ord, any_value(regexp_replace(upper(regexp_replace(coalesce(source_doc_id, split_part(doc_id, '::', 1)), '^D|\s+', '', 'g')), '^D', '')) AS source, any_value(simhash) AS simhash FROM retrieval_units WHERE simhash IS NOT NULL GROUP BY unit_id)"
+_UNITS = rf"""WITH RECURSIVE sh AS ({_SIMHASH_OF("unit_id", "retrieval_units")}),
+u AS (SELECT unit_id AS ord, any_value(regexp_replace(upper(regexp_replace(coalesce(source_doc_id, split_part(doc_id, '::', 1)), '^D|\s+', '', 'g')), '^D', '')) AS source, any_value(sh.simhash) AS simhash FROM retrieval_units JOIN sh USING (unit_id) GROUP BY unit_id)"""
 
 
 @query(_UNITS + " SELECT x.ord AS a, y.ord AS b FROM u x JOIN u y ON x.source = y.source AND x.ord < y.ord WHERE bit_count(xor(x.simhash, y.simhash)) <= 3")
@@ -491,12 +559,18 @@ def hamming_within_source(spark, sf):
     return tx.hamming_pairs(_units(spark, sf), 3, "source")
 
 
-@query(_UNITS + " SELECT x.ord AS a, y.ord AS b FROM u x JOIN u y ON x.ord < y.ord AND (x.simhash >> 48) = (y.simhash >> 48) WHERE bit_count(xor(x.simhash, y.simhash)) <= 2")
+@query(_UNITS + " SELECT x.ord AS a, y.ord AS b FROM u x JOIN u y ON x.ord < y.ord AND ((x.simhash >> 48) & 65535) = ((y.simhash >> 48) & 65535) WHERE bit_count(xor(x.simhash, y.simhash)) <= 2")
 def hamming_by_prefix(spark, sf):
     return tx.hamming_pairs(_units(spark, sf), 2, None, 16)
 
 
-@query()
+_GREEDY = lambda name, rows, most, same: f"""{name}_p AS (SELECT y.ord, list(x.ord) AS before FROM {rows} x JOIN {rows} y ON x.ord < y.ord AND bit_count(xor(x.simhash, y.simhash)) <= {most} AND {same} GROUP BY y.ord),
+{name}_o AS (SELECT ord, before, row_number() OVER (ORDER BY ord) AS i FROM {name}_p),
+{name}_g AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS gone UNION ALL SELECT o.i, CASE WHEN len(list_filter(o.before, lambda b: NOT list_contains(g.gone, b))) > 0 THEN list_append(g.gone, o.ord) ELSE g.gone END FROM {name}_g g JOIN {name}_o o ON o.i = g.i + 1),
+{name}_r AS (SELECT unnest(gone) AS ord FROM (SELECT gone FROM {name}_g ORDER BY i DESC LIMIT 1))"""
+
+
+@query(_UNITS + ", " + _GREEDY("a", "u", 3, "x.source IS NOT DISTINCT FROM y.source") + ", k AS (SELECT * FROM u WHERE ord NOT IN (SELECT ord FROM a_r)), " + _GREEDY("b", "k", 2, "((x.simhash >> 48) & 65535) = ((y.simhash >> 48) & 65535)") + " SELECT ord, CASE WHEN ord IN (SELECT ord FROM a_r) THEN 'within_source' WHEN ord IN (SELECT ord FROM b_r) THEN 'global' END AS removed FROM u")
 def near_dup_removed(spark, sf):
     return tx.two_tier_dedup(_units(spark, sf))
 
@@ -649,24 +723,28 @@ def contiguous_prefix(spark, sf):
     return sampling.contiguous_prefix(read(spark, sf, "supplier").select(F.col("s_nationkey").alias("shard_idx")))
 
 
-@query()
+@query("SELECT sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id)) AS sha256 FROM documents")
 def id_fingerprint(spark, sf):
-    return sampling.fingerprint(read(spark, sf, "documents"), F.col("doc_id"), F.col("doc_id"))
+    return sampling.id_digest(read(spark, sf, "documents"), F.col("doc_id"), F.col("doc_id"))
+
+
+@query("SELECT 64 AS length")
+def long_fingerprint(spark, sf):
+    return sampling.fingerprint(read(spark, sf, "documents"), F.col("doc_id"), F.col("doc_id")).select(F.length("sha256").alias("length"))
 
 
 # --- query sets and worksets -------------------------------------------------
 
 
 def _annotated(spark, sf):
+    scratch = Scratch(spark)
     c = centers(spark, sf)
-    ranked = routing.center_angles(asked(spark, sf), c)
-    nearest = ranked.filter("rank = 1").select("query_id", "cluster_id")
-    support = cl.top_c_support(docs(spark, sf), c, TOP_C).select("doc_idx", "cluster_id")
-    near = knn.filtered_knn(docs(spark, sf), asked(spark, sf).join(nearest, "query_id"), support, FIXED_K)
-    return preparation.annotate(asked(spark, sf), ranked, truth(spark, sf), parts(spark, sf), near, EVAL_K)
+    nearest = scratch.cut(routing.center_angles(asked(spark, sf), c, 1))
+    near = scratch.cut(knn.supported_knn(docs(spark, sf), c, TOP_C, asked(spark, sf).join(nearest.select("query_id", "cluster_id"), "query_id"), FIXED_K, DIM))
+    return preparation.annotate(asked(spark, sf), nearest, scratch.cut(truth(spark, sf)), parts(spark, sf), near, EVAL_K)
 
 
-@query(_BASE + f"""
+_ANNOTATED = _BASE + f"""
 , o AS (SELECT query_id, cluster_id AS nearest_cluster_id, theta AS nearest_center_theta FROM a WHERE rank = 1),
 g AS (SELECT t.*, d.cluster_id FROM t JOIN d USING (doc_idx) WHERE rank <= {EVAL_K}),
 j AS (SELECT query_id, cluster_id, count(*) AS n, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, cluster_id) AS r FROM g GROUP BY query_id, cluster_id),
@@ -674,7 +752,10 @@ h AS (SELECT n.query_id, count(*) FILTER (WHERE n.doc_idx IN (SELECT doc_idx FRO
 b AS (SELECT g.query_id, count(*) FILTER (WHERE cluster_id = nearest_cluster_id) AS inside, max(theta) AS worst, min(theta) AS best, min(cluster_id) FILTER (WHERE rank = 1) AS top1 FROM g JOIN o USING (query_id) GROUP BY g.query_id)
 SELECT query_id, nearest_cluster_id, nearest_center_theta, best AS nearest_doc_theta, round(nearest_center_theta + 0.35 * best, 9) AS semantic_score, top1 AS top1_cluster_id, j.cluster_id AS majority_cluster_id, j.n = {EVAL_K} AS single_cluster,
  hits / {EVAL_K} AS cover_fixed, hits = {EVAL_K} AS cover_fixed_full, inside / {EVAL_K} AS cover_cluster, inside = {EVAL_K} AS cover_cluster_full, round(CASE WHEN hits = {EVAL_K} THEN tan(greatest((edge - worst) / 2, 0)) ELSE 0 END, 9) AS ideal_r_max
-FROM o JOIN b USING (query_id) JOIN h USING (query_id) JOIN j USING (query_id) WHERE j.r = 1""")
+FROM o JOIN b USING (query_id) JOIN h USING (query_id) JOIN j USING (query_id) WHERE j.r = 1"""
+
+
+@query(_ANNOTATED)
 def annotated_queries(spark, sf):
     return _annotated(spark, sf)
 
@@ -683,20 +764,57 @@ def _pool(spark, sf):
     return _annotated(spark, sf).withColumn("is_real", F.lit(True))
 
 
-@query()
+_BY_CAL = "cover_fixed_full DESC, cover_cluster_full DESC, ideal_r_max DESC, semantic_score, query_id"
+_BY_EVAL = "cover_cluster_full DESC, single_cluster DESC, semantic_score, query_id"
+_SETS = f"WITH an AS ({_ANNOTATED})"
+
+
+@query(_SETS + f", cs AS (SELECT * FROM an QUALIFY row_number() OVER (PARTITION BY nearest_cluster_id ORDER BY {_BY_CAL}) <= 1), es AS (SELECT * FROM an WHERE query_id NOT IN (SELECT query_id FROM cs) QUALIFY row_number() OVER (PARTITION BY nearest_cluster_id ORDER BY {_BY_EVAL}) <= 1) SELECT query_id, 'calibration' AS role FROM cs UNION ALL SELECT query_id, 'evaluation' FROM es")
 def balanced_query_sets(spark, sf):
-    return preparation.balanced_sets(_pool(spark, sf), "nearest_cluster_id", 1, 1)
+    return preparation.balanced_sets(Scratch(spark).cut(_pool(spark, sf)), "nearest_cluster_id", 1, 1)
 
 
-@query()
+@query(_SETS + f", cs AS (SELECT query_id FROM an ORDER BY {_BY_CAL} LIMIT 2), es AS (SELECT query_id FROM an WHERE query_id NOT IN (SELECT query_id FROM cs) ORDER BY ('0x' || substr(sha256('7::' || query_id), 1, 16))::UBIGINT, query_id LIMIT 2) SELECT query_id, 'calibration' AS role FROM cs UNION ALL SELECT query_id, 'evaluation' FROM es")
 def fast_query_sets(spark, sf):
-    return preparation.fast_sets(_pool(spark, sf), 2, 2, 7)
+    return preparation.fast_sets(Scratch(spark).cut(_pool(spark, sf)), 2, 2, 7)
 
 
-@query()
+_AFTER = lambda n: _SETS + f""", c1 AS (SELECT query_id FROM an ORDER BY {_BY_CAL} LIMIT 1), ex AS (SELECT query_id FROM an WHERE query_id NOT IN (SELECT query_id FROM c1) ORDER BY {_BY_EVAL} LIMIT 1),
+rk AS (SELECT *, row_number() OVER (PARTITION BY nearest_cluster_id ORDER BY {_BY_CAL}) AS r FROM an WHERE query_id NOT IN (SELECT query_id FROM ex)),
+fs AS (SELECT query_id FROM rk WHERE r <= greatest(1, ceil({n} / 10)) ORDER BY nearest_cluster_id, r LIMIT {n}), lf AS (SELECT query_id FROM rk WHERE r > greatest(1, ceil({n} / 10)) ORDER BY {_BY_CAL} LIMIT (SELECT {n} - count(*) FROM fs))
+SELECT query_id FROM fs UNION ALL SELECT query_id FROM lf"""
+
+
+def _after(spark, sf, target):
+    pool = Scratch(spark).cut(_pool(spark, sf))
+    return preparation.calibration_after_evaluation(pool, preparation.fast_sets(pool, 1, 1).filter("role = 'evaluation'"), "nearest_cluster_id", target, 10)
+
+
+@query(_AFTER(3))
 def calibration_after_evaluation(spark, sf):
-    pool = _pool(spark, sf)
-    return preparation.calibration_after_evaluation(pool, preparation.fast_sets(pool, 1, 1).filter("role = 'evaluation'"), "nearest_cluster_id", 3)
+    return _after(spark, sf, 3)
+
+
+@query(_AFTER(4000))
+def calibration_of_all_others(spark, sf):
+    return _after(spark, sf, 4000)
+
+
+@query(_SETS + " SELECT query_id FROM an WHERE query_id % 200 = 0 ORDER BY ('0x' || substr(sha256('7::' || query_id), 1, 16))::UBIGINT, query_id LIMIT 3")
+def random_real_set(spark, sf):
+    source = F.when(F.col("query_id") % 200 == 0, F.concat(F.lit("q"), "query_id"))
+    return preparation.random_real_set(_pool(spark, sf).withColumn("source_query_id", source), 3, 7)
+
+
+@query(_SETS + f", fo AS (SELECT query_id FROM an WHERE query_id % 300 = 0) SELECT query_id FROM an WHERE query_id NOT IN (SELECT query_id FROM fo) ORDER BY {_BY_CAL} LIMIT 4")
+def calibration_only(spark, sf):
+    pool = Scratch(spark).cut(_pool(spark, sf))
+    return preparation.calibration_only(pool, 4, pool.filter("query_id % 300 = 0").select("query_id"))
+
+
+@query("WITH r AS (SELECT query_idx AS query_id, row_number() OVER (ORDER BY sha256('7::' || query_idx), query_idx) AS r FROM (SELECT DISTINCT query_idx FROM workset_queries)) SELECT query_id, CASE WHEN r <= 10 THEN 'calibration' ELSE 'evaluation' END AS role FROM r WHERE r <= 25")
+def first_n_sets(spark, sf):
+    return preparation.first_n_sets(read(spark, sf, "workset_queries").select(F.col("query_idx").alias("query_id")), 10, 15, 7)
 
 
 _JUDGED = "WITH j AS (SELECT l_suppkey AS query_id, l_partkey AS product_id, l_returnflag = 'R' AS positive FROM lineitem)"
@@ -737,13 +855,20 @@ def workset_positives(spark, sf):
     return preparation.workset_positives(q, d.select("doc_id", "source_id"), sampling.id_aliases)
 
 
-@query()
+@query("SELECT vec_id AS doc_idx, unnest(range(3))::INT AS copy_no, true AS unit, true AS between FROM embeddings")
 def mixed_vectors(spark, sf):
+    """What must hold of each mixed vector: unit length, and no farther from its two parents than they are apart."""
     e = read(spark, sf, "embeddings")
     near = knn.exact_knn(e, F.col("vec_id"), F.col("embedding"), e, F.col("vec_id"), F.col("embedding"), 4, DIM, F.col("label"), F.col("label"))
     near = near.filter("query_id <> doc_idx").select(F.col("query_id").alias("doc_idx"), F.col("doc_idx").alias("other"), "rank")
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("doc_idx").orderBy("rank")))
-    return preparation.grow_by_mixing(docs(spark, sf), near, 3, DIM).select("doc_idx", "copy_no", F.round(F.col("v")[0], 9).alias("v0"))
+    near = Scratch(spark).cut(near)
+    mixed = preparation.grow_by_mixing(docs(spark, sf), near, 3, DIM)
+    n = near.groupBy("doc_idx").agg(F.max("rank").alias("n"))
+    unit = docs(spark, sf).select("doc_idx", normalize(F.col("v")).alias("x"))
+    of = mixed.join(n, "doc_idx").withColumn("rank", F.col("copy_no") % F.col("n") + 1).join(near, ["doc_idx", "rank"]).join(unit, "doc_idx").join(unit.select(F.col("doc_idx").alias("other"), F.col("x").alias("y")), "other")
+    apart = theta(F.col("x"), F.col("y")) + 1e-6
+    return of.select("doc_idx", "copy_no", (F.abs(norm(F.col("v")) - 1) < 1e-6).alias("unit"), ((theta(F.col("v"), F.col("x")) <= apart) & (theta(F.col("v"), F.col("y")) <= apart)).alias("between"))
 
 
 @query("SELECT doc_id AS doc_idx, doc_id // 32 AS batch, doc_id % 32 AS slot, substr(coalesce(text, ''), 1, 200) AS snippet FROM documents")
@@ -815,7 +940,7 @@ def metric_summary(spark, sf):
 @query(_BASE + """, x AS (SELECT t.query_id, t.rank, a.query_id IS NOT NULL AS hit FROM t JOIN d USING (doc_idx) LEFT JOIN a ON a.query_id = t.query_id AND a.cluster_id = d.cluster_id AND a.rank <= 3 WHERE t.rank <= 5)
 SELECT query_id, bool_and(hit) AS covered, bool_or(hit AND rank = 1) AS first_covered FROM x GROUP BY query_id""")
 def cluster_coverage(spark, sf):
-    return metrics.coverage_by_cluster(truth(spark, sf), parts(spark, sf), routing.route_top_c(ranked_centers(spark, sf), 3))
+    return metrics.coverage_by_cluster(truth(spark, sf), parts(spark, sf), ranked_centers(spark, sf, 3))
 
 
 @query(_BASE + "SELECT query_id, CASE WHEN atan(tan(theta) / sqrt(5)) >= 64 / 640.0 THEN 'direct' ELSE 'oblivious' END AS mode FROM t WHERE rank = 5")
@@ -848,19 +973,43 @@ def integer_ranking(spark, sf):
     return crypto.plain_integer_ranking(_integer_pairs(spark, sf, 50), EVAL_K)
 
 
-@query()
+@query(_BASE + ", z AS (SELECT t.query_id, t.doc_idx, (25000000 - list_sum(list_transform(range(1, 65), lambda i: round_even(qv[i] * 5000, 0)::BIGINT * round_even(v[i] * 5000, 0)::BIGINT))::BIGINT) / 25000000 AS distance FROM t JOIN q USING (query_id) JOIN d USING (doc_idx) WHERE rank <= 50) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_idx) AS rank, doc_idx, round(distance, 6) AS distance FROM z QUALIFY rank <= 5")
 def encrypted_ranking(spark, sf):
-    keys = crypto.key_pair(256, 7)
+    keys = crypto.key_pair(512, 7)
     c = crypto.encrypted_scores(_integer_pairs(spark, sf, FIXED_K), keys.public, 5000**2, 7)
     return knn.rank_pairs(crypto.decrypt_scores(c, keys, 5000**2), EVAL_K, score="distance").select("query_id", "rank", "doc_idx", F.round("distance", 6).alias("distance"))
 
 
-@query()
-def oblivious_transfer(spark, sf):
+def _payloads(spark, sf):
     texts = read(spark, sf, "documents").select(F.col("doc_id").alias("doc_idx"), "text")
     t = truth(spark, sf, 10).join(texts, "doc_idx", "left").withColumn("text", F.coalesce("text", F.lit("")))
-    p = t.select("query_id", (F.col("rank") - 1).alias("position"), crypto.payload_json(F.col("doc_idx"), F.col("text")).alias("payload"), (F.col("rank") <= 5).alias("wanted"))
-    return crypto.oblivious_transfer(p, 128, 7)
+    return t.select("query_id", (F.col("rank") - 1).alias("position"), crypto.payload_json(F.col("doc_idx"), F.col("text")).alias("payload"), (F.col("rank") <= 5).alias("wanted"))
+
+
+_PAYLOADS = _BASE + ", y AS (SELECT query_id, rank, strlen(to_json({'doc_idx': t.doc_idx, 'text': coalesce(x.text, '')})::VARCHAR) AS bytes FROM t LEFT JOIN documents x ON x.doc_id = t.doc_idx WHERE rank <= 10)"
+
+
+@query(_PAYLOADS + " SELECT query_id, 5 AS received, sum(bytes)::BIGINT AS payload_bytes FROM y GROUP BY query_id")
+def oblivious_transfer(spark, sf):
+    return crypto.oblivious_transfer(_payloads(spark, sf), 256, 7).select("query_id", "received", "payload_bytes")
+
+
+@query(_PAYLOADS + " SELECT query_id, sum(bytes)::BIGINT AS bytes FROM y WHERE rank <= 5 GROUP BY query_id")
+def direct_bytes(spark, sf):
+    return crypto.direct_bytes(_payloads(spark, sf))
+
+
+@query(_BASE + f"SELECT t.query_id, t.doc_idx, round(list_dot_product(qv, v), 6) AS score, 4096 AS slots, {2 * 8192 * 140 // 8} AS request_bytes, {2 * 8192 * 100 // 8} AS response_bytes FROM t JOIN q USING (query_id) JOIN d USING (doc_idx) WHERE rank <= 20")
+def lattice_scores(spark, sf):
+    p = truth(spark, sf, 20).select("query_id", "doc_idx").join(asked(spark, sf), "query_id").join(docs(spark, sf), "doc_idx")
+    lattice = crypto.Lattice()
+    return lattice.scores(p, DIM).select("query_id", "doc_idx", F.round("score", 6).alias("score"), F.lit(lattice.degree // 2).alias("slots"), F.lit(lattice.message_bytes).alias("request_bytes"), F.lit(lattice.answer_bytes).alias("response_bytes"))
+
+
+@query("SELECT event_id, round_even(value, 0)::BIGINT AS n FROM events")
+def rounded_integers(spark, sf):
+    off = F.rint("value") + 0.2 * F.sin("event_id")  # what an approximate product may leave
+    return read(spark, sf, "events").select("event_id", crypto.rounded_integers(off).alias("n"))
 
 
 # --- pipelines and streams ---------------------------------------------------
