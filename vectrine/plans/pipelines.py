@@ -28,11 +28,10 @@ def offline(docs: DataFrame, anchors: DataFrame, assignment: DataFrame, s: Setti
     what an earlier one left behind.
     """
     scratch = Scratch(docs.sparkSession)
-    centers = scratch.cut(clustering.centroids(docs.join(assignment, "doc_idx").select("cluster_id", "v"), s.dim))
+    centers = scratch.cut(clustering.centroids(docs.join(assignment, "doc_idx").select("cluster_id", "v"), s.dim).coalesce(1))
     radii = clustering.profile(clustering.member_angles(docs, assignment, centers), s.eval_k, s.fixed_k)
-    support = clustering.top_c_support(docs, centers, s.top_c).select("doc_idx", "cluster_id")
-    routed = scratch.cut(routing.route_top_c(routing.center_angles(anchors, centers), s.top_c))
-    near = knn.filtered_knn(docs, anchors.join(routed.select("query_id", "cluster_id"), "query_id"), support, s.fixed_k)
+    routed = scratch.cut(routing.center_angles(anchors, centers, s.top_c))
+    near = scratch.cut(knn.supported_knn(docs, centers, s.top_c, anchors.join(routed.select("query_id", "cluster_id"), "query_id"), s.fixed_k, s.dim))
     truth = knn.exact_knn(docs, F.col("doc_idx"), F.col("v"), anchors, F.col("query_id"), F.col("qv"), s.eval_k, s.dim)
     ideal = clustering.covered_r_max(routed, near, truth, s.eval_k)
     r_max = clustering.r_max_surrogate(routed, ideal, centers, s.gamma)
@@ -50,7 +49,7 @@ def online(docs: DataFrame, queries: DataFrame, state: Offline, s: Settings, noi
     """
     scratch = Scratch(docs.sparkSession)
     gated = scratch.cut(routing.gate(queries, state.clusters, s.alpha, s.epsilon, s.dim))
-    routed = routing.route_top_c(routing.center_angles(queries, state.clusters), s.top_c)
+    routed = routing.center_angles(queries, state.clusters, s.top_c)
     bound = routed.join(state.clusters.select("cluster_id", "r_max"), "cluster_id").groupBy("query_id").agg(F.max("r_max").alias("r_max"), F.sort_array(F.collect_list("cluster_id")).alias("routed"))
     dense = gated.filter("track = 'dense_rdp'").select("query_id")
     asked = queries.join(bound, "query_id").join(dense, "query_id", "left_semi")
@@ -63,9 +62,9 @@ def online(docs: DataFrame, queries: DataFrame, state: Offline, s: Settings, noi
     inclusion = metrics.exact_recall(got, truth, s.eval_k).select("query_id", F.col("recall").alias("inclusion_recall"))
     load = metrics.response_bytes(got.join(docs.select("doc_idx", "doc_id", "text"), "doc_idx"), s.dim)
     return (
-        gated.join(bound.select("query_id", "routed"), "query_id").join(sent.select("query_id", "radius"), "query_id", "left")
+        gated.join(bound.select("query_id", "routed", F.col("r_max").alias("bound")), "query_id").join(sent.select("query_id", "radius"), "query_id", "left")
         .join(recall, "query_id", "left").join(inclusion, "query_id", "left").join(load, "query_id", "left")
-        .select("query_id", "cluster_id", "track", "r_bar", "r_max", F.array_join(F.transform("routed", lambda x: x.cast("string")), ",").alias("routed"), "radius",
+        .select("query_id", "cluster_id", "track", "r_bar", "r_max", "bound", F.array_join(F.transform("routed", lambda x: x.cast("string")), ",").alias("routed"), "radius",
                 F.when(F.col("track") == "dense_rdp", F.col("exact_recall")).alias("exact_recall"), F.when(F.col("track") == "dense_rdp", F.col("inclusion_recall")).alias("inclusion_recall"),
                 F.lit(4 * s.dim).alias("request_bytes"), "response_bytes")
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vectrine.functions.vectors import dot, fixed_point, l2, norm, normalize, quantize_byte, theta
 from vectrine.operators import clustering as cl
-from vectrine.operators import crypto, knn, metrics, preparation, privacy, routing, sampling
+from vectrine.operators import comparison, crypto, knn, metrics, preparation, privacy, routing, sampling
 from vectrine.operators import text as tx
 from vectrine.plans import pipelines
 from vectrine.plans.config import SMALL
@@ -659,12 +659,6 @@ def difficulty_turns(spark, sf):
     return sampling.interleave(_scored(spark, sf), "score", "doc_id")
 
 
-@query()
-def stratified_anchors(spark, sf):
-    a = cl.member_angles(docs(spark, sf), parts(spark, sf), centers(spark, sf))
-    return sampling.stratified_pick(a, "cluster_id", "doc_idx", "theta", 18, 3)
-
-
 # --- offsets and ranges ------------------------------------------------------
 
 
@@ -1023,14 +1017,38 @@ def _online(spark, sf, noise):
     return pipelines.online(full, asked(spark, sf), state, SMALL, noise)
 
 
-@query()
+_ONLINE = _SURROGATE + """
+, rb AS (SELECT sqrt(2 / (2 * 175000.0::DOUBLE)) * 8 AS r_bar),
+gt AS (SELECT query_id, a.cluster_id, r_max, r_bar, CASE WHEN r_max >= r_bar THEN 'dense_rdp' ELSE 'out_of_scope' END AS track FROM a JOIN sur USING (cluster_id), rb WHERE a.rank = 1),
+ro AS (SELECT query_id, string_agg(cluster_id::VARCHAR, ',' ORDER BY cluster_id) AS routed, max(r_max) AS bound FROM a JOIN sur USING (cluster_id) WHERE rank <= 7 GROUP BY query_id),
+lo AS (SELECT query_id, sum(strlen(t.doc_idx::VARCHAR) + strlen(coalesce(w.text, '')) + 8 + 256)::BIGINT AS response_bytes FROM t LEFT JOIN documents w ON w.doc_id = t.doc_idx WHERE rank <= 50 GROUP BY query_id)
+"""
+
+
+@query(_ONLINE + """SELECT query_id, cluster_id, track, r_bar, r_max, routed, CASE WHEN track = 'dense_rdp' THEN 0::DOUBLE END AS radius, CASE WHEN track = 'dense_rdp' THEN 1::DOUBLE END AS exact_recall,
+ CASE WHEN track = 'dense_rdp' THEN 1::DOUBLE END AS inclusion_recall, 256 AS request_bytes, CASE WHEN track = 'dense_rdp' THEN response_bytes END AS response_bytes FROM gt JOIN ro USING (query_id) JOIN lo USING (query_id)""")
 def online_noise_free(spark, sf):
-    return _online(spark, sf, "none")
+    return _online(spark, sf, "none").drop("bound")
 
 
-@query()
+@query(_ONLINE + "SELECT query_id, cluster_id, track, routed, true AS radius_in_bounds, true AS recalls_in_order FROM gt JOIN ro USING (query_id)")
 def online_private(spark, sf):
-    return _online(spark, sf, "rdp")
+    """What is certain of a noisy run: the gate, the routing, a radius between the mean radius and the largest r_max, and an answer within the candidates."""
+    o = _online(spark, sf, "rdp")
+    dense = F.col("track") == "dense_rdp"
+    inside = F.col("radius").between(F.col("r_bar") - 1e-9, F.col("bound") + 1e-9)
+    order = F.col("exact_recall").between(0, F.col("inclusion_recall") + 1e-9) & (F.col("inclusion_recall") <= 1)
+    return o.select("query_id", "cluster_id", "track", "routed", F.coalesce(F.when(dense, inside), F.col("radius").isNull()).alias("radius_in_bounds"), F.coalesce(F.when(dense, order), F.lit(True)).alias("recalls_in_order"))
+
+
+@query(_ONLINE + """, zz AS (SELECT track = 'dense_rdp' AS dense, gt.r_max, r_bar, bound, response_bytes, 256 AS request_bytes FROM gt JOIN ro USING (query_id) JOIN lo USING (query_id))
+SELECT count(*) AS num_queries, count(*) FILTER (WHERE dense) AS num_dense, count(*) FILTER (WHERE NOT dense) AS num_out_of_scope, round(avg(CASE WHEN dense THEN 1::DOUBLE END), 9) AS exact_recall_avg, round(avg(r_max), 9) AS r_max_avg, round(max(r_max), 9) AS r_max_max,
+ round(avg(r_max - r_bar), 9) AS margin_avg, round(avg(bound), 9) AS routed_r_max_avg, round(sum(CASE WHEN dense THEN response_bytes END) / 1048576.0, 6) AS response_mb_sum_dense, round(avg(request_bytes / 1048576.0), 9) AS request_mb_avg FROM zz""")
+def online_totals(spark, sf):
+    """Some figures of the online summary of a run without noise."""
+    o = _online(spark, sf, "none")
+    q = o.select("query_id", "track", "exact_recall", "inclusion_recall", "r_max", (F.col("r_max") - F.col("r_bar")).alias("margin"), F.col("bound").alias("routed_r_max"), metrics.mib(F.col("request_bytes")).alias("request_mb"), metrics.mib(F.col("response_bytes")).alias("response_mb"))
+    return comparison.online_summary(q).select("num_queries", "num_dense", "num_out_of_scope", "exact_recall_avg", "r_max_avg", "r_max_max", "margin_avg", "routed_r_max_avg", F.round("response_mb_sum_dense", 6).alias("response_mb_sum_dense"), "request_mb_avg")
 
 
 def _events(spark, sf):
@@ -1040,21 +1058,56 @@ def _events(spark, sf):
     return s.withColumn("ts", F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp"))
 
 
-def _run_stream(df: DataFrame, name: str) -> DataFrame:
-    """Run a stream over what is there, and give its result."""
-    q = df.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+def _run_stream(df: DataFrame) -> DataFrame:
+    """Run a stream over what is there, into a table of the shared folder, and give its rows."""
+    root = Scratch(df.sparkSession).root
+    return stream.run_to_table(df, f"{root}/rows", f"{root}/checkpoint")
 
 
-@query("SELECT time_bucket(INTERVAL 6 HOURS, ts) AS start, time_bucket(INTERVAL 6 HOURS, ts) + INTERVAL 6 HOURS AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
+@query("WITH w AS (SELECT time_bucket(INTERVAL 6 HOURS, ts) AS start, time_bucket(INTERVAL 6 HOURS, ts) + INTERVAL 6 HOURS AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM events GROUP BY ALL) SELECT * FROM w WHERE \"end\" <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
 def stream_windows(spark, sf):
-    s = stream.stream_metrics(_events(spark, sf), "6 hours", "1 day")
-    out = _run_stream(s, "vectrine_stream_windows")
-    utc = lambda c: F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(c).cast("timestamp_ntz")).alias(c)
-    return out.select(utc("start"), utc("end"), "event_type", "n", F.round("total", 4).alias("total"), F.round("mean", 6).alias("mean"))
+    """Windows that the watermark has closed."""
+    out = _run_stream(stream.stream_metrics(_events(spark, sf), "6 hours", "1 day"))
+    return out.select(_utc("start"), _utc("end"), "event_type", "n", F.round("total", 4).alias("total"), F.round("mean", 6).alias("mean"))
+
+
+def _utc(c: str):
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(c).cast("timestamp_ntz")).alias(c)
+
+
+@query("WITH s AS (SELECT unnest([time_bucket(INTERVAL 6 HOURS, ts), time_bucket(INTERVAL 6 HOURS, ts) - INTERVAL 3 HOURS, time_bucket(INTERVAL 6 HOURS, ts) + INTERVAL 3 HOURS]) AS start, ts, event_type, value FROM events), w AS (SELECT start, start + INTERVAL 6 HOURS AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM s WHERE ts >= start AND ts < start + INTERVAL 6 HOURS GROUP BY ALL) SELECT * FROM w WHERE \"end\" <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
+def stream_sliding(spark, sf):
+    out = _run_stream(stream.stream_metrics(_events(spark, sf), "6 hours", "1 day", "3 hours"))
+    return out.select(_utc("start"), _utc("end"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS x FROM events), s AS (SELECT user_id, ts, sum(x) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOURS AS \"end\", count(*) AS n FROM s GROUP BY user_id, s")
 def user_sessions(spark, sf):
     return stream.stream_sessions(read(spark, sf, "events"), "2 hours", "1 day")
+
+
+@query(SQL["user_sessions"] + " HAVING max(ts) + INTERVAL 2 HOURS <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
+def stream_sessions(spark, sf):
+    """Sessions that the watermark has closed."""
+    out = _run_stream(stream.stream_sessions(_events(spark, sf), "2 hours", "1 day"))
+    return out.select("user_id", _utc("start"), _utc("end"), "n")
+
+
+def _stream_queries(spark, sf):
+    schema = read(spark, sf, "embeddings").schema
+    e = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf)
+    return e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+
+
+@query(_SURROGATE + "SELECT query_id, a.cluster_id, theta AS center_theta, r_max, CASE WHEN r_max >= 0.02 THEN 'dense_rdp' ELSE 'out_of_scope' END AS track FROM a JOIN sur USING (cluster_id) WHERE a.rank = 1")
+def stream_gate(spark, sf):
+    clusters = Scratch(spark).cut(r_max_surrogate(spark, sf).select("cluster_id", "r_max").join(centers(spark, sf), "cluster_id"))
+    return _run_stream(stream.stream_gate(_stream_queries(spark, sf), clusters, 0.02))
+
+
+@query(SQL["knn_top10"])
+def stream_retrieval(spark, sf):
+    root = Scratch(spark).root
+    search = lambda q: knn.exact_knn(docs(spark, sf), F.col("doc_idx"), F.col("v"), q, F.col("query_id"), F.col("qv"), 10, DIM)
+    stream.stream_retrieval(_stream_queries(spark, sf), search, f"{root}/rows", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/rows").select("query_id", "rank", "doc_idx", "theta")
