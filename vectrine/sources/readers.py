@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vectrine.functions.arrow_vectors import list_column
+from vectrine.operators.sampling import canonical_query_id
 from vectrine.operators.text import clean_text
 
 # The names under which ids and texts may come, in order.
@@ -125,20 +126,20 @@ def read_offsets(spark: SparkSession, path: str, prefix_end: int = 0, expected:
 
 
 def read_rankings(spark: SparkSession, path: str, kind: str, ids: DataFrame | None = None) -> DataFrame:
-    """(query_id, rank, doc_id) of an external ranking: 'jsonl' (a list of ids or indices a query), 'tsv' (query, document[, rank]), or 'npy' (one row a query, of indices).
+    """(query_id, rank, doc_id) of an external ranking: 'jsonl' (a list of ids or indices a query), 'json' (such lists as the rows of one document), 'tsv' (query, document[, rank]), or 'npy' (one row a query, of indices).
 
     Indices are turned to ids by ``ids`` (doc_idx, doc_id); a missing rank is
     the line's place; a repeated document keeps its first rank.
     """
-    if kind == "jsonl":
-        df = spark.read.json(path)
+    if kind in ("jsonl", "json"):
+        df = spark.read.json(path) if kind == "jsonl" else spark.read.option("multiLine", True).json(path).select(F.explode("rows").alias("r")).select("r.*")
         items = next(c for c in ("doc_ids", "ranked_doc_ids", "doc_indices") if c in df.columns)
         r = df.select(first_present(df, ("query_id", "query_index")).alias("query_id"), F.posexplode(F.col(items).cast("array<string>")).alias("rank", "doc_id")).withColumn("rank", F.col("rank") + 1)
         by_index = items == "doc_indices"
     elif kind == "tsv":
         f = F.split("value", "\t")
         r = lines(spark, path).select(f[0].alias("query_id"), F.get(f, F.lit(1)).alias("doc_id"), F.get(f, F.lit(2)).try_cast("int").alias("given"), "line_no").filter("query_id <> 'query_id' and doc_id is not null")
-        w = Window.partitionBy("query_id").orderBy(F.coalesce("given", "line_no"))
+        w = Window.partitionBy("query_id").orderBy(F.coalesce("given", "line_no"), "line_no")
         r, by_index = r.withColumn("rank", F.row_number().over(w)), False
     elif kind == "npy":
         r = read_matrices(spark, path).select(F.col("row").cast("string").alias("query_id"), F.posexplode("v").alias("rank", "d")).select("query_id", F.col("rank") + 1, F.col("d").cast("long").cast("string").alias("doc_id")).toDF("query_id", "rank", "doc_id")
@@ -180,6 +181,80 @@ def synthetic_ids(docs: DataFrame, prefix: str) -> DataFrame:
     return docs.withColumns({"doc_id": d, "text": F.concat(F.lit("[synthetic] "), d)})
 
 
+def coerce_sequence(value: Column) -> Column:
+    """The items of a string, between commas or blanks."""
+    return F.filter(F.split(F.trim(value), r"[,\s]+"), lambda x: x != "")
+
+
+def allowed_only(items: Column, allowed: list) -> Column:
+    """The first occurrences of the items that are allowed, in their order."""
+    return F.array_distinct(F.filter(items, lambda x: F.array_contains(F.array(*map(F.lit, allowed)), x)))
+
+
+def read_offset_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(offset): of a JSON document with ``offsets`` and their ``count``; another number is an error."""
+    m = spark.read.option("multiLine", True).json(path).select(F.explode("offsets").alias("offset"), F.col("count").alias("_n")).select(F.col("offset").cast("long").alias("offset"), "_n").distinct()
+    found, said = m.agg(F.count(F.lit(1)), F.max("_n")).first()
+    if found != said:
+        raise ValueError(f"{found} offsets, and {said} were expected")
+    return m.select("offset")
+
+
+def read_calibration_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id, text): JSON lines, those that can't be parsed or lack an id or a text left out; of rows with one canonical id the first wins."""
+    df = spark.read.schema("query_id string, source_query_id string, split_role string, text string, bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad").json(path)
+    rows = df.withColumn("line_no", F.monotonically_increasing_id()).filter("bad is null").select(canonical_query_id(F.col("query_id"), F.col("source_query_id")).alias("query_id"), clean_text(F.col("text")).alias("text"), "split_role", "line_no")
+    rows = rows.filter("query_id <> '' and text <> '' and (split_role is null or lower(trim(split_role)) = 'calibration')")
+    return rows.groupBy("query_id").agg(F.min_by("text", "line_no").alias("text"))
+
+
+def first_aliases(df: DataFrame, canonical: str, *aliases: str) -> DataFrame:
+    """(alias, canonical): every spelling of an id with its canonical one; of several the first in the order of the columns, then the smallest, wins."""
+    rows = df.select(F.col(canonical).cast("string").alias("canonical"), F.posexplode(F.array(*(F.trim(F.col(a).cast("string")) for a in aliases))).alias("place", "alias")).filter("alias <> '' and canonical is not null")
+    return rows.groupBy("alias").agg(F.min(F.struct("place", "canonical")).alias("x")).select("alias", F.col("x.canonical").alias("canonical"))
+
+
+def load_workset(docs: DataFrame, ids: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """docs(doc_idx, v) with ids(doc_idx, doc_id) and texts(doc_idx, text); tables of other lengths, or numbers that don't match, are an error."""
+    n, m = docs.count(), ids.count()
+    if n != m or (texts is not None and texts.count() != n):
+        raise ValueError(f"{n} vectors, and {m} ids")
+    out = docs.join(ids, "doc_idx")
+    out = out if texts is None else out.join(texts, "doc_idx")
+    if out.count() != n:
+        raise ValueError("vectors, ids and texts are numbered differently")
+    return out
+
+
+def _listed(spark: SparkSession, pattern: str) -> list[str]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return sorted(f.getPath().toString() for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or [])
+
+
+def resolve_variant(spark: SparkSession, root: str, stem: str, ext: str, required: bool = True) -> str | None:
+    """``root/stem.ext``, else the one path ``root/stem*.ext``; several are an error, and none is if it is required."""
+    found = _listed(spark, f"{root}/{stem}{ext}") or _listed(spark, f"{root}/{stem}*{ext}")
+    if len(found) > 1 or (required and not found):
+        raise ValueError(f"{root}/{stem}*{ext} names {len(found)} paths")
+    return found[0] if found else None
+
+
+def missing_paths(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the paths that don't exist."""
+    return [p for p in paths if not _listed(spark, p)]
+
+
+def ready_worksets(spark: SparkSession, root: str, needed: tuple[str, ...], wanted: list[str] | None = None) -> list[str]:
+    """Folders below ``root`` that have all needed files; a wanted one that hasn't is an error."""
+    names = [p.rpartition("/")[2] for p in _listed(spark, f"{root}/*")]
+    ready = [n for n in names if not missing_paths(spark, [f"{root}/{n}/{f}" for f in needed])]
+    if wanted is None:
+        return ready
+    if lacking := [n for n in wanted if n not in ready]:
+        raise ValueError(f"{lacking} aren't ready")
+    return list(wanted)
+
+
 def resolve(spark: SparkSession, pattern: str) -> str:
     """The one path that a pattern names; none or several are an error."""
     jvm = spark._jvm
