@@ -83,8 +83,10 @@ def balanced_assignment(cost: DataFrame, capacity: int) -> DataFrame:
     pref = scratch.cut(pref.join(order, "doc_idx").select("doc_idx", "cluster_id", "pref", F.round("margin", 9).alias("margin"), "best"))
     state = pref.filter("pref = 1")
     w = Window.partitionBy("cluster_id").orderBy(F.desc("margin"), "best", "doc_idx")
+    ranked = None
     while True:
-        ranked = scratch.cut(state.withColumn("r", F.row_number().over(w)))
+        before, ranked = ranked, scratch.cut(state.withColumn("r", F.row_number().over(w)))
+        scratch.free(before)
         refused = ranked.filter(F.col("r") > capacity).select("doc_idx", (F.col("pref") + 1).alias("pref"))
         if refused.isEmpty():
             return ranked.select("doc_idx", "cluster_id")
@@ -124,7 +126,9 @@ def capacity_repair(cost: DataFrame, labels: DataFrame, capacity: int) -> DataFr
         if taken.isEmpty():
             even = room.filter("over <> 0").isEmpty()
             return now.select("doc_idx", "cluster_id") if even else balanced_assignment(cost, capacity)
-        now = scratch.cut(now.join(taken, "doc_idx", "left").select("doc_idx", F.coalesce("dst", "cluster_id").alias("cluster_id"), (F.col("moved") | F.col("dst").isNotNull()).alias("moved")))
+        before, now = now, scratch.cut(now.join(taken, "doc_idx", "left").select("doc_idx", F.coalesce("dst", "cluster_id").alias("cluster_id"), (F.col("moved") | F.col("dst").isNotNull()).alias("moved")))
+        scratch.free(before)
+        scratch.free(taken)
 
 
 def _nearest(centers: np.ndarray, sums: bool):

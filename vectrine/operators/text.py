@@ -211,9 +211,14 @@ def keep_first(ids: DataFrame, pairs: DataFrame) -> DataFrame:
         goes = scratch.cut(open_pairs.join(stays.withColumnRenamed("ord", "a"), "a", "left_semi").select(F.col("b").alias("ord")).distinct())
         if goes.isEmpty():
             break
-        gone = goes if gone is None else scratch.cut(gone.unionByName(goes))
+        if gone is None:
+            gone = goes
+        else:
+            before, gone = gone, scratch.cut(gone.unionByName(goes))
+            scratch.free(before)
         left = open_pairs.join(goes.withColumnRenamed("ord", "a"), "a", "left_anti").join(goes.withColumnRenamed("ord", "b"), "b", "left_anti")
-        open_pairs = scratch.cut(left)
+        before, open_pairs = open_pairs, scratch.cut(left)
+        scratch.free(before)
     return ids.select("ord") if gone is None else ids.select("ord").join(gone, "ord", "left_anti")
 
 

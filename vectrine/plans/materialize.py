@@ -94,8 +94,8 @@ class Scratch:
         self.paths[id(out)] = path
         return out
 
-    def free(self, df: DataFrame) -> None:
-        """Delete a table of :meth:`cut` that no later stage reads."""
+    def free(self, df: DataFrame | None) -> None:
+        """Delete a table of :meth:`cut` that no later stage reads: the state of a round, once the next one is written."""
         path = self.paths.pop(id(df), None)
         if path:
             _delete(self.spark, path)
