@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from vectrine.operators import clustering as cl
 
@@ -84,8 +83,58 @@ def test_violations_of_a_partition(spark):
     assert got == {("unassigned", None, "2"), ("unassigned", None, "3"), ("assigned_twice", 0, "1"), ("unknown_doc", 1, "9"), ("empty_cluster", 2, "0"), ("bad_radius", 1, None), ("radii_out_of_order", 1, "0.2")}
 
 
-def test_swaps_lower_the_cost(spark):
-    cost = np.array([[5.0, 1.0], [1.0, 5.0], [1.0, 4.0], [3.0, 1.0]])
-    a = spark.createDataFrame([(0, 0), (1, 1), (2, 0), (3, 1)], "doc_idx long, cluster_id int")
-    got = [(r.doc_a, r.doc_b, r.gain) for r in cl.swap_candidates(frame(spark, cost), a).filter(F.col("gain") > 0).orderBy("i").collect()]
-    assert got[0] == (0, 1, 8.0)
+def brute_j(x, labels, source, simhash, core):
+    names = sorted(set(labels))
+    rows, centers = [], []
+    for c in names:
+        at = [i for i, y in enumerate(labels) if y == c]
+        center = x[at].mean(0)
+        center /= np.linalg.norm(center)
+        d = np.sort(np.round(np.linalg.norm(x[at] - center, axis=1), 9))
+        near, far, n = np.percentile(d[:core], 95), np.percentile(d, 95), len(at)
+        count = lambda v: np.unique([v[i] for i in at], return_counts=True)[1]
+        k = count([h >> 48 for h in simhash])
+        rows.append([near, max(far - near, 0), count(source).max() / n, (k * (k - 1) / 2).sum() / (n * (n - 1) / 2)])
+        centers.append(center)
+    m, s = np.mean(rows, 0), np.mean([np.linalg.norm(a - b) for i, a in enumerate(centers) for b in centers[i + 1 :]])
+    return (s / (1 + s) + 1 / (1 + m[0]) + 1 / (1 + m[1]) + 1 - m[2] + 1 - m[3]) / 5, dict(zip(names, centers))
+
+
+def test_swaps_are_the_first_that_gain(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((18, 6))
+    labels, source, simhash = [i % 3 for i in range(18)], [f"s{i % 4}" for i in range(18)], [int(i % 5) << 48 for i in range(18)]
+    d = spark.createDataFrame([(i, v.tolist(), source[i], simhash[i]) for i, v in enumerate(x)], "doc_idx long, v array<double>, source string, simhash long")
+    got, history = cl.refine_by_swaps(d, spark.createDataFrame(list(enumerate(labels)), "doc_idx long, cluster_id long"), 3, 2, boundary=3)
+    want = list(labels)
+    j, centers = brute_j(x, want, source, simhash, 3)
+    steps = [j]
+    for _ in range(2):
+        edge = {c: sorted((i for i, y in enumerate(want) if y == c), key=lambda i: (-round(float(np.linalg.norm(x[i] - centers[c])), 9), i))[:3] for c in centers}
+        for a, b, i, k in ((a, b, i, k) for a in range(3) for b in range(a + 1, 3) for i in edge[a] for k in edge[b]):
+            trial = list(want)
+            trial[i], trial[k] = b, a
+            new, c = brute_j(x, trial, source, simhash, 3)
+            if new > steps[-1] + 1e-9:
+                want, centers = trial, c
+                steps.append(new)
+                break
+    assert {r.doc_idx: r.cluster_id for r in got.collect()} == dict(enumerate(want)) and history == pytest.approx(steps) and len(steps) > 1
+
+
+def test_partitions_need_clusters_times_capacity(spark):
+    cost = frame(spark, RNG.random((7, 2)))
+    with pytest.raises(ValueError):
+        cl.balanced_assignment(cost, 3)
+    with pytest.raises(ValueError):
+        cl.capacity_repair(cost, spark.createDataFrame([(i, 0) for i in range(7)], "doc_idx long, cluster_id int"), 4)
+
+
+def test_seeds_are_spread(spark):
+    x = np.concatenate([np.eye(6)[i] + 0.01 * RNG.standard_normal((30, 6)) for i in range(6)])
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_idx long, v array<double>")
+    s = cl.seed_centers(d, 6, 4, 6)
+    assert s.shape == (6, 6) and len(set(s.argmax(1))) == 6
+    assert len(cl.seed_centers(d.limit(2), 5, 4, 6)) == 2
+    got = [r.cluster_id for r in cl.spherical_kmeans(d, 6, 4, 6).orderBy("doc_idx").collect()]
+    assert all(len(set(got[i * 30 : i * 30 + 30])) == 1 for i in range(6)) and len(set(got)) == 6

@@ -93,3 +93,29 @@ def test_terciles_of_few_rows(spark):
 def test_fingerprint_changes_with_order(spark):
     f = lambda rows: sa.fingerprint(spark.createDataFrame(rows, "k string, o long"), F.col("k"), F.col("o")).first().sha256
     assert f([("a", 0), ("b", 1)]) == f([("b", 1), ("a", 0)]) != f([("a", 1), ("b", 0)])
+
+
+def test_places_and_quantiles_without_a_global_sort(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.round(rng.standard_normal(500), 3), np.full(200, 0.25), [1e9, -1e9]])
+    d = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double").repartition(5)
+    s = np.sort(x)
+    ranks = [0, 1, 250, 400, 500, 700, len(x) - 1]
+    assert sa.at_ranks(d, "v", ranks, most=20, bins=16) == [s[r] for r in ranks]
+    assert sa.quantiles(d, "v", (0.0, 1 / 3, 0.5, 0.95, 1.0)) == pytest.approx(list(np.quantile(x, (0.0, 1 / 3, 0.5, 0.95, 1.0))))
+    assert sa.quantiles(d.filter("v is null"), "v", (0.5,)) == [None]
+
+
+def test_global_index(spark):
+    rows = [(i * 37 % 101, i % 3) for i in range(101)]
+    d = spark.createDataFrame(rows, "a long, b int").repartition(6)
+    got = [(r.b, r.a) for r in sa.global_index(d, F.desc("b"), "a").orderBy("index").collect()]
+    assert got == sorted(((b, a) for a, b in rows), key=lambda x: (-x[0], x[1]))
+    assert sa.global_index(d.filter("a < 0"), "a").count() == 0
+
+
+@pytest.mark.parametrize("core,size", [([0, 1, 2, 9], 7), ([5, 6, 7], 3), ([], 4), ([100, 200], 50), ([3], 1)])
+def test_prefix_for_size(spark, core, size):
+    c = spark.createDataFrame([(o,) for o in core + core[:1]], "offset long")
+    want = next(p for p in range(1000) if len(set(range(p)) | set(core)) >= size)
+    assert sa.prefix_for_size(c, size).first()[0] == want
