@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vectrine.functions.vectors import normalize
 from vectrine.llm.bit_codes import BitCodeConfig, most_similar, routed_similar
 from vectrine.llm.capping import cap_per_contributor, contributor_key
 from vectrine.llm.near_duplicates import NearDuplicateConfig, near_duplicates
@@ -15,6 +16,9 @@ from vectrine.llm.split_overlap import ROLL_BASE, ROLL_PRIME, split_overlaps
 from vectrine.llm.splitting import split_oversized
 from vectrine.llm.tokenizer import TokenizerFile, encode_corpus, token_counts
 from vectrine.llm.varied_subset import SubsetConfig, varied_subset
+from vectrine.operators.clustering import centroids
+from vectrine.operators.knn import against_centers
+from vectrine.plans.materialize import Scratch
 
 #: What TESTDATA.md states of problem 4.
 PASSAGES = NearDuplicateConfig(width=3, least_words=8, similarity=0.6)
@@ -41,6 +45,13 @@ def p2_subset(spark: SparkSession, sf: str) -> DataFrame:
     return varied_subset(_read(spark, sf, "workset_docs"), F.col("doc_idx"), F.col("embedding"), share=0.05, cfg=SubsetConfig(stray=0.45)).withColumnRenamed("id", "doc_idx")
 
 
+def p2_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """How many were chosen, and whether they are different and usable."""
+    chosen = p2_subset(spark, sf)
+    docs = _read(spark, sf, "workset_docs").filter(F.size("embedding") == 64).select("doc_idx").distinct().withColumn("known", F.lit(True))
+    return chosen.join(docs, "doc_idx", "left").agg(F.count(F.lit(1)).alias("chosen"), (F.count_distinct("doc_idx") == F.count("known")).alias("different_and_usable"))
+
+
 def _groups(spark: SparkSession, sf: str):
     return similarity_groups(_read(spark, sf, "workset_docs"), F.col("doc_idx"), F.col("embedding"))
 
@@ -58,6 +69,25 @@ def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
     return size.join(top, "group_idx").select("group_idx", "size", "r_max", "by_graph", F.col("t.id").alias("typical"))
 
 
+def p3_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the groups are what their definition says: large enough, each member near its own mean direction and far from the others, each other vector far from all."""
+    scratch = Scratch(spark)
+    groups = scratch.cut(p3_found(spark, sf))
+    v = _read(spark, sf, "workset_docs").dropDuplicates(["doc_idx"]).select("doc_idx", F.col("embedding").alias("v")).filter("size(v) = 64")
+    unit = v.join(groups, "doc_idx").select(F.col("group_idx").alias("cluster_id"), normalize(F.col("v")).alias("v"))
+    means = scratch.cut(centroids(unit, 64))
+    near = against_centers(v, F.col("doc_idx"), F.col("v"), means, 2)
+    per = near.groupBy(F.col("id").alias("doc_idx")).agg(F.max(F.when(F.col("rank") == 1, F.col("cluster_id"))).alias("best"), F.cos(F.max(F.when(F.col("rank") == 1, F.col("value")))).alias("first"), F.coalesce(F.cos(F.max(F.when(F.col("rank") == 2, F.col("value")))), F.lit(-1.0)).alias("second"))
+    all_rows = per.join(groups, "doc_idx", "left")
+    member = F.col("group_idx").isNotNull()
+    ok = all_rows.agg(
+        F.bool_and(~member | ((F.col("best") == F.col("group_idx")) & (F.col("first") >= 0.48 - 1e-6))).alias("members_near"),
+        F.bool_and(~member | (F.col("second") < 0.45 + 1e-6)).alias("others_far"),
+        (F.count_if(~member & (F.col("first") >= 0.45 + 1e-6)) <= 0.02 * F.count_if(member)).alias("strays_far"),
+    )
+    return ok.crossJoin(means.agg((F.min("size") >= 10).alias("large")))  # one row each
+
+
 def _passages(spark: SparkSession, sf: str):
     return near_duplicates(_read(spark, sf, "retrieval_units"), F.col("unit_id"), F.col("text"), PASSAGES)
 
@@ -136,6 +166,17 @@ def p7_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.join(names, "id").select("doc_id", "row_no", "piece_no", "start", "end", "piece")
 
 
+def p7_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each document: whether its pieces keep the limit, cover its texts without a gap, and end where the text does."""
+    raw = _read(spark, sf, "raw_corpus")
+    body = F.trim(F.regexp_replace(F.coalesce(_body(raw), F.lit("")), r"[\s\p{Z}\x0b\x85\x1c-\x1f]+", " "))
+    size = raw.select("row_no", F.length(body).alias("chars"))
+    w = Window.partitionBy("row_no").orderBy("piece_no")
+    p = p7_pieces(spark, sf).join(size, "row_no").withColumn("gap", F.col("start") > F.coalesce(F.lag("end").over(w), F.lit(0)))
+    row = p.groupBy("doc_id", "row_no").agg((F.max(F.length("piece")) <= 2000).alias("within"), (~F.bool_or("gap") & (F.min("start") == 0)).alias("covered"), (F.max("end") == F.first("chars")).alias("to_the_end"))
+    return row.groupBy("doc_id").agg(*(F.bool_and(c).alias(c) for c in ("within", "covered", "to_the_end")))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_corpus(_read(spark, sf, "documents"), F.col("doc_id"), F.col("text"), TokenizerFile("byte_bpe_50k.tiktoken")).withColumnRenamed("id", "doc_id")
 
@@ -149,6 +190,15 @@ def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
     return _containers(spark, sf).select(F.col("container").alias("container_id"), F.col("id").alias("doc_id"), "piece_no", F.col("start").alias("start_token"), F.col("size").alias("n_tokens"))
 
 
+def p9_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether containers keep their capacity, documents are whole, only those beyond the capacity are divided, and hardly any space is unused."""
+    n = token_counts(_read(spark, sf, "documents"), F.col("doc_id"), F.col("text"), TokenizerFile("byte_bpe_50k.tiktoken"))
+    c = Scratch(spark).cut(p9_containers(spark, sf))
+    fits = c.groupBy("container_id").agg(F.sum("n_tokens").alias("used")).agg((F.max("used") <= 2048).alias("fits"), (F.sum("used") >= 0.95 * 2048 * (F.count(F.lit(1)) - 1)).alias("full"))
+    whole = c.groupBy("doc_id").agg(F.sum("n_tokens").alias("placed"), F.count(F.lit(1)).alias("pieces")).join(n.select(F.col("id").alias("doc_id"), "n"), "doc_id", "full")
+    return fits.crossJoin(whole.agg(F.bool_and(F.coalesce(F.col("placed") == F.col("n"), F.lit(False))).alias("whole"), F.bool_and((F.col("pieces") == 1) | (F.col("n") > 2048)).alias("divided_if_needed")))  # one row each
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     d = _read(spark, sf, "documents")
     return repetition(d, F.col("doc_id"), F.col("text"), F.col("lang")).filter("share >= 0.25").select(F.col("id").alias("doc_id"))
@@ -164,7 +214,7 @@ def p10_bands(spark: SparkSession, sf: str) -> DataFrame:
     return repetition(d, F.col("doc_id"), F.col("text"), F.col("lang")).select(F.col("id").alias("doc_id"), "perplexity", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_contributors, p2_subset, p3_found, p3_groups, p4_found, p4_links, p5_found, p5_neighbours, p6_found, p6_records, p6_report, p7_found, p7_pieces, p8_ids, p9_containers, p10_found, p10_scores, p10_bands)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_contributors, p2_subset, p2_checks, p3_found, p3_groups, p3_checks, p4_found, p4_links, p5_found, p5_neighbours, p6_found, p6_records, p6_report, p7_found, p7_pieces, p7_checks, p8_ids, p9_containers, p9_checks, p10_found, p10_scores, p10_bands)}
 
 _WHITE = r"[\s\p{Z}\x{0b}\x{85}\x{1c}-\x{1f}]"
 _TRIM = lambda c: f"regexp_replace({c}, '^{_WHITE}+|{_WHITE}+$', '', 'g')"
@@ -225,6 +275,15 @@ s AS (SELECT doc_id, 1 - count(DISTINCT w) / n AS share FROM w GROUP BY doc_id,
 SQL = {
     "p1_found": _CAPPED + "SELECT unit_id FROM r WHERE rank > 10 AND contributor IS NOT NULL",
     "p1_contributors": _CAPPED + "SELECT contributor, count(*) AS units, count(*) FILTER (WHERE rank <= 10 OR contributor IS NULL) AS kept FROM r GROUP BY contributor",
+    "p2_checks": f"SELECT floor(0.05 * count(*) + 0.5)::BIGINT AS chosen, true AS different_and_usable FROM ({_USABLE.format(id='doc_idx', t='workset_docs', more='')})",
+    "p4_links": _PASSAGES
+    + """, k AS (SELECT unit_id, md5(string_agg(g, '|' ORDER BY g)) AS h FROM s GROUP BY unit_id), c0 AS (SELECT unit_id, min(unit_id) OVER (PARTITION BY h) AS class_id FROM k),
+l AS (SELECT u AS unit_id, count(*) AS n FROM (SELECT a AS u FROM p UNION ALL SELECT b FROM p) GROUP BY u) SELECT unit_id, class_id, coalesce(n, 0) AS links FROM c0 LEFT JOIN l USING (unit_id)""",
+    "p5_neighbours": f"""
+WITH d AS ({_USABLE.format(id='doc_idx', t='workset_docs', more='')})
+SELECT q.doc_idx, row_number() OVER (PARTITION BY q.doc_idx ORDER BY round(list_cosine_similarity(q.v, d.v), 12) DESC, d.doc_idx) AS rank, d.doc_idx AS neighbour_idx, round(list_cosine_similarity(q.v, d.v), 9) AS cosine
+FROM d q, d WHERE q.doc_idx % 100 = 0 AND q.doc_idx <> d.doc_idx QUALIFY rank <= 5""",
+    "p3_checks": "SELECT true AS members_near, true AS others_far, true AS strays_far, true AS large",
     "p4_found": _PASSAGES + "SELECT a AS unit_id_a, b AS unit_id_b FROM p",
     "p5_found": f"""
 WITH d AS ({_USABLE.format(id='doc_idx', t='workset_docs', more='')}),
@@ -239,6 +298,9 @@ QUALIFY row_number() OVER (PARTITION BY query_idx ORDER BY round(list_cosine_sim
     "p7_found": f"""
 SELECT DISTINCT doc_id FROM raw_corpus
 WHERE length({_MEASURED(f"CASE WHEN text IS NULL OR regexp_replace(text, '{_WHITE}+', '', 'g') = '' THEN contents ELSE text END")}) > 2000""",
+    "p7_checks": f"""SELECT DISTINCT doc_id, true AS within, true AS covered, true AS to_the_end FROM raw_corpus
+WHERE {_MEASURED(f"CASE WHEN text IS NULL OR regexp_replace(text, '{_WHITE}+', '', 'g') = '' THEN contents ELSE text END")} <> ''""",
+    "p9_checks": "SELECT true AS fits, true AS full, true AS whole, true AS divided_if_needed",
     "p10_found": _SHARES + "SELECT doc_id FROM s WHERE share >= 0.25",
     "p10_scores": _SHARES + "SELECT doc_id, round(share, 9) AS share FROM t LEFT JOIN s USING (doc_id) WHERE t <> ''",
 }
