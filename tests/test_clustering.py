@@ -43,6 +43,23 @@ def test_balanced_assignment_equals_the_serial_order(spark, ties):
     assert got == serial_margin(cost, 6)
 
 
+def test_places_in_narrow_bins_and_few_choices(spark, monkeypatch):
+    """Bins of few places are refined, and a document whose first choices are full ranks more."""
+    monkeypatch.setattr(cl, "PLACE_BINS", 3)
+    monkeypatch.setattr(cl, "FIRST_CHOICES", 1)
+    cost = np.round(RNG.random((40, 5)), 6)
+    got = {r.doc_idx: r.cluster_id for r in cl.balanced_assignment(frame(spark, cost), 8).collect()}
+    assert got == serial_margin(cost, 8)
+    x, c = RNG.standard_normal((30, 4)), RNG.standard_normal((5, 4))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_idx long, v array<double>")
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "cluster_id long, center array<double>")
+    got = {r.doc_idx: r.cluster_id for r in cl.balanced_partition(d, t, 6).collect()}
+    assert sorted(np.bincount(list(got.values()))) == [6] * 5
+    monkeypatch.setattr(cl, "FIRST_CHOICES", 5)
+    want = serial_margin(np.round(np.linalg.norm(x[:, None] - c[None], axis=2), 9), 6)
+    assert {r.doc_idx: r.cluster_id for r in cl.balanced_partition(d, t, 6).collect()} == want
+
+
 @pytest.mark.parametrize("ties", [False, True])
 def test_capacity_repair_equals_the_heap_order(spark, ties):
     cost = RNG.integers(1, 5, (20, 4)).astype(float) if ties else np.round(RNG.random((20, 4)), 6)

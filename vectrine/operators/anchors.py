@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectrine.operators.routing import center_angles
-from vectrine.operators.sampling import stratified_pick
+from vectrine.operators.sampling import group_index, stratified_pick
 
 #: How anchors may be chosen.
 POLICIES = ("calibration_query_only", "calibration_query_plus_docs", "docs_only")
@@ -26,8 +26,7 @@ def query_anchors(queries: DataFrame, centers: DataFrame, target: int, strata: i
 
 def docs_anchors(angles: DataFrame, target: int) -> DataFrame:
     """(doc_idx, cluster_id): ``target`` members of each cluster at evenly spaced places of the order by angle (doc_idx, cluster_id, theta), all of a smaller one."""
-    w = Window.partitionBy("cluster_id").orderBy("theta", "doc_idx")
-    r = angles.withColumns({"i": F.row_number().over(w) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy("cluster_id"))})
+    r = group_index(angles.select("doc_idx", "cluster_id", "theta"), "cluster_id", "theta", "doc_idx").withColumnRenamed("index", "i")
     take = F.least(F.col("n"), F.lit(max(1, target)))
     # the places are floor(j * (n - 1) / (take - 1)); of the j whose place may be i, the first is enough
     j = F.ceil(F.col("i") * (take - 1) / (F.col("n") - 1))

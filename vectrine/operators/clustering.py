@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from vectrine.functions.arrow_vectors import take, usable
 from vectrine.functions.vectors import dot, l2, mean_vector, norm, normalize, theta
 from vectrine.operators.knn import against_centers
+from vectrine.operators.sampling import at_fraction, global_index, group_index
 from vectrine.plans.config import Settings
 from vectrine.plans.materialize import Scratch
 
@@ -29,17 +30,17 @@ def centroids(members: DataFrame, dim: int) -> DataFrame:
 
 
 def member_angles(docs: DataFrame, assignment: DataFrame, centers: DataFrame) -> DataFrame:
-    """(doc_idx, cluster_id, theta, rank) of each document to its own center."""
-    w = Window.partitionBy("cluster_id").orderBy("theta", "doc_idx")
-    return docs.join(assignment, "doc_idx").join(centers.select("cluster_id", "center"), "cluster_id").select("doc_idx", "cluster_id", theta(F.col("v"), F.col("center")).alias("theta")).withColumn("rank", F.row_number().over(w))
+    """(doc_idx, cluster_id, theta, rank, n) of each document to its own center, and the size of its cluster."""
+    angles = docs.join(assignment, "doc_idx").join(centers.select("cluster_id", "center"), "cluster_id").select("doc_idx", "cluster_id", theta(F.col("v"), F.col("center")).alias("theta"))
+    return group_index(angles, "cluster_id", "theta", "doc_idx").select("doc_idx", "cluster_id", "theta", (F.col("index") + 1).alias("rank"), "n")
 
 
 def profile(angles: DataFrame, eval_k: int, fixed_k: int) -> DataFrame:
     """Radii of each cluster: the eval_k-th and fixed_k-th smallest angle (the last, where there are fewer), smallest, median, mean and largest."""
     at = lambda k: F.max(F.when(F.col("rank") <= k, F.col("theta")))
-    return angles.groupBy("cluster_id").agg(
+    return angles.withColumn("index", F.col("rank") - 1).groupBy("cluster_id").agg(
         F.count(F.lit(1)).alias("size"), at(eval_k).alias("r_k"), at(fixed_k).alias("r_fixed"), F.min("theta").alias("theta_min"),
-        F.percentile("theta", F.lit(0.5)).alias("theta_p50"), F.round(F.avg("theta"), 9).alias("theta_mean"), F.max("theta").alias("theta_max"),
+        at_fraction(F.col("theta"), 0.5, F.col("n")).alias("theta_p50"), F.round(F.avg("theta"), 9).alias("theta_mean"), F.max("theta").alias("theta_max"),
     )
 
 
@@ -65,32 +66,94 @@ def check_capacity(cost: DataFrame, capacity: int) -> None:
     Settings.check_partition(clusters, capacity, docs)
 
 
+def preferences(docs: DataFrame, centers: DataFrame, keep: int | None = None) -> DataFrame:
+    """(doc_idx, pref, cost): the ``keep`` nearest clusters of each document (all, if None), by distance, ties by id, in one row."""
+    near = against_centers(docs, F.col("doc_idx"), F.col("v"), centers, keep, "l2")
+    l = near.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "cluster_id", "value"))).alias("l"))
+    return l.select(F.col("id").alias("doc_idx"), F.transform("l", lambda x: x["cluster_id"]).alias("pref"), F.transform("l", lambda x: x["value"]).alias("cost"))
+
+
+#: Bins of the order in which a cluster's last document is sought.
+PLACE_BINS = 4096
+
+
+def _places(chosen: DataFrame, full: dict[int, int], width: int) -> dict[int, int]:
+    """The place of the so-manieth document, in order, that chose each cluster: chosen(place, cluster_id)."""
+    rows = chosen.filter(F.col("cluster_id").isin(list(full)))
+    count = rows.groupBy("cluster_id", F.floor(F.col("place") / width).alias("bin")).agg(F.count(F.lit(1)).alias("n")).orderBy("cluster_id", "bin").collect()  # PLACE_BINS rows a cluster
+    at, left = {}, dict(full)
+    for r in count:
+        if r["cluster_id"] not in at:
+            if r["n"] >= left[r["cluster_id"]]:
+                at[r["cluster_id"]] = r["bin"]
+            else:
+                left[r["cluster_id"]] -= r["n"]
+    if width == 1:
+        return at
+    inside = F.lit(False)
+    for c, b in at.items():
+        inside = inside | ((F.col("cluster_id") == c) & (F.floor(F.col("place") / width) == b))
+    low = {c: b * width for c, b in at.items()}
+    base = F.element_at(F.create_map(*(F.lit(x) for c, v in low.items() for x in (int(c), int(v)))), F.col("cluster_id"))
+    found = _places(rows.filter(inside).select("cluster_id", (F.col("place") - base).alias("place")), left, max(1, -(-width // PLACE_BINS)))
+    return {c: low[c] + p for c, p in found.items()}
+
+
+def assign_by_preference(prefs: DataFrame, capacity: int) -> DataFrame:
+    """(doc_idx, cluster_id): documents in order of falling margin (second best less best cost) take the nearest cluster with room; null for one whose clusters are all full.
+
+    Each document stands at a place of that order.  A cluster that more choose
+    than it holds is closed behind the place of its last one; whoever stands
+    behind looks further.  The closed places are all that changes, so a round
+    is one count over the documents, and none of them moves.
+    """
+    scratch = Scratch(prefs.sparkSession)
+    margin = F.round(F.coalesce(F.get("cost", F.lit(1)) - F.get("cost", F.lit(0)), F.lit(1.0)), 9)
+    order = prefs.select("doc_idx", "pref", margin.alias("margin"), F.col("cost")[0].alias("best"))
+    rows = scratch.cut(global_index(order, F.desc("margin"), "best", "doc_idx").select("doc_idx", "pref", F.col("index").alias("place")))
+    n = rows.count()
+    closed: dict[int, int] = {}
+    while True:
+        if closed:
+            last = F.create_map(*(F.lit(x) for c, p in closed.items() for x in (int(c), int(p))))  # one entry a cluster
+            open_to = F.filter("pref", lambda c: F.coalesce(F.col("place") <= F.element_at(last, c), F.lit(True)))
+        else:
+            open_to = F.col("pref")
+        chosen = rows.select("doc_idx", "place", F.get(open_to, F.lit(0)).alias("cluster_id"))
+        over = chosen.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > capacity) & F.col("cluster_id").isNotNull()).collect()  # one row a cluster at most
+        if not over:
+            return chosen.select("doc_idx", "cluster_id")
+        closed |= _places(chosen.select("place", "cluster_id"), {r["cluster_id"]: capacity for r in over}, max(1, -(-n // PLACE_BINS)))
+
+
+#: Clusters that a document ranks at first.
+FIRST_CHOICES = 16
+
+
+def balanced_partition(docs: DataFrame, centers: DataFrame, capacity: int) -> DataFrame:
+    """(doc_idx, cluster_id): as ``balanced_assignment``, from vectors: a document ranks its nearest clusters only, and more of them if those are all full."""
+    scratch = Scratch(docs.sparkSession)
+    n, k = docs.count(), centers.count()
+    Settings.check_partition(k, capacity, n)
+    keep = min(k, max(2, FIRST_CHOICES))  # the margin needs two
+    while True:
+        out = scratch.cut(assign_by_preference(scratch.cut(preferences(docs, centers, keep)), capacity))
+        if keep == k or out.filter("cluster_id is null").isEmpty():
+            return out
+        keep = min(k, 4 * keep)
+
+
 def balanced_assignment(cost: DataFrame, capacity: int) -> DataFrame:
     """(doc_idx, cluster_id): documents in order of falling margin (second best less best cost) take the nearest cluster with room.
 
-    Documents that aren't as many as clusters * ``capacity`` are an error.
-    In rounds: each unplaced document proposes to its best cluster that hasn't
-    refused it; each cluster keeps the first ``capacity`` by (margin, best
-    cost, index) of those it holds and the new, and refuses the rest for good.
+    cost(doc_idx, cluster_id, cost) of all documents and clusters.  Documents
+    that aren't as many as clusters * ``capacity`` are an error.
     """
     scratch = Scratch(cost.sparkSession)
     cost = scratch.cut(cost)
     check_capacity(cost, capacity)
-    by_doc = Window.partitionBy("doc_idx").orderBy("cost", "cluster_id")
-    pref = cost.withColumn("pref", F.row_number().over(by_doc))
-    first = lambda r: F.max(F.when(F.col("pref") == r, F.col("cost")))
-    order = pref.groupBy("doc_idx").agg((first(2) - first(1)).alias("margin"), first(1).alias("best")).withColumn("margin", F.coalesce("margin", F.lit(1.0)))
-    pref = scratch.cut(pref.join(order, "doc_idx").select("doc_idx", "cluster_id", "pref", F.round("margin", 9).alias("margin"), "best"))
-    state = pref.filter("pref = 1")
-    w = Window.partitionBy("cluster_id").orderBy(F.desc("margin"), "best", "doc_idx")
-    ranked = None
-    while True:
-        before, ranked = ranked, scratch.cut(state.withColumn("r", F.row_number().over(w)))
-        scratch.free(before)
-        refused = ranked.filter(F.col("r") > capacity).select("doc_idx", (F.col("pref") + 1).alias("pref"))
-        if refused.isEmpty():
-            return ranked.select("doc_idx", "cluster_id")
-        state = ranked.filter(F.col("r") <= capacity).drop("r").unionByName(refused.join(pref, ["doc_idx", "pref"]).select(*pref.columns))
+    l = cost.groupBy("doc_idx").agg(F.sort_array(F.collect_list(F.struct("cost", "cluster_id"))).alias("l"))
+    return assign_by_preference(l.select("doc_idx", F.transform("l", lambda x: x["cluster_id"]).alias("pref"), F.transform("l", lambda x: x["cost"]).alias("cost")), capacity)
 
 
 def capacity_repair(cost: DataFrame, labels: DataFrame, capacity: int) -> DataFrame:
@@ -252,11 +315,10 @@ def quality_metrics(docs: DataFrame, assignment: DataFrame, centers: DataFrame,
 
     docs(doc_idx, v, source, simhash).
     """
-    w = Window.partitionBy("cluster_id").orderBy("d", "doc_idx")
-    m = docs.join(assignment, "doc_idx").join(centers.select("cluster_id", "center"), "cluster_id").withColumn("d", F.round(l2(F.col("v"), F.col("center")), 9)).withColumn("r", F.row_number().over(w))
-    radius = m.groupBy("cluster_id").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.percentile(F.when(F.col("r") <= core, F.col("d")), F.lit(0.95)), 6).alias("core_radius"), F.round(F.percentile("d", F.lit(0.95)), 6).alias("tail_radius")
-    )
+    m = docs.join(assignment, "doc_idx").join(centers.select("cluster_id", "center"), "cluster_id").select("doc_idx", "cluster_id", "source", "simhash", F.round(l2(F.col("v"), F.col("center")), 9).alias("d"))
+    m = Scratch(docs.sparkSession).cut(group_index(m, "cluster_id", "d", "doc_idx"))
+    near = at_fraction(F.col("d"), 0.95, F.least(F.col("n"), F.lit(core)))
+    radius = m.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.round(near, 6).alias("core_radius"), F.round(at_fraction(F.col("d"), 0.95, F.col("n")), 6).alias("tail_radius"))
     top = lambda key: m.groupBy("cluster_id", key.alias("k")).agg(F.count(F.lit(1)).alias("c")).groupBy("cluster_id")
     source = top(F.coalesce(F.col("source"), F.lit(""))).agg(F.max("c").alias("top"))
     dup = top(F.shiftrightunsigned("simhash", 48)).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs"))

@@ -42,6 +42,22 @@ def global_index(df: DataFrame, *order: Column | str) -> DataFrame:
     return local.join(F.broadcast(count), "_part").withColumn("index", F.col("_i") + F.col("_before") - 1).drop("_part", "_i", "_before")
 
 
+def group_index(df: DataFrame, group: str, *order: Column | str) -> DataFrame:
+    """``index`` (from 0) of each row within its group, and the group's size ``n``: by ranges of the whole order, so a group may span partitions."""
+    r = global_index(df, group, *order)
+    first = r.groupBy(group).agg(F.min("index").alias("_first"), F.count(F.lit(1)).alias("n"))
+    return r.join(first, group).withColumn("index", F.col("index") - F.col("_first")).drop("_first")
+
+
+def at_fraction(value: Column, fraction: float, size: Column) -> Column:
+    """Aggregate over the rows of ``group_index``: the quantile of the ``size`` first values, interpolated between the two nearest places."""
+    at = F.lit(fraction) * (size - 1)
+    low = F.max(F.when(F.col("index") == F.floor(at), value))
+    high = F.max(F.when(F.col("index") == F.ceil(at), value))
+    part = F.max(at - F.floor(at))
+    return low + part * (high - low)
+
+
 def at_ranks(df: DataFrame, value: str, ranks: list[int], most: int = 65536, bins: int = 4096) -> list[float]:
     """The values at some places (from 0) of the ascending order of a column's non-null values.
 
@@ -170,8 +186,7 @@ def stratified_pick(df: DataFrame, group: str, record: str, distance: str, targe
     the larger first; within a bin the places are evenly spaced, cut to whole
     numbers.
     """
-    w = Window.partitionBy(group).orderBy(distance, record)
-    r = df.select(group, record, distance).withColumns({"i": F.row_number().over(w) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy(group))})
+    r = group_index(df.select(group, record, distance), group, distance, record).withColumnRenamed("index", "i")
     s = F.least(F.lit(strata), F.col("n"))
     size, more = F.floor(F.col("n") / s), F.col("n") % s
     edge = more * (size + 1)

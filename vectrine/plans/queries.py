@@ -262,7 +262,7 @@ g AS (SELECT 0::BIGINT AS i, list_transform(ids, lambda x: n) AS room, NULL::BIG
 @query(_BALANCED + " SELECT doc_idx, cluster_id FROM g WHERE i > 0")
 def balanced_assignment(spark, sf):
     _, capacity = _capacity(spark, sf)
-    return cl.balanced_assignment(cl.costs(docs(spark, sf), centers(spark, sf)), capacity)
+    return cl.balanced_partition(docs(spark, sf), centers(spark, sf), capacity)
 
 
 def _repaired(spark, sf):
