@@ -49,6 +49,12 @@ def normalize(a: Column, floor: float = 1e-12) -> Column:
     return F.transform(a, lambda x: x.cast("double") / n)
 
 
+def normalize_strict(a: Column, least: float = 1e-12) -> Column:
+    """The vector over its norm; a norm below ``least`` is an error."""
+    n = norm(a)
+    return F.when(n >= least, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.raise_error(F.lit("a vector has hardly any length")).cast("array<double>"))
+
+
 def quantize_byte(a: Column) -> Column:
     """[-1, 1] to 0..255: rint((x + 1) * 127.5), clipped."""
     return F.transform(a, lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.rint((x.cast("double") + 1) * 127.5).cast("int"))))

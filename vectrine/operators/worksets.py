@@ -39,6 +39,13 @@ def first_units(units: DataFrame, n: int) -> DataFrame:
     return units.orderBy("ord").limit(n)
 
 
+def reusable_prefix(units: DataFrame, cache: DataFrame) -> int:
+    """How many of the first units, in their order from 0, a cache (ord, doc_id) of encoded units still fits."""
+    both = units.select("ord", F.col("doc_id").alias("a")).join(cache.select("ord", F.col("doc_id").alias("b")), "ord", "full")
+    first = both.filter(~F.col("a").eqNullSafe(F.col("b"))).agg(F.min("ord")).first()[0]
+    return int(first) if first is not None else units.count()
+
+
 def unit_pool(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(units, what the removal of near-duplicates found): units(ord, doc_id, source, text, simhash) of corpus(doc_id, text).
 

@@ -100,6 +100,28 @@ def read_parquet_columns(spark: SparkSession, path: str, columns: list[str]) ->
     return df.select(*(F.col(f"`{have[c.lower()]}`").alias(c) for c in columns))
 
 
+def npy_header(content: bytes) -> tuple[str, tuple[int, ...]]:
+    """(type, shape) from the first bytes of a .npy file of version 1 or 2; columns in front of rows are an error."""
+    data = io.BytesIO(content)
+    version = np.lib.format.read_magic(data)
+    if version not in ((1, 0), (2, 0)):
+        raise ValueError(f"version {version} of .npy isn't read")
+    shape, fortran, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(data)
+    if fortran:
+        raise ValueError("a matrix must be in row order")
+    return kind.str, shape
+
+
+def read_first(*attempts) -> tuple[DataFrame, int]:
+    """The first source (a function without arguments) that can be read, and its number; if none can, the last one's error."""
+    for i, attempt in enumerate(attempts):
+        try:
+            return attempt(), i
+        except Exception as e:  # noqa: BLE001 - whatever the format raises
+            last = e
+    raise last
+
+
 def _matrices(batches):
     for b in batches:
         for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
