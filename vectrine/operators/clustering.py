@@ -9,6 +9,7 @@ so no step walks over documents one by one.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -156,42 +157,76 @@ def balanced_assignment(cost: DataFrame, capacity: int) -> DataFrame:
     return assign_by_preference(l.select("doc_idx", F.transform("l", lambda x: x["cluster_id"]).alias("pref"), F.transform("l", lambda x: x["cost"]).alias("cost")), capacity)
 
 
+def _ends(ends: dict[int, int], cluster: Column, place: Column) -> Column:
+    """Whether a cluster still takes or gives at a place: it isn't among the ended ones, or ends there or later."""
+    if not ends:
+        return F.lit(True)
+    last = F.create_map(*(F.lit(x) for c, p in ends.items() for x in (int(c), int(p))))  # one entry a cluster
+    return F.coalesce(place <= F.element_at(last, cluster.cast("int")), F.lit(True))
+
+
+def _first_end(ahead: DataFrame, give: dict[int, int], take: dict[int, int], low: int, width: int, bins: int) -> tuple[int | None, dict[int, int], dict[int, int]]:
+    """The first place at which a cluster gives or takes its last document, and what all still give and take behind it; None if none does: ahead(place, src, dst)."""
+    count = ahead.groupBy(F.floor((F.col("place") - low) / width).alias("bin"), "src", "dst").agg(F.count(F.lit(1)).alias("n")).orderBy("bin").collect()  # bins times pairs of clusters
+    for b, part in groupby(count, key=lambda r: r["bin"]):
+        g, t = dict(give), dict(take)
+        for r in part:
+            g[r["src"]] -= r["n"]
+            t[r["dst"]] -= r["n"]
+        if min([*g.values(), *t.values()]) <= 0:
+            at = low + b * width
+            if width == 1:
+                return at, g, t
+            return _first_end(ahead.filter((F.col("place") >= at) & (F.col("place") < at + width)), give, take, at, max(1, -(-width // bins)), bins)
+        give, take = g, t
+    return None, give, take
+
+
 def capacity_repair(cost: DataFrame, labels: DataFrame, capacity: int) -> DataFrame:
     """(doc_idx, cluster_id): documents of overfull clusters move, cheapest first, to clusters with room.
 
-    A move costs cost(new) - cost(initial); a document moves once.  This is a
-    greedy matching over the order (cost, doc, cluster), and each round accepts
-    the moves that come first within their source, target and document.  If the
-    moves end before the sizes are even, documents are assigned by margin
-    instead.  Documents that aren't as many as clusters * ``capacity`` are an
-    error.
+    A move costs cost(new) - cost(initial); a document moves once.  Each move
+    stands at a place of the order (cost, doc, cluster), and moves are made in
+    it until a cluster is full or gives no more; that place ends the cluster.
+    The ends are all that changes: from one to the next, each document counts
+    with its first move to a cluster that still takes.  If moves end before the
+    sizes are even, documents are assigned by margin instead.  Documents that
+    aren't as many as clusters * ``capacity`` are an error.
     """
     scratch = Scratch(cost.sparkSession)
     cost = scratch.cut(cost)
     check_capacity(cost, capacity)
-    k = cost.select("cluster_id").distinct()
-    own = labels.withColumnRenamed("cluster_id", "src").join(cost.select("doc_idx", F.col("cluster_id").alias("src"), F.col("cost").alias("own")), ["doc_idx", "src"])
-    moves = scratch.cut(cost.join(own, "doc_idx").filter("cluster_id <> src").select("doc_idx", "src", F.col("cluster_id").alias("dst"), F.round(F.col("cost") - F.col("own"), 9).alias("delta")))
-    now = scratch.cut(labels.select("doc_idx", "cluster_id", F.lit(False).alias("moved")))
+    size = {r["cluster_id"]: 0 for r in cost.select("cluster_id").distinct().collect()}  # one row a cluster, as below
+    size |= {r["cluster_id"]: r["count"] for r in labels.groupBy("cluster_id").count().collect()}
+    give, take = {c: n - capacity for c, n in size.items() if n > capacity}, {c: capacity - n for c, n in size.items() if n < capacity}
+    if not give:
+        return labels.select("doc_idx", "cluster_id")
+    own = labels.withColumnRenamed("cluster_id", "src").filter(F.col("src").isin(list(give))).join(cost.select("doc_idx", F.col("cluster_id").alias("src"), F.col("cost").alias("own")), ["doc_idx", "src"])
+    moves = cost.filter(F.col("cluster_id").isin(list(take))).join(own, "doc_idx").select("doc_idx", "src", F.col("cluster_id").alias("dst"), F.round(F.col("cost") - F.col("own"), 9).alias("delta"))
+    placed = global_index(moves, "delta", "doc_idx", "dst").groupBy("doc_idx", "src").agg(F.sort_array(F.collect_list(F.struct(F.col("index").alias("place"), "dst"))).alias("m"), F.count(F.lit(1)).alias("n"))
+    rows = scratch.cut(placed)
+    bins = max(64, (1 << 18) // (len(give) * max(1, len(take))))
+    width = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // bins))
+    full, empty, frontier = {}, {}, -1
+
+    def chosen() -> DataFrame:
+        first = F.get(F.filter("m", lambda x: _ends(full, x["dst"], x["place"])), F.lit(0))
+        return rows.select("doc_idx", "src", first.alias("x")).select("doc_idx", "src", "x.place", "x.dst").filter(_ends(empty, F.col("src"), F.col("place")))
+
     while True:
-        room = k.join(now.groupBy("cluster_id").count(), "cluster_id", "left").select("cluster_id", (F.coalesce("count", F.lit(0)) - capacity).alias("over"))
-        live = (
-            moves.join(now.filter("not moved").select("doc_idx"), "doc_idx", "left_semi")
-            .join(room.select(F.col("cluster_id").alias("src"), F.col("over").alias("surplus")).filter("surplus > 0"), "src")
-            .join(room.select(F.col("cluster_id").alias("dst"), (-F.col("over")).alias("deficit")).filter("deficit > 0"), "dst")
-        )
-        order = ("delta", "doc_idx", "dst")
-        r = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(*order))
-        # a document counts once towards its source's rank: by its first live move
-        ranked = live.withColumns({"rd": r("doc_idx"), "rt": r("dst")})
-        best = ranked.withColumn("rs", F.sum(F.when(F.col("rd") == 1, 1).otherwise(0)).over(Window.partitionBy("src").orderBy(*order)))
-        taken = scratch.cut(best.filter("rd = 1 and rt <= deficit and rs <= surplus").select("doc_idx", "dst"))
-        if taken.isEmpty():
-            even = room.filter("over <> 0").isEmpty()
-            return now.select("doc_idx", "cluster_id") if even else balanced_assignment(cost, capacity)
-        before, now = now, scratch.cut(now.join(taken, "doc_idx", "left").select("doc_idx", F.coalesce("dst", "cluster_id").alias("cluster_id"), (F.col("moved") | F.col("dst").isNotNull()).alias("moved")))
-        scratch.free(before)
-        scratch.free(taken)
+        end, give, take = _first_end(chosen().filter(F.col("place") > frontier), give, take, 0, width, bins)
+        if end is None:
+            break
+        frontier = end
+        empty |= {c: end for c, n in give.items() if n == 0}
+        full |= {c: end for c, n in take.items() if n == 0}
+        give, take = {c: n for c, n in give.items() if n}, {c: n for c, n in take.items() if n}
+        if not give or not take:
+            break
+    moved = scratch.cut(chosen().filter("dst is not null").select("doc_idx", "dst"))
+    if give:
+        return balanced_assignment(cost, capacity)
+    return labels.join(moved, "doc_idx", "left").select("doc_idx", F.coalesce("dst", "cluster_id").alias("cluster_id"))
 
 
 def _nearest(centers: np.ndarray, sums: bool):
