@@ -313,9 +313,14 @@ def boundary_swaps(spark, sf):
     return spark.createDataFrame([(i, i == 0 or j[i] > j[i - 1]) for i in range(len(j))], "swaps int, gains boolean")
 
 
-@query("SELECT cluster_id, list(doc_idx ORDER BY doc_idx) AS members FROM (SELECT vec_id AS doc_idx, label AS cluster_id FROM embeddings) GROUP BY cluster_id")
+@query("SELECT cluster_id, string_agg(doc_idx::VARCHAR, ',' ORDER BY doc_idx) AS members FROM (SELECT vec_id AS doc_idx, label AS cluster_id FROM embeddings) GROUP BY cluster_id")
 def member_lists(spark, sf):
-    return cl.member_lists(parts(spark, sf))
+    return cl.member_lists(parts(spark, sf)).withColumn("members", joined("members"))
+
+
+def joined(items: str):
+    """A list as one string."""
+    return F.array_join(F.transform(items, lambda x: x.cast("string")), ",")
 
 
 @query(_BASE + ", b AS (SELECT c.cluster_id, list_transform(range(1, 65), lambda i: list_avg(list_transform(l, lambda z: z[i]))) AS m FROM c JOIN (SELECT k.cluster_id, list(d.v) AS l FROM k JOIN d USING (doc_idx) WHERE rank <= 20 GROUP BY k.cluster_id) USING (cluster_id)) SELECT cluster_id, round(list_cosine_similarity(m, center), 4) AS core_cosine FROM b JOIN c USING (cluster_id)")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vectrine.operators import clustering as cl
 from vectrine.operators import metrics, sampling
 from vectrine.plans.materialize import Scratch
-from vectrine.plans.queries import _BASE, _CLEAN, DIM, EVAL_K, centers, cluster_profile, docs, parts, query, r_max_surrogate, read, truth
+from vectrine.plans.queries import _BASE, _CLEAN, DIM, EVAL_K, centers, cluster_profile, docs, joined, parts, query, r_max_surrogate, read, truth
 from vectrine.sources import readers as rd
 from vectrine.sources import writers as wr
 
@@ -211,10 +211,10 @@ def log_metrics(spark, sf):
     return rd.last_metric(_log(spark, sf), **rd.COMMON_METRICS)
 
 
-@query(_LOG + " SELECT 'log' || g AS file, [max(k), 7::BIGINT, 9::BIGINT] AS ids FROM l GROUP BY g")
+@query(_LOG + " SELECT 'log' || g AS file, max(k) || ',7,9' AS ids FROM l GROUP BY g")
 def log_neighbours(spark, sf):
     ids = rd.neighbour_ids(_log(spark, sf), 4)
-    return ids.select("file", F.filter("ids", lambda x: x.isNotNull()).alias("ids"))
+    return ids.withColumn("ids", joined("ids"))
 
 
 @query(_LOG + " SELECT 'log' || g AS file, n_name AS section, 'query' AS phase, 0.0015::DOUBLE AS seconds, k + 0.5::DOUBLE AS total_ms FROM l")
@@ -232,11 +232,11 @@ def synthetic_ids(spark, sf):
     return rd.synthetic_ids(docs(spark, sf), "ws").select("doc_idx", "doc_id", "text")
 
 
-@query("SELECT n_nationkey, ['a', 'b', n_name] AS parts, CASE WHEN n_name IN ('a', 'FRANCE') THEN ['b', 'a', n_name] ELSE ['b', 'a'] END AS kept FROM (SELECT n_nationkey, split_part(n_name, ' ', 1) AS n_name FROM nation)")
+@query("SELECT n_nationkey, 'a,b,' || n_name AS parts, CASE WHEN n_name = 'FRANCE' THEN 'b,a,FRANCE' ELSE 'b,a' END AS kept FROM (SELECT n_nationkey, split_part(n_name, ' ', 1) AS n_name FROM nation)")
 def coerced_lists(spark, sf):
     n = read(spark, sf, "nation").select("n_nationkey", F.split_part("n_name", F.lit(" "), F.lit(1)).alias("n"))
     text = F.concat(F.lit(" a, b  "), "n")
-    return n.select("n_nationkey", rd.coerce_sequence(text).alias("parts"), rd.allowed_only(F.array(F.lit("b"), F.lit("a"), F.lit("b"), "n"), ["a", "b", "FRANCE"]).alias("kept"))
+    return n.select("n_nationkey", rd.coerce_sequence(text).alias("parts"), rd.allowed_only(F.array(F.lit("b"), F.lit("a"), F.lit("b"), "n"), ["a", "b", "FRANCE"]).alias("kept")).withColumns({"parts": joined("parts"), "kept": joined("kept")})
 
 
 @query(f"SELECT coalesce(nullif(trim(source_query_id), ''), trim(query_id)) AS query_id, min({_CLEAN('text')}) AS text FROM workset_queries WHERE {_CLEAN('text')} <> '' AND lower(trim(split_role)) = 'calibration' GROUP BY 1")
@@ -306,11 +306,11 @@ def contract_csv(spark, sf):
     return spark.read.csv(at, header=True, inferSchema=True).select("run_label", F.col("num_docs").cast("long").alias("num_docs"), F.col("total_ms").cast("double").alias("total_ms"), "notes")
 
 
-@query(_CONTRACT % "['a', 'b']")
+@query(_CONTRACT % "'a,b'")
 def contract_jsonl(spark, sf):
     at = _folder(spark)
     wr.write_contract_jsonl(_contract(spark, sf), at)
-    return spark.read.json(at).select("run_label", "num_docs", F.col("total_ms").cast("double").alias("total_ms"), "notes")
+    return spark.read.json(at).select("run_label", "num_docs", F.col("total_ms").cast("double").alias("total_ms"), joined("notes").alias("notes"))
 
 
 @query(_BASE + f"SELECT query_id, rank, doc_idx, (doc_idx % 2 = 0)::INT AS relevant FROM t WHERE rank <= {EVAL_K}")

@@ -10,7 +10,7 @@ from vectrine.operators import clustering as cl
 from vectrine.operators import comparison as cp
 from vectrine.operators import knn, metrics, preparation, routing, sampling, worksets
 from vectrine.operators.text import clean_text, simhash64, whitespace_tokens
-from vectrine.plans.queries import _BASE, _SIMHASH_OF, DIM, EVAL_K, _raw_once, asked, centers, docs, parts, query, ranked_centers, read, truth
+from vectrine.plans.queries import _BASE, _SIMHASH_OF, DIM, EVAL_K, _raw_once, asked, centers, docs, joined, parts, query, ranked_centers, read, truth
 
 # --- worksets ----------------------------------------------------------------
 
@@ -149,9 +149,9 @@ def _lists(spark, sf):
     return g.select("query_id", F.transform("l", lambda x: x["doc_idx"]).alias("offsets"))
 
 
-@query(_LISTS + " SELECT query_id, offsets FROM k")
+@query(_LISTS + " SELECT query_id, array_to_string(offsets, ',') AS offsets FROM k")
 def local_offsets(spark, sf):
-    return worksets.local_offsets(_lists(spark, sf), 1000)
+    return worksets.local_offsets(_lists(spark, sf), 1000).withColumn("offsets", joined("offsets"))
 
 
 @query(_LISTS + " SELECT query_id, i - 1 AS place, offsets[i] AS \"offset\", 'offset_' || offsets[i] AS doc_id FROM k, range(1, 4) r(i) WHERE i <= len(offsets)")
