@@ -30,6 +30,8 @@ from vectrine.plans.materialize import Scratch
 ORDER = 5
 #: Rows of the table of low orders up to which it is broadcast (16 bytes each); beyond, it is joined.
 BROADCAST_ROWS = 1 << 21
+#: Bytes of text that a worker takes apart at a time; it holds some hundred times as much.
+SLICE = 1 << 18
 _HALF = U64(0xFFFFFFFF)
 _UP = U64(32)
 
@@ -116,7 +118,7 @@ def _is_split(split: np.ndarray, cd: np.ndarray, le: np.ndarray) -> np.ndarray:
 
 
 def _count_tokens(batches):
-    for b in (part for whole in batches for part in slices(whole, 1)):
+    for b in (part for whole in batches for part in slices(whole, 1, size=SLICE)):
         t, counts = tokens(_texts(b.column(1)))
         if len(t):
             owner = np.repeat(b.column(0).to_numpy().astype(np.uint64), counts)
@@ -128,7 +130,7 @@ def _count(buckets: int, split: np.ndarray):
     """n-grams with their counts, added up within a slice of the texts, by bucket."""
 
     def run(batches):
-        for b in (part for whole in batches for part in slices(whole, 1)):
+        for b in (part for whole in batches for part in slices(whole, 1, size=SLICE)):
             _, ab, cd, le = grams(_texts(b.column(1)), b.column(0).to_numpy())
             if len(ab) == 0:
                 continue
@@ -245,7 +247,7 @@ def _model(discount: np.ndarray, split: np.ndarray):
 
 
 def _lookups(batches):
-    for b in (part for whole in batches for part in slices(whole, 2)):
+    for b in (part for whole in batches for part in slices(whole, 2, size=SLICE)):
         owner, ab, cd, le = grams(_texts(b.column(2)), b.column(1).to_numpy())
         if len(owner) == 0:
             continue

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectrine.functions.arrow_vectors import flat, take
-from vectrine.llm.ngram_model import perplexities
+from vectrine.llm.ngram_model import SLICE, perplexities
 from vectrine.llm.text import collapse, slices, span_hashes
 from vectrine.plans.materialize import Scratch
 
@@ -60,7 +60,7 @@ def repeated_share(text: str | None, window: int = 30, least: int = 100) -> floa
 
 def _shares(cfg: RepetitionConfig):
     def run(batches):
-        for b in (part for whole in batches for part in slices(whole, 1)):
+        for b in (part for whole in batches for part in slices(whole, 1, size=SLICE)):
             texts = flat(b.column(1)).to_pylist()
             said = np.flatnonzero([bool(collapse(t)) for t in texts])
             share = [repeated_share(texts[i], cfg.window, cfg.least_chars) for i in said]
