@@ -307,6 +307,7 @@ def similar_classes(classes: DataFrame, cfg: OverlapConfig) -> DataFrame:
     train, held = classes.filter("train").select("class", "words"), classes.filter("held").select("class", "words")
     n, chars = held.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("words")), F.lit(0))).first()
     blocks = max(1, -(-n // (cfg.block_texts * 3 // 4)), -(-chars // (cfg.block_chars * 3 // 4)))
+    train = train.repartition(2 * spark.sparkContext.defaultParallelism)  # few bytes and much work
     out = spark.createDataFrame([], "a long, b long")
     for i in range(blocks):
         t = held.filter(F.pmod(F.xxhash64("class"), F.lit(blocks)) == i).toArrow()
