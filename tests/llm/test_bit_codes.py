@@ -59,3 +59,7 @@ def test_recall_of_routed_queries(spark, vectors, rng):
     want = {(q, int(j)) for q in range(0, 6000, 10) for j in np.argsort(-(x @ x[q]), kind="stable")[:5]}
     assert len(got) == len(want) and len(got & want) / len(want) >= 0.9
     assert routed_similar(vectors([]), F.col("id"), F.col("v"), d, F.col("id"), F.col("v")).count() == 0
+    bad = vectors([(1, None), (2, np.zeros(64)), (3, np.ones(3)), (None, np.ones(64))])
+    assert routed_similar(d.limit(20), F.col("id"), F.col("v"), bad, F.col("id"), F.col("v")).count() == 0
+    few = routed_similar(vectors([(1, np.ones(64)), (2, -np.ones(64)), (2, -np.ones(64))]), F.col("id"), F.col("v"), vectors([(5, np.ones(64))]), F.col("id"), F.col("v")).orderBy("rank").collect()
+    assert [(r["neighbour"], r["cosine"]) for r in few] == [(1, 1.0), (2, -1.0)]

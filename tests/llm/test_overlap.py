@@ -78,6 +78,10 @@ def test_records_against_brute_force(spark, rng):
 
 def test_empty_table_and_long_texts(spark):
     assert run(spark, []) == {}
+    d = spark.createDataFrame([(1, None, None, "evaluation", None, None, "t", 1), (None, "q", None, "train", "text", None, "t", 1)], SCHEMA)
+    for t in (d, d.limit(0)):
+        o = split_overlaps(t, F.col("i"), F.coalesce("s", "q"), F.col("split"), F.col("text"), F.col("v"))
+        assert [(r.held_id, r.by_id, r.by_text, r.by_vector, r.overlap) for r in o.records().collect()] == [(1, False, False, False, None)][: t.count() // 2]
     long = " ".join(f"word{i}" for i in range(30_000))
     rows = [(1, "a", None, "train", long, None), (2, "b", None, "evaluation", long.replace("word77 ", "other "), None)]
     assert run(spark, rows) == {(1, 2): (False, True, False)}

@@ -124,3 +124,13 @@ def test_empty_corpus_and_tokens(spark):
     assert repetition(d, F.col("i"), F.col("t"), F.col("l")).count() == 0
     t, n = tokens(["hello, internationalisation 日本", "", "a1"])
     assert n.tolist() == [7, 0, 1] and len(t) == 8
+
+
+def test_languages_of_few_texts_and_null_columns(spark):
+    """Every label is odd: one model serves them all; a text without tokens has no verdict."""
+    rows = [(i, f"some words of text number {i} and a few more", f"l{i}") for i in range(12)] + [(50, "\x01\x02", None), (51, None, None), (None, None, None)]
+    d = spark.createDataFrame(rows, "doc long, text string, lang string").withColumns({"model": F.lit(1), "rep": F.lit("x"), "key": F.lit(2)})
+    for least in (0, 50):
+        got = repetition(d, F.col("doc"), F.col("text"), F.col("lang"), RepetitionConfig(least_documents=least)).toPandas().set_index("id")
+        assert set(got.index) == {*range(12), 50} and got.loc[range(12), "perplexity"].notna().all() and got.share.isna().all()
+        assert got.loc[50, "verdict"] is None or got.loc[50, "verdict"] != got.loc[50, "verdict"] or got.loc[50, "perplexity"] > 0
