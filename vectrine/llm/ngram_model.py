@@ -28,6 +28,8 @@ from vectrine.llm.text import U64, collapse, mix, slices, span_hashes
 from vectrine.plans.materialize import Scratch
 
 ORDER = 5
+#: n-grams of the model that a partition of its join holds at most, about: tens of MB.
+HASHED_ROWS = 1 << 20
 #: Rows of the table of low orders up to which it is broadcast (16 bytes each); beyond, it is joined.
 BROADCAST_ROWS = 1 << 21
 #: Bytes of text that a worker takes apart at a time; it holds some hundred times as much.
@@ -310,6 +312,6 @@ def perplexities(df: DataFrame, record: Column, text: Column, model: Column, mod
     chances = chances.join(low, "low").select("key", F.log(F.col("alpha") + F.col("beta") * F.col("p")).alias("logp"))
     kind = rows.schema["row"].dataType.simpleString()
     asked = rows.mapInArrow(_lookups, f"row {kind}, key long, n int")
-    # a hot n-gram is one row a document here: adaptive execution splits its join, the model side is unique
-    scored = asked.hint("merge").join(chances, "key").groupBy("row").agg(F.sum(F.col("logp") * F.col("n")).alias("s"), F.sum("n").alias("n"))
-    return scored.select("row", F.exp(-F.col("s") / F.col("n")).alias("perplexity"))
+    # the model's keys are unique hashes, so its partitions are even, and small enough to be hashed; a hot n-gram is one row a document on the other side, which only streams by
+    scored = asked.join(chances.hint("shuffle_hash"), "key").groupBy("row").agg(F.sum(F.col("logp") * F.col("n")).alias("s"), F.sum("n").alias("n"))
+    return scratch.cut(scored.select("row", F.exp(-F.col("s") / F.col("n")).alias("perplexity")), partitions=-(-total // HASHED_ROWS))
