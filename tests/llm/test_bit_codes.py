@@ -1,7 +1,14 @@
+import time
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from vectrine.functions.arrow_vectors import list_column
+from vectrine.llm import bit_codes
 from vectrine.llm.bit_codes import BitCodeConfig, byte_tables, encode, estimates, most_similar, rotation, routed_similar
 
 
@@ -23,6 +30,48 @@ def test_against_brute_force_with_ties_and_repeats(spark, vectors, rng, block):
     assert {(r["query"], r["rank"], r["neighbour"]) for r in got} == brute(docs, queries, 5)
 
 
+@pytest.mark.parametrize("block", [131072, 8])
+def test_a_share_searched_first_loses_nothing(spark, vectors, rng, block):
+    """So many rows for their sample that the k best of a share of them raise the floor; some queries meet copies only."""
+    docs = [(i, rng.standard_normal(64).astype(np.float32)) for i in range(900)]
+    docs += [(2000 + i, docs[i % 3][1] * np.float32(2 ** (i % 3))) for i in range(300)]
+    queries = [(i, rng.standard_normal(64).astype(np.float32)) for i in range(20)] + [(100 + i, docs[i][1]) for i in range(4)]
+    cfg = BitCodeConfig(query_block=block, sample_rows=8)
+    assert len(docs) > cfg.sample_rows * bit_codes.SHARE * 4
+    got = most_similar(vectors(docs + docs[:100]).repartition(5), F.col("id"), F.col("v"), vectors(queries), F.col("id"), F.col("v"), cfg).collect()
+    assert {(r["query"], r["rank"], r["neighbour"]) for r in got} == brute(docs, queries, 5)
+
+
+def test_a_scan_takes_the_time_of_a_product_and_memory_by_queries_alone(rng):
+    """Every pair is met, so a pair must cost little; and queries by the thousands fit a task."""
+    cfg = BitCodeConfig()
+    x, q = (rng.standard_normal((n, 64)).astype(np.float32) for n in (8192, 8192))
+    norm = lambda m: np.sqrt((m.astype(float) ** 2).sum(1))
+    ux, uq = x / norm(x)[:, None].astype(np.float32), q / norm(q)[:, None].astype(np.float32)
+    codes, s = encode(ux, rotation(64, cfg.seed))
+    floor = np.partition(uq @ ux.T, -5, axis=1)[:, -5] - 1e-5
+    block = SimpleNamespace(value=(np.arange(len(q)), q, norm(q), floor.astype(float)))
+    cols = [pa.array(np.arange(len(x))), list_column(x.ravel(), np.full(len(x), 64), pa.float32()), pa.array([c.tobytes() for c in codes]), pa.array(s.astype(np.float32))]
+    batch = pa.record_batch(cols, ["id", "v", "code", "s"])
+
+    def seconds(f):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    scan = lambda: sum(b.num_rows for b in bit_codes._scan(cfg, block)([batch]))
+    plain = seconds(lambda: [ux[a : a + 512] @ uq[b : b + 1024].T for a in range(0, 8192, 512) for b in range(0, 8192, 1024)])
+    assert seconds(scan) < 5 * plain
+    tracemalloc.start()
+    assert scan() == 5 * len(q)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70e6
+
+
 def test_few_documents_and_empty_tables(spark, vectors):
     d, q = vectors([(1, np.ones(64)), (2, -np.ones(64))]), vectors([(5, np.ones(64))])
     assert [(r["neighbour"], r["cosine"]) for r in most_similar(d, F.col("id"), F.col("v"), q, F.col("id"), F.col("v")).orderBy("rank").collect()] == [(1, 1.0), (2, -1.0)]

@@ -9,12 +9,14 @@ read off the packed bytes: a query has a table of the 256 sums of each byte, so
 an estimate takes D/8 additions.  Vectors whose upper bound reaches the k-th
 best cosine known so far are reranked by their exact cosine.
 
-Two ways lead from the queries to the codes.  ``most_similar`` holds a query
-set against all rows: vectors are never shuffled, the queries go to them in
-blocks of fixed size, one pass over the codes a block, and each partition
-returns at most k rows a query.  ``routed_similar`` serves a query set that is
-itself large: codes lie in lists by their nearest center, long lists in parts,
-and a query is sent to the parts of its nearest lists only.
+Two ways lead from the queries to the vectors.  ``most_similar`` holds a query
+set against all rows and misses nothing: vectors are never shuffled, the
+queries go to them in blocks of fixed size, one pass a block, and each partition
+returns at most k rows a query.  There every pair is met, and products of
+blocks of the vectors themselves are faster than sums read off the codes, so no
+codes are used.  ``routed_similar`` serves a query set that is itself large:
+codes lie in lists by their nearest center, long lists in parts, and a query is
+sent to the parts of its nearest lists only.
 """
 
 from __future__ import annotations
@@ -157,6 +159,12 @@ class _Search:
         return pa.record_batch([pa.array(self.ids[b.q], pa.int64()), pa.array(b.i, pa.int64()), pa.array(b.c, pa.float64())], ["query", "neighbour", "cosine"])
 
 
+#: Vectors and queries whose products are formed at a time; they stay in the cache.
+TILE = 512, 512
+
+#: One of so many rows is searched first, where rows are many.
+SHARE = 16
+
 _HITS = "query long, neighbour long, cosine double"
 
 
@@ -171,8 +179,8 @@ def _unpacked(col) -> np.ndarray:
     return np.frombuffer(arr.buffers()[2], np.uint8)[off[0] : off[-1]].reshape(len(arr), -1)
 
 
-def _encode(cfg: BitCodeConfig, centers: np.ndarray | None = None, parts: np.ndarray | None = None):
-    """(id, vector, code, scalar), with centers also the part of a list, of each usable vector."""
+def _encode(cfg: BitCodeConfig, centers: np.ndarray, parts: np.ndarray):
+    """(id, vector, code, scalar, part of a list) of each usable vector."""
 
     def run(batches):
         rot = rotation(cfg.dim, cfg.seed)
@@ -182,26 +190,89 @@ def _encode(cfg: BitCodeConfig, centers: np.ndarray | None = None, parts: np.nda
                 continue
             unit = (m / norms[:, None]).astype(np.float32)
             codes, s = encode(unit, rot)
-            cols = [take(b.column(0), rows), take(b.column(1), rows), _packed(codes), pa.array(s.astype(np.float32))]
-            names = ["id", "v", "code", "s"]
-            if centers is not None:
-                own = (unit @ centers.T).argmax(1)
-                h = (cols[0].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-                cols.append(pa.array((np.cumsum(parts) - parts)[own] + (h % parts[own].astype(np.uint64)).astype(np.int64)))
-                names.append("part")
-            yield pa.record_batch(cols, names)
+            ids = take(b.column(0), rows)
+            own = (unit @ centers.T).argmax(1)
+            h = (ids.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            part = (np.cumsum(parts) - parts)[own] + (h % parts[own].astype(np.uint64)).astype(np.int64)
+            yield pa.record_batch([ids, take(b.column(1), rows), _packed(codes), pa.array(s.astype(np.float32)), pa.array(part)], ["id", "v", "code", "s", "part"])
 
     return run
 
 
+class _Dense:
+    """A set of queries and the best vectors they have met, by products of blocks; nothing that reaches the k-th best is passed over."""
+
+    def __init__(self, cfg: BitCodeConfig, ids: np.ndarray, raw: np.ndarray, norm: np.ndarray, floor: np.ndarray):
+        self.cfg, self.ids, self.raw, self.norm, self.floor = cfg, ids, raw, norm, floor
+        self.unit = (raw / norm[:, None]).astype(np.float32)
+        self.best = Best(len(raw), cfg.k)
+        self.found, self.waiting = [], 0
+        self.held, self.above = np.empty(TILE[0] * TILE[1], np.float32), np.zeros(TILE[0] * TILE[1], bool)
+        self._raise()
+
+    def _raise(self) -> None:
+        self.low = (np.maximum(self.best.kth, self.floor) - 10.0**-self.cfg.decimals - 1e-5).astype(np.float32)
+
+    def _settle(self) -> None:
+        if self.waiting:
+            self.best.add(*map(np.concatenate, zip(*self.found)))
+            self.found, self.waiting = [], 0
+            self._raise()
+
+    def _reached(self, x: np.ndarray, lo: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``x`` and queries, from ``lo`` on, of the pairs that reach what is low."""
+        y = self.unit[lo : lo + TILE[1]]
+        n = len(x) * len(y)
+        s = np.matmul(x, y.T, out=self.held[:n].reshape(len(x), len(y)))
+        np.greater_equal(s, self.low[lo : lo + TILE[1]], out=self.above[:n].reshape(s.shape))
+        self.above[n:] = False
+        some = np.flatnonzero(self.above.view(np.uint64))  # few are, so eight at a time
+        of, bit = np.nonzero(self.above.reshape(-1, 8)[some])
+        d, q = np.divmod(some[of] * 8 + bit, len(y))
+        return d, q + lo
+
+    def meet(self, ids: np.ndarray, m: np.ndarray, norms: np.ndarray) -> None:
+        unit = (m / norms[:, None]).astype(np.float32)
+        pairs, n = [], 0
+        for a in range(0, len(m), TILE[0]):
+            for lo in range(0, len(self.unit), TILE[1]):
+                d, q = self._reached(unit[a : a + TILE[0]], lo)
+                if len(d):
+                    pairs.append((d + a, q))
+                    n += len(d)
+                if n >= 1 << 15:
+                    self._weigh(ids, m, norms, pairs)
+                    pairs, n = [], 0
+        self._weigh(ids, m, norms, pairs)
+
+    def _weigh(self, ids: np.ndarray, m: np.ndarray, norms: np.ndarray, pairs: list) -> None:
+        if not pairs:
+            return
+        ds, qs = map(np.concatenate, zip(*pairs))
+        for lo in range(0, len(ds), 1 << 15):
+            d, q = ds[lo : lo + (1 << 15)], qs[lo : lo + (1 << 15)]
+            self.found.append((q, ids[d], np.round(exact_cosines(m[d], norms[d], self.raw[q], self.norm[q]), self.cfg.decimals)))
+        self.waiting += len(ds)
+        # sorting costs as much as the best that are kept, so hits wait until they are as many
+        if self.waiting >= max(1 << 15, len(self.best.q)):
+            self._settle()
+
+    def hits(self) -> pa.RecordBatch:
+        self._settle()
+        b = self.best
+        return pa.record_batch([pa.array(self.ids[b.q], pa.int64()), pa.array(b.i, pa.int64()), pa.array(b.c, pa.float64())], ["query", "neighbour", "cosine"])
+
+
 def _scan(cfg: BitCodeConfig, block):
     def run(batches):
-        search = _Search(cfg, *block.value)
+        search = None
         for b in batches:
-            if b.num_rows:
-                _, m, norms = usable(b.column(1), cfg.dim)
-                search.meet(b.column(0).to_numpy(), m, norms, _unpacked(b.column(2)), b.column(3).to_numpy())
-        yield search.found()
+            rows, m, norms = usable(b.column(1), cfg.dim)
+            if len(rows):
+                search = search or _Dense(cfg, *block.value)
+                search.meet(b.column(0).to_numpy()[rows], m, norms)
+        if search:
+            yield search.hits()
 
     return run
 
@@ -239,12 +310,11 @@ def most_similar(
     """
     spark = docs.sparkSession
     rows, asked = _rows(docs, doc, vector), _rows(queries, query, query_vector)
-    ids, sample, _ = bounded_sample(rows, F.col("id"), F.col("v"), cfg.dim, cfg.sample_rows)
+    ids, sample, total = bounded_sample(rows, F.col("id"), F.col("v"), cfg.dim, cfg.sample_rows)
     blocks = max(1, -(-asked.count() // (cfg.query_block * 3 // 4)))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    codes = rows.mapInArrow(_encode(cfg), f"id long, v {rows.schema['v'].dataType.simpleString()}, code binary, s float")
-    if blocks > 1:  # encoded once, whatever the number of passes
-        codes = Scratch(spark).cut(codes)
+    if blocks > 1:  # read once, whatever the number of passes
+        rows = Scratch(spark).cut(rows)
     out = None
     for n in range(blocks):
         t = asked.filter(F.col("block") == n).select("id", "v").toArrow()
@@ -253,9 +323,17 @@ def most_similar(
         raw, norm = raw[first], norm[first]
         if len(qid) == 0:
             continue
-        unit = (raw / norm[:, None]).astype(np.float32)
-        block = spark.sparkContext.broadcast((qid, raw, norm, _floor(ids, sample, unit, cfg.k)))
-        top = _ranked(codes.mapInArrow(_scan(cfg, block), _HITS), cfg.k)
+        floor = _floor(ids, sample, (raw / norm[:, None]).astype(np.float32), cfg.k)
+        if total > cfg.sample_rows * SHARE * 4:
+            # each partition returns what reaches the floor, which the k best of a share of all rows raise
+            share = rows.filter(F.pmod(F.xxhash64("id"), F.lit(SHARE)) == 0).coalesce(max(1, spark.sparkContext.defaultParallelism * 2))
+            block = spark.sparkContext.broadcast((qid, raw, norm, floor))
+            t = _ranked(share.mapInArrow(_scan(cfg, block), _HITS), cfg.k).filter(F.col("rank") == cfg.k).select("query", "cosine").toArrow()
+            block.unpersist()
+            of = np.searchsorted(qid, t.column("query").to_numpy())
+            floor[of] = np.maximum(floor[of], t.column("cosine").to_numpy())
+        block = spark.sparkContext.broadcast((qid, raw, norm, floor))
+        top = _ranked(rows.mapInArrow(_scan(cfg, block), _HITS), cfg.k)
         out = top if out is None else out.unionByName(top)
     return out if out is not None else spark.createDataFrame([], "query long, rank int, neighbour long, cosine double")
 
