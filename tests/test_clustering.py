@@ -155,3 +155,24 @@ def test_seeds_are_spread(spark):
     assert len(cl.seed_centers(d.limit(2), 5, 4, 6)) == 2
     got = [r.cluster_id for r in cl.spherical_kmeans(d, 6, 4, 6).orderBy("doc_idx").collect()]
     assert all(len(set(got[i * 30 : i * 30 + 30])) == 1 for i in range(6)) and len(set(got)) == 6
+
+
+def test_a_sweep_computes_its_documents_once(spark):
+    """Rounds of all seeds read one table: what makes the documents runs once, and each seed settles as it does alone."""
+    x = RNG.standard_normal((24, 6))
+    d = spark.createDataFrame([(i, v.tolist(), f"s{i % 3}", int(i % 5) << 48) for i, v in enumerate(x)], "doc_idx long, v array<double>, source string, simhash long")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    got = cl.seed_sweep(d.mapInArrow(counted, d.schema), 3, range(2), 6, 4).collect()
+    assert seen.value == 24
+    assert sorted(r.seed for r in got) == [0, 1] and sum(r.best for r in got) == 1
+    rows = d.select("doc_idx", "v").coalesce(1)
+    both = cl.settled_centers(rows, 3, [0, 1], 6)
+    for s in (0, 1):
+        assert np.array_equal(both[s], cl.settled_centers(rows, 3, [s], 6)[s])
+    assert not np.allclose(both[0], both[1])

@@ -18,7 +18,7 @@ from vectrine.operators import comparison, crypto, knn, metrics, preparation, pr
 from vectrine.operators import text as tx
 from vectrine.plans import pipelines
 from vectrine.plans.config import SMALL
-from vectrine.plans.materialize import Scratch
+from vectrine.plans.materialize import Scratch, sized
 from vectrine.streaming import online as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -360,10 +360,12 @@ def partition_violations(spark, sf):
 
 def _described(spark, sf) -> DataFrame:
     """Vectors with the source and a hash of the document of the same number, where there is one."""
-    d = read(spark, sf, "documents")
-    h = simhash_docs(spark, sf).select(F.col("doc_id").alias("doc_idx"), "simhash")
+    v = docs(spark, sf)
+    mine = sized(v.select(F.col("doc_idx").alias("doc_id")), v.count())
+    d = read(spark, sf, "documents").join(mine, "doc_id", "left_semi")  # no text is hashed that no vector asks for
+    h = tx.simhash64(d, F.col("doc_id"), tx.tokens(F.col("text"))).withColumnRenamed("id", "doc_idx")
     both = d.select(F.col("doc_id").alias("doc_idx"), "source").join(h, "doc_idx")
-    return docs(spark, sf).join(both, "doc_idx", "left").withColumn("simhash", F.coalesce("simhash", F.lit(0).cast("long")))
+    return v.join(both, "doc_idx", "left").withColumn("simhash", F.coalesce("simhash", F.lit(0).cast("long")))
 
 
 _SIMHASH_OF = lambda key, table: f"""SELECT k.{key}, coalesce(o.simhash, 0) AS simhash FROM (SELECT DISTINCT {key} FROM {table}) k LEFT JOIN (
